@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfunnel.functions.common import ColumnLike, col
 
 # Characters kept by the cleaner (word characters, blanks, CJK range).
-_NOT_KEPT = r"[^\p{L}\p{N}\p{M}_\s一-鿿]"
+_NOT_KEPT = r"[^\p{L}\p{N}_\s一-鿿]"
 
 # User-agent words, tested in this order.
 DEVICE_WORDS = (

@@ -17,15 +17,20 @@ from pyspark.sql import functions as F
 RANGES = 128
 
 
+def with_range(df: DataFrame, source: DataFrame, column: str, key: str) -> DataFrame:
+    """Number of the value range of ``key``; cuts are approximate quantiles of ``source[column]``."""
+    cuts = [i / RANGES for i in range(1, RANGES)]
+    bounds = source.agg(F.percentile_approx(F.col(column).cast("double"), cuts, 2000).alias("b")).scalar()
+    cut = df.withColumn("_bounds", F.coalesce(bounds, F.array().cast("array<double>")))
+    return cut.withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(key)))).drop("_bounds")
+
+
 def ranked_values(df: DataFrame, value: str) -> DataFrame:
     """Distinct values with ``n`` (rows), ``below`` (rows less), ``distinct_below``,
     ``sum_below`` and the grand totals ``total``, ``distinct_total``, ``sum_total``."""
     values = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
     hist = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    cuts = [i / RANGES for i in range(1, RANGES)]
-    bounds = values.agg(F.percentile_approx("v", cuts, 2000).alias("b")).scalar()
-    hist = hist.withColumn("_range", F.size(F.filter(F.coalesce(bounds, F.array().cast("array<double>")),
-                                                     lambda b: b < F.col("v"))))
+    hist = with_range(hist, values, "v", "v")
     totals = hist.groupBy("_range").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_d"),
                                         F.sum(F.col("v") * F.col("n")).alias("_s"))
     ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("events", "funnel")
+MODULES = ("events", "funnel", "tables", "features", "sqlviews", "recall")
 
 
 def load_all() -> None:

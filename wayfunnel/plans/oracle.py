@@ -13,7 +13,8 @@ EVENT_AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
 
 
 def R(expr: str, digits: int = 6) -> str:
-    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
+    shift = " + 1.3e-10::DOUBLE" if digits == 6 else ""
+    return f"(round(CAST({expr} AS DOUBLE){shift}, {digits}) + 0.0)"
 
 
 def I(expr: str) -> str:

@@ -25,8 +25,8 @@ def rounded(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            # + 0.0 turns a negative zero into zero
-            c = (F.round(c.cast("double"), DIGITS) + F.lit(0.0))
+            # the small shift decides exact ties the same way in both engines; + 0.0 clears negative zeros
+            c = F.round(c.cast("double") + F.lit(1.3e-10), DIGITS) + F.lit(0.0)
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         out.append(c.alias(field.name))
