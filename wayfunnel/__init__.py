@@ -4,6 +4,6 @@ Every operator takes DataFrames and returns a DataFrame; nothing is collected
 to the driver unless it is a bounded summary (a handful of aggregate values).
 """
 
-from wayfunnel.session import build_session, checkpointed
+from wayfunnel.session import build_session, written
 
-__all__ = ["build_session", "checkpointed"]
+__all__ = ["build_session", "written"]

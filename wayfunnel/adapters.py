@@ -6,12 +6,15 @@ The same mapping is written independently in SQL in ``plans/oracle.py``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfunnel.session import written
+
 AS_OF = "2002-01-01 00:00:00"        # reference instant for order-based features
 EVENT_AS_OF = "2024-02-01 00:00:00"  # reference instant for web events
 
@@ -22,6 +25,9 @@ def every(c: str, n: int, r: int = 0) -> Column:
     return F.pmod(F.col(c), F.lit(n)) == r
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 @dataclass
 class Inputs:
     spark: SparkSession
@@ -30,6 +36,16 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A feature or candidate table written once per application and input folder.
+
+        Downstream jobs read such tables instead of recomputing them, as a nightly run does.
+        """
+        key = (self.spark.sparkContext.applicationId, self.root, name)
+        if key not in _STORED:
+            _STORED[key] = written(build(), name)
+        return _STORED[key]
+
     # business tables -------------------------------------------------------
     @cached_property
     def raw_users(self) -> DataFrame:
@@ -222,3 +238,13 @@ class Inputs:
     def visits(self) -> DataFrame:
         return self.events.filter(F.col("event_type") == "signup").select(
             F.col("user_id").alias("idvisit"), F.col("ts").alias("visit_last_action_time"))
+
+
+def stored(fn: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
+    """Serve ``fn(inputs)`` from its written table; ``.direct`` computes it anew."""
+    @wraps(fn)
+    def serve(t: Inputs) -> DataFrame:
+        return t.stored(fn.__name__, lambda: fn(t))
+
+    serve.direct = fn
+    return serve

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from wayfunnel.functions import vectors as vec
 from wayfunnel.operators.relational import top_per_group
-from wayfunnel.session import checkpointed
+from wayfunnel.session import written
 
 DIGITS = 9          # scores closer than this are ties, broken by id
 SLACK = 1e-6        # rounding allowance of the pruning test
@@ -92,7 +92,7 @@ def nearest(points: DataFrame, k: int, metric: str = "cosine", min_score: float
     def assigned(df: DataFrame) -> DataFrame:
         if one_block:
             return df.withColumns({"pivot": F.lit(0), "dist": F.lit(0.0)})
-        return checkpointed(df.mapInPandas(assign, schema))
+        return written(df.mapInPandas(assign, schema), "assigned")
 
     members = assigned(points)
     asked = members if queries is None else assigned(queries)
@@ -142,7 +142,7 @@ def nearest(points: DataFrame, k: int, metric: str = "cosine", min_score: float
     first = search(first_visit)
     if one_block:
         return _cut(first, k)
-    first = checkpointed(first)
+    first = written(first, "first-visit")
     bounds = first.groupBy(F.col("src").alias("id")).agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
 
@@ -176,18 +176,18 @@ def _cut(found: DataFrame, k: int) -> DataFrame:
     return top_per_group(found, ["src"], [F.desc("score"), F.asc("dst")], k)
 
 
-def inner_product_points(df: DataFrame, key: str, column: str) -> tuple[DataFrame, DataFrame]:
-    """Points and queries whose cosine equals the inner product of rows of length at most 1.
+def inner_product_points(rows: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+    """Points and queries whose cosine equals the inner product of sparse rows of length at most 1.
 
-    Each side gets its own spare coordinate that tops the length up to 1.
+    Each side gets a spare coordinate of its own (``dim`` and ``dim + 1``) that tops the length up to 1.
     """
-    rest = F.sqrt(F.greatest(F.lit(0.0), 1.0 - vec.dot(column, column)))
-    zero = F.lit(0.0)
+    rest = F.sqrt(F.greatest(F.lit(0.0), 1.0 - vec.dot("val", "val")))
 
-    def side(*extra: Column) -> DataFrame:
-        return dense_points(df.withColumn("_v", F.concat(F.col(column).cast("array<double>"), F.array(*extra))), key, "_v")
+    def side(at: int) -> DataFrame:
+        return rows.select(F.col("id").cast("long").alias("id"), F.concat("idx", F.array(F.lit(at))).alias("idx"),
+                           F.concat("val", F.array(rest)).alias("val"))
 
-    return side(zero, rest), side(rest, zero)
+    return side(dim), side(dim + 1)
 
 
 def cell_probe(points: DataFrame, k: int, cells: int = 16, probes: int = 4, seed: int = 7) -> DataFrame:

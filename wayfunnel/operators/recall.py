@@ -110,26 +110,24 @@ def content_neighbours(items: DataFrame, k: int, min_score: float = MIN_SCORE, s
 
 
 def multimodal_neighbours(items: DataFrame, vectors: DataFrame, k: int, weight: float = IMAGE_WEIGHT,
-                          min_score: float = MIN_SCORE, size: int = ts.VOCABULARY) -> DataFrame:
+                          min_score: float = MIN_SCORE, size: int = ts.VOCABULARY, width: int = 64) -> DataFrame:
     """(1 - w) · text cosine + w · image cosine, kept above ``min_score``.
 
     Both parts are unit (or zero) vectors, so the mix is the inner product of the
     concatenation scaled by the square roots of the weights.
     """
     text, _ = ts.tfidf(_content_text(items), "dataset_id", "text", size=size)
-    text = ts.dense(text, size).withColumnRenamed("val", "t")
     image = vectors.select(F.col("dataset_id").alias("id"), vec.normalised("embedding").alias("i"))
-    width = scalar(vectors, n=F.max(F.size("embedding")))["n"]
-    both = items.select(F.col("dataset_id").alias("id")).join(text, "id", "left").join(image, "id", "left") \
-        .withColumn("_w", width)
-
-    def scaled(array: Column, length: Column, factor: float) -> Column:
-        return F.transform(F.coalesce(array, F.array_repeat(F.lit(0.0), length)), lambda x: x * F.lit(factor ** 0.5))
-
-    mixed = both.select("id", F.concat(scaled(F.col("t"), F.lit(size), 1 - weight),
-                                       scaled(F.col("i"), F.col("_w"), weight)).alias("v"))
-    points, asks = nn.inner_product_points(mixed, "id", "v")
-    return nn.nearest(points, k, min_score=min_score, strict=True, queries=asks)
+    both = items.select(F.col("dataset_id").alias("id")).join(text, "id", "left").join(image, "id", "left")
+    none_i, none_v = F.array().cast("array<int>"), F.array().cast("array<double>")
+    t, i = F.coalesce("val", none_v), F.coalesce("i", none_v)
+    mixed = both.select(
+        "id",
+        F.concat(F.coalesce("idx", none_i), F.transform(i, lambda x, j: j + F.lit(size))).alias("idx"),
+        F.concat(F.transform(t, lambda x: x * F.lit((1 - weight) ** 0.5)),
+                 F.transform(i, lambda x: x * F.lit(weight ** 0.5))).alias("val"))
+    points, asks = nn.inner_product_points(mixed, size + width)
+    return nn.nearest(points, k, min_score=min_score, strict=True, queries=asks, dim=size + width + 2)
 
 
 def neighbour_table(scored: DataFrame, k: int) -> DataFrame:

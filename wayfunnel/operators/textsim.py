@@ -65,10 +65,3 @@ def tfidf(docs: DataFrame, key: str, text: str, ngrams: int = 1, size: int = VOC
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     vocab = vocabulary(counts, n_docs, size, min_df, max_df)
     return weighted_rows(counts, vocab), vocab
-
-
-def dense(rows: DataFrame, size: int) -> DataFrame:
-    """Sparse rows as dense arrays of ``size`` cells."""
-    cells = F.map_from_arrays("idx", "val")
-    return rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
-                                         lambda i: F.coalesce(F.try_element_at(cells, i), F.lit(0.0))).alias("val"))

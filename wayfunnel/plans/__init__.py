@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("events", "funnel", "tables", "features", "sqlviews", "recall")
+MODULES = ("events", "funnel", "tables", "features", "sqlviews", "recall", "ranking")
 
 
 def load_all() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfunnel.adapters import Inputs
+from wayfunnel.adapters import Inputs, stored
 from wayfunnel.functions import events as ev
 from wayfunnel.functions.text import stamp
 from wayfunnel.operators import attribution as at
@@ -16,6 +16,7 @@ from wayfunnel.plans.registry import query
 KNOWN = ("behavior", "content", "vector", "popular", "tag", "category", "price", "usercf", "image")
 
 
+@stored
 def parsed(t: Inputs) -> DataFrame:
     return at.parsed_actions(t.log_link_actions, at.action_dictionary(t.log_actions))
 

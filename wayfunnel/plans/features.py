@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfunnel.adapters import AS_OF, Inputs
+from wayfunnel.adapters import AS_OF, Inputs, stored
 from wayfunnel.functions.common import timestamp_lit
 from wayfunnel.functions.text import stamp
 from wayfunnel.operators import features as ft
@@ -19,12 +19,14 @@ def now() -> "F.Column":
     return timestamp_lit(AS_OF)
 
 
+@stored
 def interactions(t: Inputs) -> DataFrame:
     return ft.build_interactions([
         ft.source_interactions(t.tasks, "create_user", "dataset_id", "price", "create_time", "task"),
         ft.source_interactions(t.api_orders, "creator_id", "api_id", "price", "create_time", "api_order")])
 
 
+@stored
 def item_stats(t: Inputs) -> DataFrame:
     return ft.item_stats(interactions(t))
 
@@ -37,10 +39,12 @@ def users(t: Inputs) -> DataFrame:
     return pj.user_view(t.raw_users)
 
 
+@stored
 def user_features(t: Inputs) -> DataFrame:
     return ft.user_features(interactions(t), users(t), items(t), now())
 
 
+@stored
 def item_features(t: Inputs) -> DataFrame:
     return ft.item_features(items(t), item_stats(t), now(), t.images, None, ft.vector_stats(t.vectors))
 
@@ -63,14 +67,14 @@ def _(t: Inputs) -> DataFrame:
 @query("agg2_interactions", f"""
   SELECT user_id, dataset_id, {R('weight')} AS weight, {TS('last_event_time')} AS last_event_time FROM x_inter""")
 def _(t: Inputs) -> DataFrame:
-    return interactions(t).withColumn("last_event_time", stamp("last_event_time"))
+    return interactions.direct(t).withColumn("last_event_time", stamp("last_event_time"))
 
 
 @query("agg3_item_stats", f"""
   SELECT dataset_id, interaction_count, {R('total_weight')} AS total_weight, {TS('last_event_time')} AS last_event_time
   FROM x_stats""")
 def _(t: Inputs) -> DataFrame:
-    return item_stats(t).withColumn("last_event_time", stamp("last_event_time"))
+    return item_stats.direct(t).withColumn("last_event_time", stamp("last_event_time"))
 
 
 TABLES["x_user_behaviour"] = f"""
@@ -158,7 +162,7 @@ _UI = "is_consumption purchase_count days_since_last_purchase is_active_user is_
   SELECT user_id, province, top_tag_1, {', '.join(f"{R(f'coalesce({c}, 0)')} AS {c}" for c in _UF.split())},
          {', '.join(f"{I(f'coalesce({c}, 0)')} AS {c}" for c in _UI.split())} FROM x_user_features""")
 def _(t: Inputs) -> DataFrame:
-    return user_features(t).select("user_id", "province", "top_tag_1", *_UF.split(), *_UI.split())
+    return user_features.direct(t).select("user_id", "province", "top_tag_1", *_UF.split(), *_UI.split())
 
 
 _AUD = {k: v for k, v in ft.AUDIENCE.items()}
@@ -310,7 +314,7 @@ def _filled(names: str, fn) -> str:
 
 @query("agg16_item_features", f"SELECT dataset_id, {_filled(_IF, R)}, {_filled(_II, I)} FROM x_item_features")
 def _(t: Inputs) -> DataFrame:
-    return item_features(t).select("dataset_id", *_IF.split(), *_II.split())
+    return item_features.direct(t).select("dataset_id", *_IF.split(), *_II.split())
 
 
 @query("agg17_cross_features", f"""
@@ -381,6 +385,7 @@ TABLES["x_ratings"] = f"""
   FROM s WHERE rating > 0 GROUP BY 1, 2"""
 
 
+@stored
 def ratings(t: Inputs) -> DataFrame:
     from wayfunnel.plans.sqlviews import paid_interactions
     return ft.decayed_ratings(paid_interactions(t), now(), 180.0, SOURCE_WEIGHTS)
@@ -391,7 +396,7 @@ def ratings(t: Inputs) -> DataFrame:
          {R('total_spend', 2)} AS total_spend, {R('total_quantity')} AS total_quantity,
          {TS('last_event_time')} AS last_event_time, sources FROM x_ratings""")
 def _(t: Inputs) -> DataFrame:
-    return ratings(t).withColumns({"last_event_time": stamp("last_event_time"), "total_spend": F.round("total_spend", 2)})
+    return ratings.direct(t).withColumns({"last_event_time": stamp("last_event_time"), "total_spend": F.round("total_spend", 2)})
 
 
 @query("agg26_user_rollup", f"""

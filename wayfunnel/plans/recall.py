@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfunnel.adapters import EVENT_AS_OF, Inputs
+from wayfunnel.adapters import EVENT_AS_OF, Inputs, stored
 from wayfunnel.functions.common import timestamp_lit
 from wayfunnel.operators import nearest as nn
 from wayfunnel.operators import recall as rc
@@ -34,6 +34,7 @@ TABLES["x_behaviour"] = f"""
   SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS score FROM k"""
 
 
+@stored
 def behaviour(t: Inputs) -> DataFrame:
     return rc.behaviour_neighbours(inter(t), K)
 
@@ -41,7 +42,7 @@ def behaviour(t: Inputs) -> DataFrame:
 @query("rec1_behaviour_neighbours", f"""
   SELECT src, dst, {R('score')} AS score FROM x_behaviour""")
 def _(t: Inputs) -> DataFrame:
-    return behaviour(t).select("src", "dst", "score")
+    return behaviour.direct(t).select("src", "dst", "score")
 
 
 @query("jn7_self_join_per_user", "SELECT src, dst, score FROM (SELECT src, dst, " + R("score") + " AS score FROM x_behaviour)")
@@ -59,13 +60,14 @@ TABLES["x_user_sim"] = f"""
   SELECT * FROM s {_rank(k=50)}"""
 
 
+@stored
 def user_sim(t: Inputs) -> DataFrame:
     return rc.user_neighbours(inter(t))
 
 
 @query("rec2_user_neighbours", f"SELECT src, dst, {R('score')} AS score FROM x_user_sim")
 def _(t: Inputs) -> DataFrame:
-    return user_sim(t).select("src", "dst", "score")
+    return user_sim.direct(t).select("src", "dst", "score")
 
 
 TABLES["x_user_cand"] = f"""
@@ -138,6 +140,7 @@ TABLES["x_image_sim"] = f"""
   SELECT * FROM s {_rank()}"""
 
 
+@stored
 def image_features(t: Inputs) -> DataFrame:
     from wayfunnel.operators import features as ft
     return ft.image_features(pf.items(t), t.images, pf.now())
@@ -164,13 +167,19 @@ TABLES["x_content"] = f"""
   SELECT src, dst, round(score, 9) AS score FROM x_text_pairs WHERE round(score, 9) >= 0.01 {_rank('round(score, 9)')}"""
 
 
-def content(t: Inputs, k: int = K) -> DataFrame:
-    return rc.content_neighbours(pf.items(t), k)
+@stored
+def content(t: Inputs) -> DataFrame:
+    return rc.content_neighbours(pf.items(t), K)
+
+
+@stored
+def vector_table(t: Inputs) -> DataFrame:
+    return rc.vector_neighbours(t.vectors, K)
 
 
 @query("rec9_content_neighbours", f"SELECT src, dst, {R('score')} AS score FROM x_content")
 def _(t: Inputs) -> DataFrame:
-    return content(t).select("src", "dst", "score")
+    return content.direct(t).select("src", "dst", "score")
 
 
 TABLES["x_unit"] = """
@@ -259,13 +268,14 @@ TABLES["x_popular"] = f"""
   FROM x_popular_pool WHERE {_PASS} QUALIFY rank <= 50"""
 
 
+@stored
 def popular(t: Inputs) -> DataFrame:
     return rc.popular_items(inter(t), pf.item_features(t), 50, max_inactive_days=250)
 
 
 @query("rec16_popular_items", f"SELECT dataset_id, {R('total_weight')} AS total_weight, rank FROM x_popular")
 def _(t: Inputs) -> DataFrame:
-    return popular(t)
+    return popular.direct(t)
 
 
 @query("rec17_popular_quality", f"""
@@ -288,6 +298,7 @@ def _as_channel(df: DataFrame) -> DataFrame:
     return df.select(F.col("src").alias("target"), F.col("dst").alias("item"), "score")
 
 
+@stored
 def channels(t: Inputs) -> DataFrame:
     """Every item as a target over the item-driven channels."""
     items = pf.items(t)
@@ -296,7 +307,7 @@ def channels(t: Inputs) -> DataFrame:
         "tag": _as_channel(rc.tag_neighbours(items, K)), "category": _as_channel(rc.category_neighbours(items, K)),
         "price": _as_channel(rc.price_neighbours(items, K)),
         "image": _as_channel(rc.image_neighbours(image_features(t), K)),
-        "vector_faiss": _as_channel(rc.vector_neighbours(t.vectors, K))}, LIMIT)
+        "vector_faiss": _as_channel(vector_table(t))}, LIMIT)
     targets = items.select(F.col("dataset_id").alias("target"))
     return got.unionByName(rc.popular_channel(targets, popular(t), LIMIT))
 
@@ -316,7 +327,7 @@ TABLES["x_channels"] = " UNION ALL ".join(f"SELECT * FROM ({_quota(a, b, n)})" f
 
 @query("rec18_multi_channel", f"SELECT target, item, channel, {R('score')} AS score FROM x_channels")
 def _(t: Inputs) -> DataFrame:
-    return channels(t)
+    return channels.direct(t)
 
 
 _W = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in rc.MERGE_WEIGHTS.items())
@@ -340,14 +351,15 @@ TABLES["x_precomputed"] = """
   FROM r WHERE r <= 10 GROUP BY 1, 2 QUALIFY rank <= 10"""
 
 
+@stored
 def precomputed(t: Inputs) -> DataFrame:
     return rc.precomputed([_as_channel(behaviour(t)), _as_channel(content(t)),
-                           _as_channel(rc.vector_neighbours(t.vectors, K))], 10)
+                           _as_channel(vector_table(t))], 10)
 
 
 @query("rec20_precomputed_fallback", "SELECT target, item, best_rank, rank FROM x_precomputed")
 def _(t: Inputs) -> DataFrame:
-    return precomputed(t)
+    return precomputed.direct(t)
 
 
 def _trend(hours: int, label: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,19 +32,24 @@ def build_session(app: str = "wayfunnel", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
+        folder = tempfile.mkdtemp(prefix="spark-wayfunnel-", dir="/tmp")
+        spark.conf.set(CHECKPOINT_KEY, folder)
+    return folder
 
-    The folder named by ``spark.checkpoint.dir`` is used as it is. Only where
-    nothing is set (a local test session) is a temporary folder chosen.
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cut lineage: write ``df`` as a table in the shared folder and read it back.
+
+    The files survive lost executors, and the scan has sizes and column pruning that a
+    checkpointed RDD would not offer the optimiser.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="spark-wayfunnel-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/wayfunnel/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
