@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("events", "funnel", "tables", "features", "sqlviews", "recall", "ranking")
+MODULES = ("events", "funnel", "tables", "features", "sqlviews", "recall", "ranking", "models", "quality")
 
 
 def load_all() -> None:
