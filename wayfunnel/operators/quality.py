@@ -208,12 +208,10 @@ def quality_report(parts: Sequence[DataFrame]) -> DataFrame:
             "quality_score", "status"]
     tables = outer_union([p.select(*cols, *([F.col("user_concentration")] if "user_concentration" in p.columns else []))
                           for p in parts])
-    advice = F.array_join(F.filter(F.array(
-        F.when(F.col("status") == "poor", "review collection"),
-        F.when(F.col("duplicate_ratio") > DUPLICATE_LIMIT, "remove duplicates"),
-        F.when(F.col("high_null_columns") != "", "investigate nulls"),
-        F.when(F.col("user_concentration") > CONCENTRATION_LIMIT, "cold-start strategies")),
-        lambda x: x.isNotNull()), "; ")
+    advice = F.concat_ws("; ", F.when(F.col("status") == "poor", "review collection"),
+                         F.when(F.col("duplicate_ratio") > DUPLICATE_LIMIT, "remove duplicates"),
+                         F.when(F.col("high_null_columns") != "", "investigate nulls"),
+                         F.when(F.col("user_concentration") > CONCENTRATION_LIMIT, "cold-start strategies"))
     w = Window.partitionBy(F.lit(1))  # one row per table
     return tables.select(*cols, advice.alias("advice"), F.avg("quality_score").over(w).alias("overall_score")) \
         .withColumn("overall_status", grade(F.col("overall_score")))
@@ -264,10 +262,9 @@ def training_readiness(exposures: DataFrame, clicks: DataFrame, labels: DataFram
     c = scalar(clicks, n=_rows(), r=F.count_distinct("request_id"))
     s = scalar(slots, n=_rows())
     row = labels.agg(_rows().alias("label_rows"), zero(F.sum("label"), "long").alias("positive_datasets"))
-    warnings = F.array_join(F.filter(F.array(
-        F.when(c["n"] == 0, "no clicks"),
-        F.when(F.col("positive_datasets") < min_positive, "too few positive items"),
-        F.when(s["n"] == 0, "no slot metrics")), lambda x: x.isNotNull()), "; ")
+    warnings = F.concat_ws("; ", F.when(c["n"] == 0, "no clicks"),
+                           F.when(F.col("positive_datasets") < min_positive, "too few positive items"),
+                           F.when(s["n"] == 0, "no slot metrics"))
     return row.select(
         e["n"].alias("exposures_rows"), e["r"].alias("exposures_request_ids"), c["n"].alias("click_rows"),
         c["r"].alias("click_request_ids"), "label_rows", "positive_datasets", s["n"].alias("slot_metric_rows"),

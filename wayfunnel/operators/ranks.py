@@ -94,8 +94,8 @@ def quantiles(df: DataFrame, value: str, probs: Mapping[str, float]) -> DataFram
 def concentration(df: DataFrame, value: str) -> DataFrame:
     """``as_written`` = 2*sum((n-i)*x_i)/(n*sum(x)) over ascending x, and the usual Gini
     coefficient ``gini`` = 1 - 1/n - as_written."""
-    r = ranked_values(df, value)
-    v, n, below, total = F.col(value), F.col("n"), F.col("below"), F.col("total")
+    r = ranked_values(df.select(F.col(value).alias("value")), "value")
+    v, n, below, total = F.col("value"), F.col("n"), F.col("below"), F.col("total")
     weighted = F.sum(v * (n * total - n * below - n * (n + 1) / 2.0))
     row = r.agg(weighted.alias("w"), F.max("total").alias("t"), F.sum(v * n).alias("s"))
     as_written = F.when((F.col("s") != 0) & F.col("t").isNotNull(),

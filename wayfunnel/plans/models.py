@@ -39,8 +39,8 @@ TABLES["x_user_cf"] = f"""
              FROM x_cf_users n JOIN x_ratings r ON r.user_id = n.dst GROUP BY 1, 2)
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY prediction DESC, item_id) AS rank FROM m WHERE {_UNSEEN} QUALIFY rank <= 10"""
 TABLES["x_item_cf"] = f"""
-  WITH m AS (SELECT r.user_id, n.dst AS item_id, round(sum(n.score * r.rating) / sum(n.score), 9) AS prediction
-             FROM x_cf_items n JOIN x_ratings r ON r.item_id = n.src GROUP BY 1, 2)
+  WITH m AS (SELECT r.user_id, n.src AS item_id, round(sum(n.score * r.rating) / sum(n.score), 9) AS prediction
+             FROM x_cf_items n JOIN x_ratings r ON r.item_id = n.dst GROUP BY 1, 2)
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY prediction DESC, item_id) AS rank FROM m WHERE {_UNSEEN} QUALIFY rank <= 10"""
 
 
