@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("events", "funnel", "tables", "features", "sqlviews", "recall", "ranking", "models", "quality")
+MODULES = ("events", "funnel", "tables", "features", "sqlviews", "recall", "ranking", "models", "quality", "io")
 
 
 def load_all() -> None:
