@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfunnel.functions.common import zero
-from wayfunnel.operators.nearest import DIGITS
+from wayfunnel.operators.nearest import DIGITS, _sparse_dots
 from wayfunnel.operators.overlap import HEAVY_MEMBERS
 from wayfunnel.operators.relational import outer_union, top_per_group
 from wayfunnel.session import written
@@ -65,18 +65,8 @@ def _blocked_dots(unit: DataFrame, k: int, block_rows: int) -> DataFrame:
         if len(left) and len(right):
             right = right.sort_values("m_id").reset_index(drop=True)
             ids = right["m_id"].to_numpy()
-            features = np.concatenate([np.asarray(x) for x in right["m_idx"]])
-            weights = np.concatenate([np.asarray(x) for x in right["m_val"]])
-            owner = np.repeat(np.arange(len(right)), [len(x) for x in right["m_idx"]])
-            order = np.argsort(features, kind="stable")
-            features, weights, owner = features[order], weights[order], owner[order]
-            for src, idx, val in zip(left["id"], left["idx"], left["val"]):
-                lo, hi = np.searchsorted(features, idx, "left"), np.searchsorted(features, idx, "right")
-                n = hi - lo
-                if not n.sum():
-                    continue
-                at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                s = np.round(np.bincount(owner[at], weights[at] * np.repeat(val, n), minlength=len(ids)), DIGITS)
+            dots = np.round(_sparse_dots(left["idx"], left["val"], right["m_idx"], right["m_val"]), DIGITS)
+            for src, s in zip(left["id"], dots):
                 s[ids == src] = 0.0
                 top = np.argsort(-s, kind="stable")[:k]
                 out += [(int(src), int(ids[j]), float(s[j])) for j in top if s[j] > 0]

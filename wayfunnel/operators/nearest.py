@@ -56,6 +56,40 @@ def _scores(queries: np.ndarray, members: np.ndarray, metric: str) -> np.ndarray
     return 1.0 / (1.0 + np.abs(queries[:, None, :] - members[None, :, :]).sum(axis=2))
 
 
+def _is_sparse(idx: pd.Series) -> bool:
+    return bool(len(idx)) and idx.iloc[0] is not None
+
+
+def _sparse_dots(qi: pd.Series, qv: pd.Series, mi: pd.Series, mv: pd.Series) -> np.ndarray:
+    """Dot products of two blocks of sparse rows through the members' cells sorted by dimension."""
+    features = np.concatenate([np.asarray(x) for x in mi])
+    weights = np.concatenate([np.asarray(x) for x in mv])
+    owner = np.repeat(np.arange(len(mi)), [len(x) for x in mi])
+    order = np.argsort(features, kind="stable")
+    features, weights, owner = features[order], weights[order], owner[order]
+    out = np.zeros((len(qi), len(mi)))
+    for row, (idx, val) in enumerate(zip(qi, qv)):
+        lo, hi = np.searchsorted(features, idx, "left"), np.searchsorted(features, idx, "right")
+        n = hi - lo
+        total = int(n.sum())
+        if total:
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
+            out[row] = np.bincount(owner[at], weights[at] * np.repeat(val, n), minlength=len(mi))
+    return out
+
+
+def _block_scores(left: pd.DataFrame, right: pd.DataFrame, dim: int, metric: str) -> np.ndarray:
+    if metric == "cosine" and _is_sparse(left["idx"]):
+        return _sparse_dots(left["idx"], left["val"], right["idx"], right["val"])
+    return _scores(_matrix(left["idx"], left["val"], dim), _matrix(right["idx"], right["val"], dim), metric)
+
+
+def _pivot_scores(pdf: pd.DataFrame, pivots: np.ndarray, dim: int, metric: str) -> np.ndarray:
+    if metric == "cosine" and _is_sparse(pdf["idx"]):
+        return np.stack([pivots[:, np.asarray(i, dtype=np.int64)] @ np.asarray(v) for i, v in zip(pdf["idx"], pdf["val"])])
+    return _scores(_matrix(pdf["idx"], pdf["val"], dim), pivots, metric)
+
+
 def _distance(score: np.ndarray, metric: str) -> np.ndarray:
     """Distance with a triangle inequality: angle, or city-block length."""
     if metric == "cosine":
@@ -82,7 +116,7 @@ def nearest(points: DataFrame, k: int, metric: str = "cosine", min_score: float
         for pdf in batches:
             if not len(pdf):
                 continue
-            d = _distance(_scores(_matrix(pdf["idx"], pdf["val"], dim), pivots, metric), metric)
+            d = _distance(_pivot_scores(pdf, pivots, dim, metric), metric)
             best = d.argmin(axis=1)
             yield pdf.assign(pivot=best.astype(np.int32), dist=d[np.arange(len(pdf)), best])
 
@@ -120,8 +154,7 @@ def nearest(points: DataFrame, k: int, metric: str = "cosine", min_score: float
                 return empty
             right = right.sort_values("m_id").rename(columns={"m_id": "id", "m_idx": "idx", "m_val": "val"})
             ids, asked_ids = right["id"].to_numpy(), left["id"].to_numpy()
-            s = np.round(_scores(_matrix(left["idx"], left["val"], dim), _matrix(right["idx"], right["val"], dim), metric),
-                         DIGITS)
+            s = np.round(_block_scores(left, right, dim, metric), DIGITS)
             s[~(s > min_score) if strict else ~(s >= min_score)] = -np.inf
             if exclude_self:
                 s[asked_ids[:, None] == ids[None, :]] = -np.inf
@@ -152,7 +185,7 @@ def nearest(points: DataFrame, k: int, metric: str = "cosine", min_score: float
         for pdf in batches:
             if not len(pdf):
                 continue
-            d = _distance(_scores(_matrix(pdf["idx"], pdf["val"], dim), pivots[names], metric), metric)
+            d = _distance(_pivot_scores(pdf, pivots[names], dim, metric), metric)
             floor = pdf["bound"].astype("float64").fillna(-np.inf).to_numpy()
             if not math.isinf(min_score):
                 floor = np.maximum(floor, min_score)
