@@ -193,15 +193,14 @@ def nearest(points: DataFrame, k: int, metric: str = "cosine", min_score: float
                 limit = np.where(np.isinf(floor), np.inf, _distance(np.where(np.isinf(floor), 1.0, floor), metric))
             keep = d - reach[None, :] <= limit[:, None] + SLACK
             rows, cols = np.nonzero(keep)
-            out = pdf.iloc[rows][["id", "idx", "val"]].reset_index(drop=True)
-            yield out.assign(own=pdf["pivot"].to_numpy()[rows], pivot=names[cols])
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[rows], "own": pdf["pivot"].to_numpy()[rows], "pivot": names[cols]})
 
     visits = asked.join(bounds, "id", "left").select("id", "idx", "val", "pivot", "bound") \
-        .mapInPandas(survivors, "id long, idx array<int>, val array<double>, own int, pivot int") \
-        .join(F.broadcast(table), "pivot") \
+        .mapInPandas(survivors, "id long, own int, pivot int").join(F.broadcast(table), "pivot") \
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     seen = (F.col("own") == F.col("pivot")) & (F.pmod(F.xxhash64("id"), F.col("salts")) == F.col("salt"))
-    second = search(visits.filter(~seen).select("id", "idx", "val", "pivot", "salt"))
+    # vectors join back on the JVM side, so the pruning step returns keys only
+    second = search(visits.filter(~seen).select("id", "pivot", "salt").join(asked.select("id", "idx", "val"), "id"))
     return _cut(first.unionByName(second), k)
 
 
