@@ -7,22 +7,46 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfunnel.llm import bpe
+from wayfunnel.llm import bpe, debruijn, lines, oracles, substrings
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def register(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if oracle:
+            ORACLES[fn.__name__] = oracle
+        return fn
+    return register
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query
+@query(oracles.COMMON_LINES)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that at least ten documents hold."""
+    return lines.common_lines(table(spark, sf_dir, "documents"), 10, kept=False)
+
+
+@query()
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document's ids and decoded text."""
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False, decoded=False)
+
+
+@query()
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 400 bytes that start at another place as well."""
+    return substrings.without_repeats(table(spark, sf_dir, "documents"), 400, kept=False)
+
+
+@query(oracles.WORD_WINDOWS)
+def op9_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows of 35 words that start at another place as well."""
+    return debruijn.without_repeats(table(spark, sf_dir, "documents"), 35, kept=False)
