@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfunnel.llm import bpe, debruijn, lines, oracles, substrings
+from wayfunnel.llm import bpe, debruijn, lines, oracles, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents"), 400, kept=False)
 
 
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; labels of held-out documents are not learned from."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query(oracles.WORD_WINDOWS)
 def op9_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of windows of 35 words that start at another place as well."""
