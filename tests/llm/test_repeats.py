@@ -74,7 +74,7 @@ def test_long_texts_are_cut_in_pieces(spark, monkeypatch):
     offsets = np.cumsum([0, *map(len, sequences)])
     windows = set()
     for a, b, inner, doc, base in _repeats.pieces(offsets, 30, 150):
-        at, first, count, _, _ = _repeats.stretches(Prints(byte_codes(data[a:b])), inner, 30, 7)
+        at, first, count, *_ = _repeats.stretches(Prints(byte_codes(data[a:b])), inner, 30, 7)
         for d, f, n in zip(at, first, count, strict=True):
             for i in range(f, f + n):
                 window = (int(doc + d), int(i - inner[d] + base))

@@ -29,3 +29,22 @@ left_over AS (
 SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM rows LEFT JOIN left_over USING (rid)
 """
+
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE rows AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words ELSE list_distinct(list_transform(
+        range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS shingles FROM rows),
+single AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM single a JOIN single b USING (shingle)
+    WHERE a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT doc_id AS id, doc_id AS root FROM sets UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.id),
+least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN least ON id = doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfunnel.llm import bpe, debruijn, lines, oracles, substrings, toxicity
+from wayfunnel.llm import bpe, debruijn, forest, lines, oracles, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents"), 400, kept=False)
 
 
+@query(oracles.NEAR_DUPLICATES)
+def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near duplicates on two-word shingles."""
+    return forest.near_duplicates(table(spark, sf_dir, "documents"), 2, 80)
+
+
 @query()
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; labels of held-out documents are not learned from."""
