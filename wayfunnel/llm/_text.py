@@ -95,14 +95,22 @@ def runs_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 _GAP = np.zeros(256, bool)
 _GAP[list(SPACES)] = True
+_NO_TERM = np.ones(256, bool)
+for _first, _last in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
+    _NO_TERM[_first:_last + 1] = False
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words between white space: starts, ends, and each text's first word (one more entry than texts)."""
-    starts, ends = runs_of(~_GAP[data], offsets)
+    starts, ends = runs_of(~gap[data], offsets)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of ASCII letters, digits and any other characters beyond ASCII, as ``words`` gives them."""
+    return words(data, offsets, _NO_TERM)
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z, other bytes as they are."""
     upper = (data >= 65) & (data <= 90)

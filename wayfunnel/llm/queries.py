@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfunnel.llm import bpe, debruijn, forest, lines, oracles, substrings, toxicity
+from wayfunnel.llm import bpe, debruijn, forest, lines, oracles, substrings, tiling, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,3 +62,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of windows of 35 words that start at another place as well."""
     return debruijn.without_repeats(table(spark, sf_dir, "documents"), 35, kept=False)
+
+
+@query()
+def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that it leaks."""
+    return tiling.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
