@@ -54,10 +54,10 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _sketched(keyed: DataFrame, size: int) -> DataFrame:
-    """Per row: its set's size and 128-bit name, and, once for each set of a batch, the signature."""
+    """Per row: its keys, its set's size and 128-bit name, and, once for each set of a batch, the signature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(2))
+            data, offsets = utf8(batch.column(3))
             for lo, values, bounds in shingles(data, offsets, size):
                 rows = len(bounds) - 1
                 names, count = np.zeros((rows, 2), np.int64), np.zeros(rows, np.int64)
@@ -72,11 +72,11 @@ def _sketched(keyed: DataFrame, size: int) -> DataFrame:
                     kept.append(sketch[i].tobytes() if count[i] and name not in seen else None)
                     seen.add(name)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, rows), batch.column(1).slice(lo, rows), pa.array(count), pa.array(names[:, 0]),
-                     pa.array(names[:, 1]), pa.array(kept, pa.binary())], names=["_id", "_r1", "n", "c1", "c2", "sketch"])
+                    [*(batch.column(i).slice(lo, rows) for i in range(3)), pa.array(count), pa.array(names[:, 0]),
+                     pa.array(names[:, 1]), pa.array(kept, pa.binary())], names=["_id", "_r1", "_r2", "n", "c1", "c2", "sketch"])
 
     kind = keyed.schema["_id"].dataType.simpleString()
-    return keyed.select("_id", "_r1", "text").mapInArrow(run, f"_id {kind}, _r1 long, n long, c1 long, c2 long, sketch binary")
+    return keyed.select("_id", "_r1", "_r2", "text").mapInArrow(run, f"_id {kind}, _r1 long, _r2 long, n long, c1 long, c2 long, sketch binary")
 
 
 def _neighbourhoods(classes: DataFrame) -> DataFrame:
@@ -122,18 +122,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, *, id_column: str = "doc_id",
-                    text_column: str = "text") -> DataFrame:
-    """Link rows whose sets of distinct ``size``-word shingles are at least ``percent`` alike (Jaccard).
-
-    Words stand between white space, A-Z lower-cased; a text with fewer words is one shingle; one without words has an
-    empty set and no link. Returns for each input row the id, ``n_shingles``, ``component_id`` (smallest id reachable)
-    and ``kept`` (the row has that id). Rows that repeat an id stay rows of their own; null ids count only where a
-    component has no other id. A link at the threshold is a candidate in two trees at least with a probability of over
-    1 - 1e-5 in sparse regions. ``docs`` must be a stable plan (a table), as it is read twice.
-    """
-    scratch = Scratch(docs.sparkSession, "forest")
-    keyed = docs.select(F.col(id_column).alias("_id"), row_key(docs, id_column, text_column)[0], F.col(text_column).alias("text"))
+def _grouped(scratch: Scratch, docs: DataFrame, size: int, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """For each row its id, keys, set size ``n`` and ``component_id`` (its own id without shingles)."""
+    keyed = docs.select(F.col(id_column).alias("_id"), *row_key(docs, id_column, text_column), F.col(text_column).alias("text"))
     rows = scratch.table(_sketched(keyed, size))
     classes = scratch.table(
         rows.filter("n > 0").groupBy("c1", "c2").agg(F.min("_id").alias("first"), F.min("_r1").alias("_r1"),
@@ -187,8 +178,43 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, *, id_col
 
     named = classes.select("id", "c1", "c2", "first").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least_id = scratch.table(named.groupBy("component").agg(F.min("first").alias("component_id")))
-    named = scratch.table(named.join(least_id, "component").select("c1", "c2", "component_id"))
+    named = scratch.table(named.join(least_id, "component").select("c1", "c2", "component", "component_id"))
     found = F.when(F.col("n") == 0, F.col("_id")).otherwise(F.col("component_id"))
-    return (rows.select("_id", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
-            .select(F.col("_id").alias(id_column), F.col("n").alias("n_shingles"), found.alias("component_id"),
-                    F.col("_id").eqNullSafe(found).alias("kept")))
+    return (rows.select("_id", "_r1", "_r2", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
+            .select("_id", "_r1", "_r2", "n", "component", found.alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, *, id_column: str = "doc_id",
+                    text_column: str = "text") -> DataFrame:
+    """Link rows whose sets of distinct ``size``-word shingles are at least ``percent`` alike (Jaccard).
+
+    Words stand between white space, A-Z lower-cased; a text with fewer words is one shingle; one without words has an
+    empty set and no link. Returns for each input row the id, ``n_shingles``, ``component_id`` (smallest id reachable)
+    and ``kept`` (the row has that id). Rows that repeat an id stay rows of their own; null ids count only where a
+    component has no other id. A link at the threshold is a candidate in two trees at least with a probability of over
+    1 - 1e-5 in sparse regions. ``docs`` must be a stable plan (a table), as it is read twice.
+    """
+    rows = _grouped(Scratch(docs.sparkSession, "forest"), docs, size, percent, id_column, text_column)
+    return rows.select(F.col("_id").alias(id_column), F.col("n").alias("n_shingles"), "component_id",
+                       F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, *, id_column: str = "doc_id",
+                            text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that with the smallest id; rows without words all stay.
+
+    Of rows that repeat this id one stays, by a hash of the text.
+    """
+    scratch = Scratch(docs.sparkSession, "forest")
+    rows = scratch.table(_grouped(scratch, docs, size, percent, id_column, text_column).filter("n > 0"))
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_r1", "_r2")
+    best = scratch.table(rows.groupBy("component").agg(F.min(order).alias("best")).select("component", "best"))
+    marked = rows.join(best, "component").select("_r1", "_r2", (order == F.col("best")).alias("stays"))
+    names = ["_key1", "_key2"]
+    gone = scratch.table(marked.filter(~F.col("stays")).select("_r1", "_r2").distinct().toDF(*names))
+    again = scratch.table(marked.filter("stays").groupBy("_r1", "_r2").count().filter("count > 1").select("_r1", "_r2").toDF(*names))
+    keyed = docs.withColumns(dict(zip(names, row_key(docs, id_column, text_column), strict=True)))
+    left = keyed.join(gone, names, "left_anti")
+    if not again.isEmpty():  # equal rows: one of them
+        left = left.join(again, names, "left_anti").unionByName(left.join(again, names, "left_semi").dropDuplicates(names))
+    return left.select(docs.columns)
