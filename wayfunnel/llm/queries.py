@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfunnel.llm import bpe, debruijn, forest, lines, oracles, substrings, tiling, toxicity
+from wayfunnel.llm import bpe, debruijn, forest, lines, oracles, permutation, substrings, tiling, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return permutation.neighbours(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
 @query(oracles.COMMON_LINES)
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that at least ten documents hold."""
