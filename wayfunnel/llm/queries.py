@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfunnel.llm import bpe, debruijn, forest, lines, oracles, permutation, substrings, tiling, toxicity
+from wayfunnel.llm import bpe, debruijn, forest, licenses, lines, oracles, packing, permutation, substrings, tiling, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.common_lines(table(spark, sf_dir, "documents"), 10, kept=False)
 
 
+@query()
+def op3_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids packed into rows of 2048, as digests."""
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), 2048, binary=False)
+
+
 @query()
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document's ids and decoded text."""
@@ -59,6 +65,12 @@ def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(table(spark, sf_dir, "documents"), 2, 80)
 
 
+@query()
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license labels."""
+    return licenses.scan(table(spark, sf_dir, "documents"), spans=False)
+
+
 @query()
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; labels of held-out documents are not learned from."""
