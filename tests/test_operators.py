@@ -165,7 +165,7 @@ def test_mmr_matches_greedy(spark):
     items = spark.createDataFrame(list(tags.items()), "dataset_id long, tag string")
     cand = spark.createDataFrame([(1, i, s, "x", .5) for i, s in scores.items()],
                                  "request_id long, item long, score double, reason string, mmr_lambda double")
-    got = [r.item for r in rk.diversify(cand, items, 3, 10).orderBy("rank").collect()]
+    got = [r.item for r in rk.diversify(cand, items, 3).orderBy("rank").collect()]
     norm = {i: (s - .1) / .9 for i, s in scores.items()}
     sets = {i: set(t.split(";")) for i, t in tags.items()}
     picked = []

@@ -57,6 +57,18 @@ def ranked_values(df: DataFrame, value: str) -> DataFrame:
         "total", "distinct_total", "sum_total")
 
 
+def with_position(df: DataFrame, value: str, tie: str, out: str, descending: bool = True) -> DataFrame:
+    """1-based position by the numeric ``value``, then ``tie``, counted range by range."""
+    order = F.desc if descending else F.asc
+    ranged = with_range(df, df, value, value)
+    per = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)  # few ranges
+    offset = per.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy("_range").orderBy(order(value), F.asc(tie))
+    return ranged.withColumn("_p", F.row_number().over(inside)).join(F.broadcast(offset), "_range") \
+        .withColumn(out, (F.col("_p") + F.col("_o")).cast("long")).drop("_p", "_o", "_range")
+
+
 def with_dense_rank(df: DataFrame, value: str, out: str, pct: str | None = None) -> DataFrame:
     """Descending dense rank, and optionally the average-rank percentile (ascending)."""
     ranks = ranked_values(df, value)

@@ -276,9 +276,9 @@ def popular_unseen(ratings: DataFrame, k: int) -> DataFrame:
     A user who rated ``m`` items finds k unseen ones among the best ``k + m``, so ranks up
     to that depth are expanded per user instead of crossing users with the catalogue.
     """
-    from wayfunnel.operators.ranks import with_range
+    from wayfunnel.operators.ranks import with_position
     scores = popularity_scores(ratings).select("item_id", "score")
-    order = _global_order(scores, "score", "item_id", with_range)
+    order = with_position(scores, "score", "item_id", "position")
     seen = ratings.select("user_id", "item_id").distinct()
     depth = seen.groupBy("user_id").agg((rows() + k).alias("depth"))
     wanted = depth.select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), "depth")).alias("position"))
@@ -286,17 +286,6 @@ def popular_unseen(ratings: DataFrame, k: int) -> DataFrame:
     return top_per_group(offered, ["user_id"], [F.asc("position")], k).select("user_id", "item_id", "score", "rank")
 
 
-def _global_order(df: DataFrame, value: str, tie: str, with_range) -> DataFrame:
-    """1-based position by value descending, then tie, counted range by range."""
-    ranged = with_range(df, df, value, value)
-    per = ranged.groupBy("_range").agg(rows().alias("_n"))
-    above = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # few ranges
-    offset = per.select("_range", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_o"))
-    w = Window.partitionBy("_range").orderBy(F.desc(value), F.asc(tie))
-    return ranged.withColumn("_p", F.row_number().over(w)).join(F.broadcast(offset), "_range") \
-        .withColumn("position", (F.col("_p") + F.col("_o")).cast("long")).drop("_p", "_o", "_range")
-
-
 def content_for_users(neighbours: DataFrame, interactions: DataFrame, k: int) -> DataFrame:
     """Mean similarity of an item to all items of the user (absent pairs count as 0), unseen ones only."""
     taken = interactions.select("user_id", F.col("dataset_id").alias("src")).distinct()
@@ -310,20 +299,26 @@ def content_for_users(neighbours: DataFrame, interactions: DataFrame, k: int) ->
 
 
 def hybrid_content_neighbours(items: DataFrame, k: int, size: int = 1000) -> DataFrame:
-    """Cosine of text TF-IDF joined with the scaled price and a one-hot company."""
+    """Cosine of text TF-IDF joined with the scaled price and a one-hot company.
+
+    Every company has a dimension of its own: its place among all companies in a hash order.
+    """
+    from wayfunnel.operators.ranks import with_position
     text, _ = ts.tfidf(_content_text(items), "dataset_id", "text", size=size)
     s = scalar(items, m=F.avg("price"), d=F.stddev_pop("price"))
     named = F.coalesce("create_company_name", F.lit("unknown"))
-    # companies hashed to a fixed width keep the vector bounded
-    hot = F.pmod(F.xxhash64(named), F.lit(256)).cast("int") + size + 1
+    companies = items.select(named.alias("company")).distinct().withColumn("_h", F.crc32(F.encode("company", "utf-8")))
+    companies = with_position(companies, "_h", "company", "at").select("company", "at")
+    count = companies.count()
     price = F.when(s["d"] > 0, (F.col("price") - s["m"]) / s["d"]).otherwise(0.0)
-    side = items.select(F.col("dataset_id").alias("id"), price.alias("p"), hot.alias("h"))
+    side = items.select(F.col("dataset_id").alias("id"), price.alias("p"), named.alias("company")).join(companies, "company") \
+        .select("id", "p", (F.col("at") + size).cast("int").alias("h"))
     none_i, none_v = F.array().cast("array<int>"), F.array().cast("array<double>")
     joined = side.join(text, "id", "left").select(
         "id", F.concat(F.coalesce("idx", none_i), F.array(F.lit(size), F.col("h"))).alias("idx"),
         F.concat(F.coalesce("val", none_v), F.array(F.col("p"), F.lit(1.0))).alias("val"))
     unit = joined.select("id", "idx", vec.normalised("val").alias("val"))
-    return nn.nearest(unit, k, dim=size + 257)
+    return nn.nearest(unit, k, dim=size + count + 1)
 
 
 def similar_items(neighbours: DataFrame, k: int) -> DataFrame:

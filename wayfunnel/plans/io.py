@@ -70,7 +70,7 @@ def _(t: Inputs) -> DataFrame:
     newest = {n: t.table(n).agg(F.max(c).cast("string").alias("m")) for n, c in picked if c}
     out = None
     for name, column in picked:
-        row = (newest[name] if column else t.table(name).limit(1).select(F.lit(None).cast("string").alias("m"))) \
+        row = (newest[name] if column else t.table(name).agg(F.max(F.lit(None).cast("string")).alias("m"))) \
             .select(F.lit(name).alias("table_name"), F.lit(column).cast("string").alias("column"), F.col("m").alias("newest"))
         out = row if out is None else out.unionByName(row)
     return out

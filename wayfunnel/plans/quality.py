@@ -17,12 +17,26 @@ from wayfunnel.plans import recall as pr
 from wayfunnel.plans import tables as pt
 from wayfunnel.plans.oracle import DIV, I, R, TABLES
 from wayfunnel.plans.registry import query
-from wayfunnel.schemas import _contract
-
-USER_CONTRACT = _contract("business", "user", "id",
-                          "id:integer company_name:string? province:string city:string is_consumption:integer? create_time:datetime")
-TASK_CONTRACT = _contract("business", "task", "id", "id:integer create_user:integer dataset_id:integer price:float")
-CHECKED = (USER_CONTRACT, TASK_CONTRACT, _contract("matomo", "matomo_log_visit", "idvisit", "idvisit:integer"))
+from wayfunnel.schemas import ColumnRule, Contract
+
+USER_CONTRACT = Contract("business", "user", ("id",), (
+    ColumnRule("id", "integer"),
+    ColumnRule("company_name", "string", nullable=True),
+    ColumnRule("province", "string"),
+    ColumnRule("city", "string"),
+    ColumnRule("is_consumption", "integer", nullable=True),
+    ColumnRule("create_time", "datetime"),
+))
+TASK_CONTRACT = Contract("business", "task", ("id",), (
+    ColumnRule("id", "integer"),
+    ColumnRule("create_user", "integer"),
+    ColumnRule("dataset_id", "integer"),
+    ColumnRule("price", "float"),
+))
+VISIT_CONTRACT = Contract("matomo", "matomo_log_visit", ("idvisit",), (
+    ColumnRule("idvisit", "integer"),
+))
+CHECKED = (USER_CONTRACT, TASK_CONTRACT, VISIT_CONTRACT)
 
 
 def violations(t: Inputs) -> DataFrame:
@@ -113,15 +127,15 @@ def _(t: Inputs) -> DataFrame:
 
 
 @query("dq9_date_completeness", f"""
-  WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_quantity = 1),
+  WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem),
   c AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS DATE) AS day),
   m AS (SELECT day FROM c WHERE day NOT IN (SELECT day FROM d))
   SELECT (SELECT count(*) FROM m) = 0 AS complete, (SELECT count(*) FROM m) AS missing_periods, count(*) AS total_expected,
          {R('1 - (SELECT count(*) FROM m) / CAST(count(*) AS DOUBLE)')} AS completeness_ratio,
          CAST(min(day) AS VARCHAR) || ' to ' || CAST(max(day) AS VARCHAR) AS date_range,
-         (SELECT string_agg(CAST(day AS VARCHAR), ',' ORDER BY day) FROM (SELECT day FROM m ORDER BY day LIMIT 10)) AS missing_dates FROM c""")
+         (SELECT coalesce(string_agg(CAST(day AS VARCHAR), ',' ORDER BY day), '') FROM (SELECT day FROM m ORDER BY day LIMIT 10)) AS missing_dates FROM c""")
 def _(t: Inputs) -> DataFrame:
-    return dq.date_completeness(t.table("lineitem").filter("l_quantity = 1"), "l_shipdate")
+    return dq.date_completeness(t.table("lineitem"), "l_shipdate")
 
 
 TABLES["x_q_inter"] = f"""

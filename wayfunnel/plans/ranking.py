@@ -22,7 +22,6 @@ from wayfunnel.plans.registry import query
 from wayfunnel.plans.sqlviews import live_items
 
 LIMIT = 10
-POOL = 40
 VARIANTS = (("control", 0.5), ("test", 0.3), ("bold", 0.2))
 
 
@@ -316,7 +315,7 @@ def _(t: Inputs) -> DataFrame:
 @stored
 def diversified(t: Inputs) -> DataFrame:
     lam = requests(t).select("request_id", rk.mmr_lambda("endpoint", "source", "device_type").alias("mmr_lambda"))
-    return rk.diversify(rk.drop_weak(scored(t)).join(lam, "request_id"), pf.items(t), LIMIT, POOL)
+    return rk.diversify(rk.drop_weak(scored(t)).join(lam, "request_id"), pf.items(t), LIMIT)
 
 
 @query("rnk12_diversified")
@@ -325,17 +324,31 @@ def _(t: Inputs) -> DataFrame:
     return diversified.direct(t)
 
 
-@query("rnk14_explored")
-def _(t: Inputs) -> DataFrame:
-    """Hash-ordered exploration (rows only)."""
-    return rk.explore(diversified(t), pf.items(t), 0.2, LIMIT)
-
-
 TABLES["x_final"] = """
   SELECT request_id, item, score, reason, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item) AS rank
   FROM x_strong QUALIFY rank <= 10"""
 
 
+TABLES["x_ring"] = """
+  SELECT dataset_id AS item, row_number() OVER (ORDER BY substr(md5(dataset_id::VARCHAR), 1, 12), dataset_id) - 1 AS place, count(*) OVER () AS n FROM x_items"""
+
+
+@query("rnk14_explored", f"""
+  WITH l AS (SELECT *, max(rank) OVER (PARTITION BY request_id) AS size FROM x_final),
+  k AS (SELECT *, CAST(floor(size * 0.2) AS BIGINT) AS fill FROM l),
+  kept AS (SELECT request_id, item, score, reason, rank FROM k WHERE rank <= size - fill),
+  w AS (SELECT DISTINCT request_id, size, fill, CAST('0x' || substr(md5(request_id::VARCHAR), 1, 12) AS BIGINT) AS point FROM k WHERE fill > 0),
+  d AS (SELECT w.*, r.item, row_number() OVER (PARTITION BY w.request_id ORDER BY (r.place - w.point % r.n + r.n) % r.n) AS x
+        FROM w CROSS JOIN x_ring r WHERE NOT EXISTS (SELECT 1 FROM kept o WHERE o.request_id = w.request_id AND o.item = r.item))
+  SELECT request_id, item, {R('score')} AS score, reason, rank FROM kept
+  UNION ALL SELECT request_id, item, 0.5, 'exploration', size - fill + x FROM d WHERE x <= fill""")
+def _(t: Inputs) -> DataFrame:
+    """Exploration of lists by score, from the whole catalogue."""
+    from wayfunnel.operators.relational import top_per_group
+    final = top_per_group(rk.drop_weak(scored(t)), ["request_id"], [F.desc("score"), F.asc("item")], LIMIT)
+    return rk.explore(final.select("request_id", "item", "score", "reason", "rank"), pf.items(t), 0.2, LIMIT)
+
+
 @query("rnk15_response", f"""
   SELECT f.request_id, f.rank, f.item, m.dataset_name AS title, {R('m.price')} AS price,
          (SELECT image_url FROM x_images g WHERE g.dataset_id = m.id ORDER BY image_order, image_key LIMIT 1) AS cover_image,
@@ -348,7 +361,7 @@ def _(t: Inputs) -> DataFrame:
 
 @query("rnk16_fallback", f"""
   WITH e AS (SELECT request_id, target FROM x_requests WHERE user_id % 3 = 0),
-  s AS (SELECT request_id, item, rank, 'fallback_precomputed' AS reason FROM e JOIN x_precomputed USING (target) WHERE target % 2 = 0),
+  s AS (SELECT request_id, item, rank, 'fallback_precomputed' AS reason FROM e JOIN x_precomputed USING (target) WHERE rank <= 10),
   p AS (SELECT request_id, dataset_id, rank, 'fallback_popular' FROM e CROSS JOIN x_popular WHERE rank <= 10
         AND request_id NOT IN (SELECT request_id FROM s))
   SELECT request_id, item, rank, reason, {R('greatest(0, 0.05::DOUBLE - (rank - 1) * 0.005::DOUBLE)')} AS score
@@ -356,7 +369,7 @@ def _(t: Inputs) -> DataFrame:
 def _(t: Inputs) -> DataFrame:
     asks = requests(t)
     answered = asks.filter(~every("user_id", 3))
-    return rk.fallback(asks, answered, pr.precomputed(t).filter(every("target", 2)), pr.popular(t), LIMIT)
+    return rk.fallback(asks, answered, pr.precomputed(t), pr.popular(t), LIMIT)
 
 
 @query("rnk17_batch_recommend")

@@ -527,11 +527,11 @@ def _(t: Inputs) -> DataFrame:
 
 
 @query("set4_missing_days", """
-  WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_quantity = 1),
+  WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem),
   c AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS DATE) AS day)
   SELECT CAST(day AS VARCHAR) AS day FROM c WHERE day NOT IN (SELECT day FROM d)""")
 def _(t: Inputs) -> DataFrame:
-    days = t.table("lineitem").filter("l_quantity = 1").select(F.to_date("l_shipdate").alias("day")).distinct()
+    days = t.table("lineitem").select(F.to_date("l_shipdate").alias("day")).distinct()
     return rl.missing_from(rl.calendar(days, "day"), days, ["day"]).select(F.col("day").cast("string").alias("day"))
 
 
@@ -575,14 +575,14 @@ def _(t: Inputs) -> DataFrame:
 
 
 @query("jn4_full_outer", """
-  WITH v AS (SELECT k AS dataset_id, count(*) AS views FROM x_events WHERE event_type = 'view' AND value > 50 GROUP BY 1),
-  c AS (SELECT k AS dataset_id, count(*) AS buys FROM x_events WHERE event_type = 'purchase' AND value > 200 GROUP BY 1)
+  WITH v AS (SELECT k AS dataset_id, count(*) AS views FROM x_events WHERE event_type = 'view' GROUP BY 1),
+  c AS (SELECT k AS dataset_id, count(*) AS buys FROM x_events WHERE event_type = 'purchase' GROUP BY 1)
   SELECT coalesce(v.dataset_id, c.dataset_id) AS dataset_id, views, buys FROM v FULL JOIN c ON v.dataset_id = c.dataset_id""")
 def _(t: Inputs) -> DataFrame:
-    def per(kind: str, least: int, name: str) -> DataFrame:
-        kept = t.events.filter((F.col("event_type") == kind) & (F.col("value") > least))
+    def per(kind: str, name: str) -> DataFrame:
+        kept = t.events.filter(F.col("event_type") == kind)
         return kept.groupBy(F.col("k").alias("dataset_id")).agg(F.count(F.lit(1)).alias(name))
-    return per("view", 50, "views").join(per("purchase", 200, "buys"), "dataset_id", "full")
+    return per("view", "views").join(per("purchase", "buys"), "dataset_id", "full")
 
 
 @query("jn5_semi_and_anti", """
