@@ -56,7 +56,7 @@ def request_ranking_data(samples: DataFrame, items: DataFrame, users: DataFrame)
 
 def sample_cap(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     """The ``limit`` rows with the smallest key hash: the same rows on every run."""
-    return df.orderBy(F.xxhash64(*keys), *keys).limit(limit)
+    return df.orderBy(F.md5(F.concat_ws(":", *keys)), *keys).limit(limit)
 
 
 def hash_split(df: DataFrame, key: str, share: float, salt: str = "split") -> DataFrame:

@@ -63,7 +63,11 @@ def _(t: Inputs) -> DataFrame:
     return named.groupBy("increment").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src4_incremental_columns")
+@query("src4_incremental_columns", """
+  SELECT 'orders' AS table_name, 'o_orderdate' AS "column", strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS newest FROM orders
+  UNION ALL SELECT 'events', 'ts', strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') FROM events
+  UNION ALL SELECT 'lineitem', 'l_shipdate', strftime(max(l_shipdate), '%Y-%m-%d %H:%M:%S') FROM lineitem
+  UNION ALL SELECT 'part', NULL, NULL""")
 def _(t: Inputs) -> DataFrame:
     """Chosen incremental column per table of the given data."""
     picked = [(n, rd.incremental_column(n, t.table(n).schema)) for n in ("orders", "events", "lineitem", "part")]

@@ -216,7 +216,9 @@ def _(t: Inputs) -> DataFrame:
                                          "user_total_spent", "channel", "device_type")
 
 
-@query("ml3_sample_cap")
+@query("ml3_sample_cap", """
+  SELECT request_id, dataset_id, CAST(label AS BIGINT) AS label FROM x_samples
+  ORDER BY md5(request_id || ':' || dataset_id), request_id, dataset_id LIMIT 1000""")
 def _(t: Inputs) -> DataFrame:
     """Hash-ordered sample, the same rows on every run."""
     return ml.sample_cap(samples(t).select("request_id", "dataset_id", "label"), ["request_id", "dataset_id"], 1000)

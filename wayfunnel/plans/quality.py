@@ -215,7 +215,9 @@ def _(t: Inputs) -> DataFrame:
     return report(t).select("table_name", "row_count", "quality_score", "status", "overall_score", "overall_status")
 
 
-@query("dq14_processed_gate")
+@query("dq14_processed_gate", """
+  SELECT 'interactions' AS table_name, count(*) AS row_count, '' AS missing_columns, 'pass' AS status FROM x_inter
+  UNION ALL SELECT 'dataset_stats', count(*), '', 'pass' FROM x_stats""")
 def _(t: Inputs) -> DataFrame:
     """Raises when a processed table is empty or lacks columns."""
     return dq.require_pass(dq.table_rules({"interactions": pf.interactions(t), "dataset_stats": pf.item_stats(t)}, {
