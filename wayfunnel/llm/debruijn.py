@@ -19,12 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfunnel.llm import _repeats
-from wayfunnel.llm._repeats import KEYS
-from wayfunnel.llm._tables import Bits, Scratch
+from wayfunnel.llm._tables import Scratch
 from wayfunnel.llm._text import Prints, byte_codes, row_key, slices, utf8, words
 
 LENGTH = 35
-SEED = 8
+SEED = 16
 
 
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
@@ -38,46 +37,21 @@ def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: in
     return out
 
 
-def _paths(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[tuple]:
-    for batch in batches:
-        data, offsets = utf8(batch.column(2))
-        keys = [batch.column(i).to_numpy() for i in (0, 1)]
-        for lo, hi in slices(offsets):
-            part = data[offsets[lo]:offsets[hi]]
-            starts, ends, firsts = words(part, offsets[lo:hi + 1] - offsets[lo])
-            codes = word_codes(part, starts, ends)
-            for a, b, inner, doc, base in _repeats.pieces(firsts, length):
-                prints = Prints(codes[a:b])
-                at, first, count, seeds, blocks = _repeats.stretches(prints, inner, length, seed)
-                yield prints, keys, lo + doc, inner, base, at, first, count, seeds, blocks
-
-
-def paths(keyed: DataFrame, length: int, seed: int) -> DataFrame:
-    """Paths of edges with one anchor: seed and block prints, source coordinates and number of edges."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _repeats.STRETCHES.split(", ")]
-        for _, keys, doc, inner, base, at, first, count, seeds, blocks in _paths(batches, length, seed):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                seeds.view(np.int64), blocks.view(np.int64), keys[0][doc + at], keys[1][doc + at],
-                (first - inner[at] + base).astype(np.int32), count.astype(np.int32))], names=names)
-
-    return keyed.select(*KEYS, "text").mapInArrow(run, _repeats.STRETCHES)
-
-
-def edges(keyed: DataFrame, length: int, seed: int, bits: Bits) -> DataFrame:
-    """Single edges of the paths whose seed passes ``bits``, with source coordinates."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _repeats.WINDOWS.split(", ")]
-        for prints, keys, doc, inner, base, at, first, count, seeds, _ in _paths(batches, length, seed):
-            hit = bits.has(seeds)
-            at, first, count, seeds = at[hit], first[hit], count[hit], seeds[hit]
-            each = np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-            at, seeds = np.repeat(at, count), np.repeat(seeds, count)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                seeds.view(np.int64), prints.of(each, each + length).view(np.int64), keys[0][doc + at], keys[1][doc + at],
-                (each - inner[at] + base).astype(np.int32))], names=names)
-
-    return keyed.select(*KEYS, "text").mapInArrow(run, _repeats.WINDOWS)
+def _scan(length: int, seed: int) -> _repeats.Scan:
+    """Paths of edges with one anchor, from the texts of a batch."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[_repeats.Piece]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(2))
+            keys = [batch.column(i).to_numpy() for i in (0, 1)]
+            for lo, hi in slices(offsets):
+                part = data[offsets[lo]:offsets[hi]]
+                starts, ends, firsts = words(part, offsets[lo:hi + 1] - offsets[lo])
+                codes = word_codes(part, starts, ends)
+                for a, b, inner, row, base in _repeats.pieces(firsts, length):
+                    prints = Prints(codes[a:b])
+                    yield _repeats.Piece(prints, keys, lo + row, inner, base, *_repeats.stretches(prints, inner, length, seed))
+
+    return scan
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, *, seed: int = SEED, id_column: str = "doc_id",
@@ -90,10 +64,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, *, seed: int = SEED,
     read. ``docs`` must be a stable plan (a table), as it is read several times.
     """
     scratch = Scratch(docs.sparkSession, "debruijn")
-    seed = min(seed, length)
+    scan = _scan(length, min(seed, length))
     keyed = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text"), *row_key(docs, id_column, text_column))
-    found = scratch.table(paths(keyed, length, seed))
-    ranges = _repeats.covered(scratch, found, _repeats.shared_seeds(found), lambda bits: edges(keyed, length, seed, bits), length)
+    found = scratch.table(_repeats.parts(keyed, scan, length))
+    ranges = _repeats.covered(scratch, keyed, found, _repeats.repeated_seeds(found), scan, length, (1,))
     kind = docs.schema[id_column].dataType
     fields = [T.StructField(id_column, kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
               T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept", T.StringType())] * kept]
@@ -116,4 +90,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, *, seed: int = SEED,
                     columns.append(pa.array([x.decode() for x in left], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return keyed.join(ranges, KEYS, "left").select("_id", "text", "ranges").mapInArrow(cut, T.StructType(fields))
+    return _repeats.finished(keyed, ranges, cut, T.StructType(fields))

@@ -1,7 +1,7 @@
 """Removal of byte strings that occur more than once, by a logarithmic family of sparse suffix arrays.
 
 A batch's suffix array holds the suffixes that start at content-chosen anchors (see ``_repeats``), ordered by the
-fingerprints of their seed and block. A new batch is merge-scanned against the levels that exist: seeds met on both
+fingerprint of their first bytes. A new batch is merge-scanned against the levels that exist: seeds met on both
 sides are the long matches. It then becomes a level, and levels of one size merge, so that a suffix is rewritten a
 logarithmic number of times and ``b`` batches leave at most ``log2(b) + 1`` levels.
 """
@@ -13,21 +13,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfunnel.llm import _repeats
-from wayfunnel.llm._repeats import KEYS
-from wayfunnel.llm._tables import Bits, Scratch, union
+from wayfunnel.llm._tables import Scratch, union
 from wayfunnel.llm._text import Prints, byte_codes, row_key, utf8
 
 LENGTH = 400
 BATCHES = 4
+PART = 16
 
 
 class SuffixFamily:
-    """Levels of suffix arrays over ``seed``: occurrences ``n`` and the extreme block prints."""
+    """Levels of suffix arrays: the anchors' short seeds in order, with their number of occurrences ``n``."""
 
     def __init__(self, scratch: Scratch):
         self.scratch = scratch
@@ -36,18 +36,19 @@ class SuffixFamily:
 
     @staticmethod
     def _folded(entries: DataFrame) -> DataFrame:
-        return entries.groupBy("seed").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        return entries.groupBy("seed").agg(F.sum("n").alias("n"))
 
     def _level(self, entries: DataFrame, size: int) -> None:
         self.levels.append((size, *self.scratch.write(entries.sortWithinPartitions("seed"))))
 
-    def add(self, stretches: DataFrame) -> DataFrame:
-        """Add a batch; returns its long matches, with itself and with earlier batches: a table."""
-        entries = stretches.selectExpr("seed", "1L AS n", "block AS low", "block AS high")
-        self._level(self._folded(entries), 1)
+    def add(self, suffixes: DataFrame) -> DataFrame:
+        """Add a batch; returns the seeds of its long matches, with itself and with earlier batches."""
+        short = F.col("seed").bitwiseAND(F.lit(_repeats.SHORT))
+        self._level(self._folded(suffixes.select(short.alias("seed"), F.lit(1).cast("long").alias("n"))), 1)
         own = self.levels[-1][1]
-        scanned = [level.join(own.select("seed"), "seed", "left_semi") for _, level, _ in self.levels[:-1]]
-        found = self.scratch.table(self._folded(union([own, *scanned])).filter("n >= 2"))
+        met = [own.filter("n >= 2").select("seed")]
+        met += [own.select("seed").join(level.select("seed"), "seed", "left_semi") for _, level, _ in self.levels[:-1]]
+        found = self.scratch.table(union(met))
         self.matches.append(found)
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a, at_a), (_, b, at_b) = self.levels[-2:]
@@ -58,44 +59,20 @@ class SuffixFamily:
         return found
 
     def repeated(self) -> DataFrame:
-        """Seeds met at least twice over all batches, with ``mixed``: their blocks differ."""
-        return (union(self.matches).groupBy("seed").agg((F.min("low") != F.max("high")).alias("mixed")))
+        """Seeds of all matches; some are listed twice."""
+        return union(self.matches)
 
 
-def _stretches(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _repeats.STRETCHES.split(", ")]
+def _scan(length: int, seed: int) -> _repeats.Scan:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[_repeats.Piece]:
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             keys = [batch.column(i).to_numpy() for i in (0, 1)]
-            for a, b, inner, doc, base in _repeats.pieces(offsets, length):
-                at, first, count, seeds, blocks = _repeats.stretches(Prints(byte_codes(data[a:b])), inner, length, seed)
-                place = (first - inner[at] + base).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                    seeds.view(np.int64), blocks.view(np.int64), keys[0][doc + at], keys[1][doc + at], place,
-                    count.astype(np.int32))], names=names)
-
-    return docs.select(*KEYS, "text").mapInArrow(run, _repeats.STRETCHES)
-
-
-def _windows(docs: DataFrame, length: int, seed: int, bits: Bits) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _repeats.WINDOWS.split(", ")]
-        for batch in batches:
-            data, offsets = utf8(batch.column(2))
-            keys = [batch.column(i).to_numpy() for i in (0, 1)]
-            for a, b, inner, doc, base in _repeats.pieces(offsets, length):
+            for a, b, inner, row, base in _repeats.pieces(offsets, length):
                 prints = Prints(byte_codes(data[a:b]))
-                at, first, count, seeds, _ = _repeats.stretches(prints, inner, length, seed)
-                hit = bits.has(seeds)
-                at, first, count, seeds = at[hit], first[hit], count[hit], seeds[hit]
-                each = np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-                at, seeds = np.repeat(at, count), np.repeat(seeds, count)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                    seeds.view(np.int64), prints.of(each, each + length).view(np.int64), keys[0][doc + at],
-                    keys[1][doc + at], (each - inner[at] + base).astype(np.int32))], names=names)
+                yield _repeats.Piece(prints, keys, row, inner, base, *_repeats.stretches(prints, inner, length, seed))
 
-    return docs.select(*KEYS, "text").mapInArrow(run, _repeats.WINDOWS)
+    return scan
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, *, seed: int | None = None, batches: int = BATCHES,
@@ -107,14 +84,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, *, seed: int | None =
     empty; texts under ``length`` bytes lose nothing; a repeated row counts as another document, so both lose their
     text; other columns are not read. ``docs`` must be a stable plan (a table), as it is read several times.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substrings")
-    seed = seed or max(1, length // 4)
+    scratch = Scratch(docs.sparkSession, "substrings")
+    seed = seed or max(1, length // 2)
+    scan = _scan(length, seed)
     keyed = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text"), *row_key(docs, id_column, text_column))
-    found = scratch.table(_stretches(keyed, length, seed))
+    found = scratch.table(_repeats.parts(keyed, scan, length))
     family = SuffixFamily(scratch)
     for k in range(batches):
         family.add(found.filter(F.pmod("_r1", F.lit(batches)) == k))
-    ranges = _repeats.covered(scratch, found, family.repeated(), lambda bits: _windows(keyed, length, seed, bits), length)
+    sizes = tuple(x for x in (PART,) if x < length // 8) + (1,)
+    ranges = _repeats.covered(scratch, keyed, found, family.repeated(), scan, length, sizes)
     kind = docs.schema[id_column].dataType
     fields = [T.StructField(id_column, kind), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")),
               T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept", T.BinaryType())] * kept]
@@ -141,4 +120,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, *, seed: int | None =
                        pa.array(digests, pa.string()), *[pa.array(left, pa.binary())] * kept]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return keyed.join(ranges, KEYS, "left").select("_id", "text", "ranges").mapInArrow(cut, T.StructType(fields))
+    return _repeats.finished(keyed, ranges, cut, T.StructType(fields))
