@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfunnel.llm._tables import Scratch
 
@@ -61,8 +62,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
-def _posted(classes: DataFrame, pivots: Pivots, visits: int, query: bool) -> DataFrame:
-    """A row for each vector and file: the file, the vector's id, its order of pivots and its components."""
+def _posted(classes: DataFrame, pivots: Pivots, visits: int, query: bool, width: str) -> DataFrame:
+    """A row for each vector and file: the file, the vector's id, its order of pivots and its components (``width``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -72,7 +73,7 @@ def _posted(classes: DataFrame, pivots: Pivots, visits: int, query: bool) -> Dat
                 files = order[:, :visits]
                 own = np.repeat(np.arange(len(vectors)), files.shape[1])
                 packed = pa.array([x.tobytes() for x in order.astype(np.int16)], pa.binary())
-                vectors = pa.array([x.tobytes() for x in vectors], pa.binary())
+                vectors = pa.array([x.tobytes() for x in vectors.astype(width)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(files.ravel().astype(np.int32)), part.column(0).take(pa.array(own)),
                                                   packed.take(pa.array(own)), vectors.take(pa.array(own))], names=["file", "id", "pivots", "v"])
 
@@ -112,8 +113,10 @@ def neighbours(table: DataFrame, queries: DataFrame, k: int = 20, *, id_column:
     visits = max(min(count, 24), -(-count // VISITED))
     asked = usable(queries, id_column, vector_column)
 
-    files = _posted(classes, pivots, min(POSTED, count), False)
-    visiting = _posted(asked, pivots, visits, True)
+    single = all(t.schema[vector_column].dataType == T.ArrayType(T.FloatType()) for t in (table, queries))
+    width = "<f4" if single else "<f8"  # what holds the components without loss
+    files = _posted(classes, pivots, min(POSTED, count), False, width)
+    visiting = _posted(asked, pivots, visits, True, width)
     files, visiting = scratch.table(files), scratch.table(visiting)
     sizes = [side.groupBy("file").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"n_{name}")) for side, name in ((files, "x"), (visiting, "q"))]
     blocks = scratch.table(sizes[0].join(sizes[1], "file"))  # at most a row for each pivot
@@ -127,7 +130,7 @@ def neighbours(table: DataFrame, queries: DataFrame, k: int = 20, *, id_column:
                 continue
             ids = posted.id.to_numpy()
             orders = np.stack([np.frombuffer(x, np.int16) for x in posted.pivots]).astype(np.int64)
-            vectors = np.stack([np.frombuffer(x) for x in posted.v])
+            vectors = np.stack([np.frombuffer(x, width) for x in posted.v]).astype(np.float64)
             for lo in range(0, len(visits_here), 128):
                 part = visits_here.iloc[lo:lo + 128]
                 own = np.stack([np.frombuffer(x, np.int16) for x in part.pivots]).astype(np.int64)
@@ -136,7 +139,7 @@ def neighbours(table: DataFrame, queries: DataFrame, k: int = 20, *, id_column:
                 footrule = np.zeros((len(part), len(posted)), np.int32)
                 for j in range(orders.shape[1]):
                     footrule += np.abs(place[:, orders[:, j]] - j)
-                asking = np.stack([np.frombuffer(x) for x in part.v])
+                asking = np.stack([np.frombuffer(x, width) for x in part.v]).astype(np.float64)
                 scores = asking @ vectors.T
                 kept = max(min(len(posted), 2 * k), int(len(posted) * RERANKED))
                 if kept < len(posted):
