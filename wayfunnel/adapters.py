@@ -6,6 +6,7 @@ The same mapping is written independently in SQL in ``plans/oracle.py``.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, wraps
@@ -25,7 +26,9 @@ def every(c: str, n: int, r: int = 0) -> Column:
     return F.pmod(F.col(c), F.lit(n)) == r
 
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str, str], DataFrame] = {}
+#: Seconds that building each stored table took in this process.
+BUILD_SECONDS: dict[str, float] = {}
 
 
 @dataclass
@@ -41,11 +44,20 @@ class Inputs:
 
         Downstream jobs read such tables instead of recomputing them, as a nightly run does.
         """
-        key = (self.spark.sparkContext.applicationId, self.root, name)
+        key = (self.spark.sparkContext.applicationId, self.root, self.state, name)
         if key not in _STORED:
+            started = time.time()
             _STORED[key] = written(build(), name)
+            BUILD_SECONDS[name] = round(time.time() - started, 3)
         return _STORED[key]
 
+    @cached_property
+    def state(self) -> str:
+        """Digest of the input files' names, sizes and times, so changed input is not answered from old tables."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root)
+        one = F.xxhash64("path", "length", "modificationTime")
+        return str(files.agg(F.bit_xor(one).alias("x"), F.count(F.lit(1)).alias("n")).first())
+
     # business tables -------------------------------------------------------
     @cached_property
     def raw_users(self) -> DataFrame:
