@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfunnel.llm._text import lean
+
 WINDOWS = (12, 6)  # words in a long and in a short window
 FEATURES = 2 + 7 * len(WINDOWS)
 PREFIX = 6  # bytes of a word's beginning, its leading space included
 TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 2400, 3600, 20_000  # the most rows that a fit reads, and bytes in each
-CONTEXTS, TELLING, RATIO = 20, 30.0, 5.0
+CONTEXTS, TELLING, RATIO = 5, 25.0, 5.0
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -123,23 +125,39 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, penalty: float = 1
     return w.tolist()
 
 
-def fit(labelled: DataFrame, text_column: str = "text", label_column: str = "label", *, toxic_rows: int = TOXIC_SAMPLE,
-        ordinary_rows: int = ORDINARY_SAMPLE) -> Model:
-    """Train on a bounded sample of ``labelled``: the first rows of each label (1 toxic, 0 ordinary) by a text hash.
+def sample(docs: DataFrame, labels: DataFrame, rows: dict[int, int], id_column: str, text_column: str) -> tuple[DataFrame, dict[int, int]]:
+    """At most ``rows[label]`` texts (``t``, ``y``, ``h``) of each label, by a hash of the id, and the labels' totals.
 
-    Texts over ``SAMPLE_BYTES`` are not sampled; other labels and null texts are left out. Every third sampled text is
-    kept for the calibration. Without texts of both labels every score is that of the empty evidence, 0.
+    Ids are chosen before any text is read; a share of about the size wanted is taken first, so that the order is made
+    over a bounded number of ids. The chosen ids, bounded by ``rows``, are broadcast.
     """
+    known = (labels.filter(F.col("label").isin(*rows)).select("_id", F.col("label").cast("int").alias("y"), F.xxhash64(F.lit(3), "_id").alias("h"))
+             .join(docs.select(F.col(id_column).alias("_id")), "_id", "left_semi").distinct())
+    totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    chosen = []
+    for label, most in rows.items():
+        share = math.ceil((1 << 20) * min(1.0, 1.3 * (most + 100) / max(1, totals.get(label, 0))))
+        chosen.append(known.filter((F.col("y") == label) & (F.pmod("h", F.lit(1 << 20)) < share)).orderBy("h", "_id").limit(most))
     text = F.col(text_column)
-    usable = labelled.filter(text.isNotNull() & F.col(label_column).isin(0, 1)).select(
-        text.alias("t"), F.col(label_column).alias("y"), F.xxhash64(F.lit(3), text).alias("h"))
-    totals = {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    sets, held = {}, []
-    for label, rows in ((1, toxic_rows), (0, ordinary_rows)):
-        texts = [tokens(r.t) for r in usable.filter((F.col("y") == label) & (F.octet_length("t") <= SAMPLE_BYTES))
-                 .orderBy("h", "t").limit(rows).collect()]
-        sets[label] = [t for i, t in enumerate(texts) if i % 3]
-        held += [(t, label) for i, t in enumerate(texts) if not i % 3]
+    found = (docs.filter(text.isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES)).select(F.col(id_column).alias("_id"), text.alias("t"))
+             .join(F.broadcast(chosen[0].unionByName(chosen[1])), "_id").groupBy("_id", "y", "h").agg(F.min("t").alias("t")))
+    return found, totals
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", toxic_rows: int = TOXIC_SAMPLE,
+        ordinary_rows: int = ORDINARY_SAMPLE) -> Model:
+    """Train on a bounded sample of the texts that ``labels`` (``_id``, ``label``: 1 toxic, 0 ordinary) names.
+
+    Texts over ``SAMPLE_BYTES`` are not sampled; other labels and null texts are left out; of texts with one id the
+    smallest counts. Every third sampled text is kept for the calibration. Without texts of both labels every score is
+    that of no evidence, 0.
+    """
+    found, totals = sample(docs, labels, {1: toxic_rows, 0: ordinary_rows}, id_column, text_column)
+    texts: dict[int, list[list[bytes]]] = {1: [], 0: []}
+    for row in sorted(found.collect(), key=lambda r: (r.h, r.t)):
+        texts[row.y].append(tokens(row.t))
+    sets = {label: [t for i, t in enumerate(own) if i % 3] for label, own in texts.items()}
+    held = [(t, label) for label, own in texts.items() for i, t in enumerate(own) if not i % 3]
     if not sets[1] or not sets[0]:
         return Model([(b"", b"")] * len(WINDOWS), [-30.0] + [0.0] * (FEATURES - 1))
     telling = set(_telling(_contexts(sets[1]), _contexts(sets[0])))
@@ -172,11 +190,13 @@ def scored(docs: DataFrame, model: Model, text_column: str = "text", *, score: s
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = pa.array([model.score(t.as_py()) for t in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, score])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                scores = pa.array([model.score(t.as_py()) for t in batch.column(at)], pa.float64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, score])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def held_out(id_column: str = "doc_id") -> F.Column:
@@ -186,8 +206,7 @@ def held_out(id_column: str = "doc_id") -> F.Column:
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the rows of ``labels`` (doc_id, toxic) whose ids are not held out."""
-    known = labels.filter(~held_out()).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("label"))
-    return fit(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")))
+    return fit(docs, labels.filter(~held_out()).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("label")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
