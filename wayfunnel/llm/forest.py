@@ -2,9 +2,9 @@
 
 Documents with one shingle set are one class; a class has one signature. Each tree of the forest orders the classes by
 the signature read from another place; classes with a long common prefix there are neighbours. A class is first compared
-with the leader of each neighbourhood. Where that leaves several components in a neighbourhood, those outside the
-leader's are compared with all members, at the least depth for sparse regions and deeper ones for dense regions. Every
-link is confirmed on the full sets.
+with two leaders of each neighbourhood: its member with most neighbours over all trees, and a random one. Where that leaves several
+components in a neighbourhood, those outside the leader's are compared with all members, at the least depth for sparse
+regions and deeper ones for dense regions. Pairs whose signatures agree enough are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 from wayfunnel.llm._components import components
 from wayfunnel.llm._repeats import SHORT, filtered
 from wayfunnel.llm._tables import Bits, Scratch
-from wayfunnel.llm._text import Prints, lowered, mixed, row_key, slices, utf8, words
+from wayfunnel.llm._text import Prints, lean, lowered, mixed, row_key, slices, utf8, words
 from wayfunnel.llm.debruijn import word_codes
 
-TREES = 32
-DEPTHS = (4, 8, 16)
-DENSE = 256  # members from which a region is read one depth further
+TREES = 64
+DEPTHS = (8, 16, 32)
+DENSE = 64  # members from which a region is read one depth further
 HASHES = 128
+MARGIN = 0.16  # nearly five times the standard error of a similarity that signatures estimate
 
 _FACTORS = np.random.default_rng(6).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -76,7 +77,7 @@ def _sketched(keyed: DataFrame, size: int) -> DataFrame:
                      pa.array(names[:, 1]), pa.array(kept, pa.binary())], names=["_id", "_r1", "_r2", "n", "c1", "c2", "sketch"])
 
     kind = keyed.schema["_id"].dataType.simpleString()
-    return keyed.select("_id", "_r1", "_r2", "text").mapInArrow(run, f"_id {kind}, _r1 long, _r2 long, n long, c1 long, c2 long, sketch binary")
+    return keyed.select("_id", "_r1", "_r2", "text").mapInArrow(lean(run), f"_id {kind}, _r1 long, _r2 long, n long, c1 long, c2 long, sketch binary")
 
 
 def _neighbourhoods(classes: DataFrame) -> DataFrame:
@@ -96,7 +97,18 @@ def _neighbourhoods(classes: DataFrame) -> DataFrame:
                         columns.append(pa.array(name.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(part.column(0).to_numpy(), TREES))], names=[*names, "id"])
 
-    return classes.select("id", "sketch").mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "id"]))
+    return classes.select("id", "sketch").mapInArrow(lean(run), ", ".join(f"{n} long" for n in [*names, "id"]))
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (``a``, ``b``) whose signatures agree nearly to ``percent``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, HASHES) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((a == b).mean(axis=1) >= percent / 100 - MARGIN))
+
+    a, b = (sketches.select(F.col("id").alias(n), F.col("sketch").alias(f"s_{n}")) for n in ("a", "b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "s_a", "s_b").mapInArrow(lean(run), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -119,7 +131,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 
     a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long")
 
 
 def _grouped(scratch: Scratch, docs: DataFrame, size: int, percent: int, id_column: str, text_column: str) -> DataFrame:
@@ -136,26 +148,33 @@ def _grouped(scratch: Scratch, docs: DataFrame, size: int, percent: int, id_colu
               .filter("n > 1").select("k"))
     near = scratch.table(filtered(every, Bits(shared)))
 
-    members = near.select("id").distinct().join(classes.select("id", "_r1"), "id")
-    members = scratch.table(members)
-    wanted = Bits(members.select("_r1"))
-    texts = (filtered(keyed.select("_r1", "text"), wanted).join(members, "_r1").groupBy("id").agg(F.first("text").alias("text")))
-    texts = scratch.table(texts)
-
-    # round 1: every class with the leader of each of its neighbourhoods; leaders are the same in all trees
-    rank = F.xxhash64("id")
-    pairs = []
-    for key in (least, *deeper):
-        leader = scratch.table(near.groupBy(key).agg(F.min(F.struct(rank.alias("rank"), "id")).alias("l"), F.count("*").alias("n"))
-                               .filter("n > 1").select(key, F.col("l.id").alias("b")))
-        pairs.append(near.select(key, F.col("id").alias("a")).join(leader, key).filter("a <> b").select("a", "b"))
-    first = pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
-    first = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = scratch.table(_confirmed(first, texts, size, percent))
+    sketches = scratch.table(near.select("id").distinct().join(classes.select("id", "sketch"), "id"))
+
+    # round 1: every class with the leaders of each of its neighbourhoods
+    sizes = scratch.table(near.groupBy(least).agg(F.count("*").alias("n")).filter("n > 1"))
+    central = near.join(sizes, least).groupBy("id").agg(F.sum("n").alias("n"))
+    rank = F.struct(F.negative("n").alias("n"), F.xxhash64("id").alias("h"))
+    central = scratch.table(central.select("id", rank.alias("rank")))
+    leaders = (near.join(central, "id").groupBy(least)
+               .agg(F.min(F.struct("rank", "id")).alias("x"), F.min(F.struct(F.xxhash64("id", least).alias("rank"), "id")).alias("y")))
+    leaders = scratch.table(leaders.select(least, F.array_distinct(F.array("x.id", "y.id")).alias("b")))
+    first = near.select(least, F.col("id").alias("a")).join(leaders, least).select("a", F.explode("b").alias("b")).filter("a <> b")
+    first = scratch.table(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Likely pairs that their texts confirm; only the texts of likely pairs are read out."""
+        pairs = scratch.table(_likely(pairs, sketches, percent))
+        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        ends = scratch.table(ends.join(classes.select("id", "_r1"), "id"))
+        texts = filtered(keyed.select("_r1", "text"), Bits(ends.select("_r1"))).join(ends, "_r1")
+        texts = scratch.table(texts.groupBy("id").agg(F.first("text").alias("text")))
+        return scratch.table(_confirmed(pairs, texts, size, percent))
+
+    links = confirmed(first)
     component = components(scratch, links)
 
     # round 2: neighbourhoods that still hold several components
-    named = near.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = near.join(component, "id", "left").join(central, "id").withColumn("component", F.coalesce("component", "id"))
     for key, below in zip((least, *deeper), (*deeper, None), strict=True):
         named = named.withColumn("key", F.col(key)) if key == least else named
         if below:
@@ -163,17 +182,16 @@ def _grouped(scratch: Scratch, docs: DataFrame, size: int, percent: int, id_colu
             dense = scratch.table(dense.select("key", F.lit(True).alias("dense")))
             named = (named.join(dense, "key", "left").withColumn("key", F.when(F.col("dense"), F.col(below)).otherwise(F.col("key")))
                      .drop("dense"))
-    named = scratch.table(named.select("key", "id", "component"))
+    named = scratch.table(named.select("key", "id", "component", "rank"))
     several = scratch.table(
         named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                 F.min(F.struct(rank.alias("rank"), "component")).alias("l"))
+                                 F.min(F.struct("rank", "component")).alias("l"))
         .filter("low <> high").select("key", F.col("l.component").alias("main")))
-    open_ = scratch.table(named.join(several, "key"))
+    open_ = scratch.table(named.drop("rank").join(several, "key"))
     outside = open_.filter("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
     cross = (outside.join(open_.select("key", F.col("id").alias("y"), F.col("component").alias("cy")), "key").filter("cx <> cy")
-             .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "key").distinct()
-             .groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b"))
-    more = scratch.table(_confirmed(cross.join(first, ["a", "b"], "left_anti"), texts, size, percent))
+             .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    more = confirmed(cross.join(first, ["a", "b"], "left_anti"))
     component = components(scratch, links.unionByName(more))
 
     named = classes.select("id", "c1", "c2", "first").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -191,8 +209,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, *, id_col
     Words stand between white space, A-Z lower-cased; a text with fewer words is one shingle; one without words has an
     empty set and no link. Returns for each input row the id, ``n_shingles``, ``component_id`` (smallest id reachable)
     and ``kept`` (the row has that id). Rows that repeat an id stay rows of their own; null ids count only where a
-    component has no other id. A link at the threshold is a candidate in two trees at least with a probability of over
-    1 - 1e-5 in sparse regions. ``docs`` must be a stable plan (a table), as it is read twice.
+    component has no other id. A link at the threshold is a candidate with a probability of about 1 - 1e-5 in
+    sparse regions. ``docs`` must be a stable plan (a table), as it is read twice.
     """
     rows = _grouped(Scratch(docs.sparkSession, "forest"), docs, size, percent, id_column, text_column)
     return rows.select(F.col("_id").alias(id_column), F.col("n").alias("n_shingles"), "component_id",
