@@ -19,11 +19,11 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfunnel.llm._text import row_key
+from wayfunnel.llm._text import lean, row_key
 
 LENGTH = 2048
-GROUP_BYTES = 16 << 20  # text in a group
-KEPT_CHUNKS = 200_000
+GROUP_BYTES = 4 << 20  # text in a group
+KEPT_CHUNKS = 50_000
 #: Fixed value: how the vocabulary's text is cut before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -174,5 +174,5 @@ def packed(docs: DataFrame, path: str, length: int = LENGTH, *, group_bytes: int
 
     schema = (f"group int, row int, n_tokens int, n_segments int, cu_seqlens array<int>, segments array<struct<id: {kind}, first: int>>, "
               "ids_sha256 string, positions_sha256 string" + ", ids binary, positions binary" * binary)
-    return (keyed.mapInArrow(encoded, f"group int, _id {kind}, _r1 long, ids binary").filter(F.length("ids") > 0)
+    return (keyed.mapInArrow(lean(encoded), f"group int, _id {kind}, _r1 long, ids binary").filter(F.length("ids") > 0)
             .groupBy("group").applyInArrow(pack, schema))
