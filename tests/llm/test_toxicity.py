@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wayfunnel.llm import toxicity
@@ -44,3 +45,11 @@ def test_no_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in toxicity.classify(docs, none).collect()] == [0, 0]
     assert toxicity.classify(docs.filter(F.lit(False)), none).count() == 0
+
+
+def test_separable_rows_stay_bounded():
+    r = np.random.default_rng(1)
+    x = np.column_stack([np.ones(400), r.normal(size=400), np.r_[np.zeros(200), np.full(200, 9.0)], np.zeros(400)])
+    y = np.r_[np.zeros(200), np.ones(200)]
+    w = np.array(toxicity._logistic(x, y))
+    assert np.abs(w).max() < 50 and ((x @ w > 0) == y).all()

@@ -115,13 +115,21 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, penalty: float = 1e-2) -> list[float]:
-    """Newton's method with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, penalty: float = 0.1) -> list[float]:
+    """Newton's method with a ridge; a step is halved until the loss falls, so nearly separable rows don't run away."""
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, x @ w * (1 - 2 * y)).sum() + penalty / 2 * w @ w)
+
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (y - p) - penalty * w)
+        step, scale, before = np.linalg.solve(h, x.T @ (y - p) - penalty * w), 1.0, loss(w)
+        while scale > 1e-6 and loss(w + scale * step) >= before:
+            scale /= 2
+        if scale <= 1e-6:
+            break
+        w = w + scale * step
     return w.tolist()
 
 
