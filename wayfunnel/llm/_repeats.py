@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfunnel.llm._tables import Bits, Scratch, union
-from wayfunnel.llm._text import Prints
+from wayfunnel.llm._text import Prints, lean
 
 _PLACE = np.uint64((1 << 24) - 1)
 PIECE = 1 << 18
@@ -145,7 +145,7 @@ def parts(keyed: DataFrame, scan: Scan, width: int, steps: list[Step] | None = N
                 piece.seeds.view(np.int64), piece.blocks.view(np.int64), piece.keys[0][row], piece.keys[1][row],
                 (piece.first - piece.offsets[piece.at] + piece.base).astype(np.int32), piece.count.astype(np.int32))], names=NAMES)
 
-    return keyed.select(*KEYS, "text").mapInArrow(run, PARTS)
+    return keyed.select(*KEYS, "text").mapInArrow(lean(run), PARTS)
 
 
 def filtered(rows: DataFrame, bits: Bits, column: int = 0) -> DataFrame:
@@ -154,7 +154,7 @@ def filtered(rows: DataFrame, bits: Bits, column: int = 0) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(bits.has(batch.column(column).to_numpy())))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(lean(run), rows.schema)
 
 
 def repeated_seeds(rows: DataFrame) -> DataFrame:
@@ -209,8 +209,8 @@ def finished(keyed: DataFrame, ranges: DataFrame, cut: Callable, schema: T.Struc
         return cut(left())
 
     touched = filtered(keyed.select("_r1", "_r2", "_id", "text"), bits).join(ranges, KEYS, "left")
-    return (keyed.select("_r1", "_id", "text").mapInArrow(without, schema)
-            .unionByName(touched.select("_id", "text", "ranges").mapInArrow(cut, schema)))
+    return (keyed.select("_r1", "_id", "text").mapInArrow(lean(without), schema)
+            .unionByName(touched.select("_id", "text", "ranges").mapInArrow(lean(cut), schema)))
 
 
 def merged(ranges: list | None) -> np.ndarray:

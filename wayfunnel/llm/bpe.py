@@ -21,7 +21,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-KEPT_WORDS = 200_000
+from wayfunnel.llm._text import lean
+
+KEPT_WORDS = 50_000
 
 
 def _byte_letters() -> list[str]:
@@ -83,7 +85,7 @@ class WordBPE:
             if len(token) == 1 or i in self.made:
                 self.automaton.add_word(token, (i, len(token)))
         self.automaton.make_automaton()
-        self.compatible = lru_cache(maxsize=1 << 20)(self._compatible)
+        self.compatible = lru_cache(maxsize=1 << 16)(self._compatible)
         self.known: dict[str, tuple[str, str, int]] = {}
 
     def _symbols(self, token: str) -> str:
@@ -213,4 +215,4 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
                     columns.append(pa.array([d[1] for d in done], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return docs.select(id_column, text_column).mapInArrow(run, T.StructType(fields))
+    return docs.select(id_column, text_column).mapInArrow(lean(run), T.StructType(fields))

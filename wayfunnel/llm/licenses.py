@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from wayfunnel.llm.toxicity import tokens
+from wayfunnel.llm._text import lean
 
 #: Phrases whose places are counted, and their labels.
 BASE = {
@@ -228,4 +229,4 @@ def scan(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds[:len(fields) - 1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[f.name for f in fields])
 
-    return docs.select(id_column, text_column).mapInArrow(run, T.StructType(fields))
+    return docs.select(id_column, text_column).mapInArrow(lean(run), T.StructType(fields))

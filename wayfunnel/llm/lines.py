@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfunnel.llm._tables import Bits, Scratch, union
-from wayfunnel.llm._text import SPACES, row_key
+from wayfunnel.llm._text import SPACES, lean, row_key
 
 BATCHES = 4
 FANOUT = 3
@@ -85,13 +85,13 @@ def _lines(keyed: DataFrame, batches: int, least_length: int) -> DataFrame:
                          pa.array(list(count.values()), pa.int64())], names=["batch", "low", "high", "n"])
 
     return (keyed.select(F.pmod("_r1", F.lit(batches)).cast("int").alias("batch"), "text")
-            .mapInArrow(run, "batch int, low long, high long, n long"))
+            .mapInArrow(lean(run), "batch int, low long, high long, n long"))
 
 
 def _places(keyed: DataFrame, bits: Bits) -> DataFrame:
     """Places of the lines whose hash passes the filter."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (p.slice(lo, 1024) for p in parts for lo in range(0, p.num_rows, 1024)):
             keys = [part.column(i).to_numpy() for i in (0, 1)]
             rows, places, lines = [], [], []
             for row, text in enumerate(part.column(2)):
@@ -107,7 +107,7 @@ def _places(keyed: DataFrame, bits: Bits) -> DataFrame:
                 [pa.array(x) for x in (keys[0][rows[hit]], keys[1][rows[hit]], places[hit], halves[hit, 0], halves[hit, 1])],
                 names=["_r1", "_r2", "place", "low", "high"])
 
-    return keyed.select("_r1", "_r2", "text").mapInArrow(run, "_r1 long, _r2 long, place int, low long, high long")
+    return keyed.select("_r1", "_r2", "text").mapInArrow(lean(run), "_r1 long, _r2 long, place int, low long, high long")
 
 
 def _dropped(docs: DataFrame, least: int, least_length: int, batches: int, id_column: str, text_column: str) -> DataFrame:
@@ -140,7 +140,7 @@ def common_lines(docs: DataFrame, least: int = 10, *, least_length: int = 1, bat
     slim = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (p.slice(lo, 512) for p in parts for lo in range(0, p.num_rows, 512)):
             counts, dropped, left = [], [], []
             for text, gone in zip(part.column(1), part.column(2).to_pylist(), strict=True):
                 lines = (text.as_py() or "").split("\n")
@@ -155,7 +155,7 @@ def common_lines(docs: DataFrame, least: int = 10, *, least_length: int = 1, bat
             yield pa.RecordBatch.from_arrays(columns + [pa.array(left, pa.string())] * kept, names=[f.name for f in fields])
 
     return (_dropped(slim, least, least_length, batches, "_id", "_text").select("_id", "_text", "_gone")
-            .mapInArrow(cut, T.StructType(fields)))
+            .mapInArrow(lean(cut), T.StructType(fields)))
 
 
 def without_common_lines(docs: DataFrame, least: int = 10, *, least_length: int = 1, batches: int = BATCHES,

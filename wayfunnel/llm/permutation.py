@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfunnel.llm._tables import Scratch
+from wayfunnel.llm._text import lean
 
 PIVOTS = 2048  # the most; 8 times the root of the number of vectors, if that is less
 POSTED = 8  # files that list a vector
@@ -78,7 +79,7 @@ def _posted(classes: DataFrame, pivots: Pivots, visits: int, query: bool, width:
                                                   packed.take(pa.array(own)), vectors.take(pa.array(own))], names=["file", "id", "pivots", "v"])
 
     kind = classes.schema["id"].dataType.simpleString()
-    return classes.select("id", "v").mapInArrow(run, f"file int, id {kind}, pivots binary, v binary")
+    return classes.select("id", "v").mapInArrow(lean(run), f"file int, id {kind}, pivots binary, v binary")
 
 
 def _in_blocks(posted: DataFrame, blocks: DataFrame, own: str, other: str) -> DataFrame:

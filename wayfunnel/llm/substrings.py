@@ -99,25 +99,27 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, *, seed: int | None =
               T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept", T.BinaryType())] * kept]
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            data, offsets = utf8(part.column(1))
-            removed, spans, digests, left = [], [], [], []
-            for i, ranges in enumerate(part.column(2).to_pylist()):
-                text = data[offsets[i]:offsets[i + 1]]
-                gaps = _repeats.merged(ranges)
-                if len(gaps):
-                    inside = np.zeros(len(text) + 1, np.int8)
-                    inside[gaps[:, 0]] += 1
-                    inside[gaps[:, 1]] -= 1
-                    text = text[np.cumsum(inside[:-1], dtype=np.int8) == 0]
-                removed.append(int((gaps[:, 1] - gaps[:, 0]).sum()))
-                spans.append(len(gaps))
-                text = text.tobytes()
-                digests.append(hashlib.sha256(text).hexdigest())
-                if kept:
-                    left.append(text)
-            columns = [part.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
-                       pa.array(digests, pa.string()), *[pa.array(left, pa.binary())] * kept]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        for whole in parts:
+            for lo in range(0, whole.num_rows, 256):
+                part = whole.slice(lo, 256)
+                data, offsets = utf8(part.column(1))
+                removed, spans, digests, left = [], [], [], []
+                for i, ranges in enumerate(part.column(2).to_pylist()):
+                    text = data[offsets[i]:offsets[i + 1]]
+                    gaps = _repeats.merged(ranges)
+                    if len(gaps):
+                        inside = np.zeros(len(text) + 1, np.int8)
+                        inside[gaps[:, 0]] += 1
+                        inside[gaps[:, 1]] -= 1
+                        text = text[np.cumsum(inside[:-1], dtype=np.int8) == 0]
+                    removed.append(int((gaps[:, 1] - gaps[:, 0]).sum()))
+                    spans.append(len(gaps))
+                    text = text.tobytes()
+                    digests.append(hashlib.sha256(text).hexdigest())
+                    if kept:
+                        left.append(text)
+                columns = [part.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
+                           pa.array(digests, pa.string()), *[pa.array(left, pa.binary())] * kept]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return _repeats.finished(keyed, ranges, cut, T.StructType(fields))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfunnel.llm._tables import Bits, Scratch
-from wayfunnel.llm._text import Prints, lowered, row_key, slices, terms, utf8
+from wayfunnel.llm._text import Prints, lean, lowered, row_key, slices, terms, utf8
 from wayfunnel.llm.debruijn import word_codes
 
 SEED = 5
@@ -81,7 +81,7 @@ def _seeds(keyed: DataFrame, seed: int, bits: Bits | None = None) -> DataFrame:
                     prints[fits].view(np.int64), keys[0][lo + row], keys[1][lo + row], place.astype(np.int32), count[row].astype(np.int32))],
                     names=["seed", "_r1", "_r2", "place", "words"])
 
-    return keyed.select("_r1", "_r2", "text").mapInArrow(run, "seed long, _r1 long, _r2 long, place int, words int")
+    return keyed.select("_r1", "_r2", "text").mapInArrow(lean(run), "seed long, _r1 long, _r2 long, place int, words int")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, *, id_column: str = "doc_id",
@@ -114,7 +114,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: flo
 
     kind = benchmark.schema[item_column].dataType.simpleString()
     return (common.select("_r1", "_r2", "_item", "words", "places")
-            .mapInArrow(run, f"_r1 long, _r2 long, _item {kind}, covered double").withColumnRenamed("_item", item_column))
+            .mapInArrow(lean(run), f"_r1 long, _r2 long, _item {kind}, covered double").withColumnRenamed("_item", item_column))
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, *, id_column: str = "doc_id",
