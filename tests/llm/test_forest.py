@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from wayfunnel.llm import forest
 from wayfunnel.llm._components import components
 from wayfunnel.llm._tables import Scratch
@@ -83,3 +85,37 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {x.id: x.component for x in components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: root(i) for a, b in edges for i in (a, b) if a != b}
+
+
+def family(members, planted, seed=3):
+    """Distinct texts that are alike at 0.6 to 0.79, and pairs just over 0.8 among them."""
+    r = random.Random(seed)
+    base = [f"word{i}" for i in range(200)]
+
+    def changed(words, count):
+        own = list(words)
+        for i in r.sample(range(200), count):
+            own[i] = f"own{r.random()}"
+        return own
+
+    texts = [changed(base, 10) for _ in range(members)]
+    texts += [changed(t, 10) for t in texts[:planted]]
+    texts = [" ".join(t) for t in texts]
+    r.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_dense_family(spark):
+    rows = family(1100, 60)
+    sets = [set(zip(t.split(), t.split()[1:], strict=False)) for _, t in rows]
+    column = {x: i for i, x in enumerate(set().union(*sets))}
+    there = np.zeros((len(sets), len(column)), np.float32)
+    for i, own in enumerate(sets):
+        there[i, [column[x] for x in own]] = 1
+    shared, count = there @ there.T, there.sum(axis=1)
+    alike = 100 * shared >= 80 * (count[:, None] + count - shared)
+    linked = [(int(b), int(a)) for a, b in zip(*np.nonzero(alike), strict=True) if a < b]
+    assert len(linked) == len({i for pair in linked for i in pair}) / 2 == 60  # pairs of their own
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = forest.near_duplicates(docs, 2).filter("not kept").collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted(linked)

@@ -3,8 +3,8 @@
 Documents with one shingle set are one class; a class has one signature. Each tree of the forest orders the classes by
 the signature read from another place; classes with a long common prefix there are neighbours. A class is first compared
 with two leaders of each neighbourhood: its member with most neighbours over all trees, and a random one. Where that leaves several
-components in a neighbourhood, those outside the leader's are compared with all members, at the least depth for sparse
-regions and deeper ones for dense regions. Pairs whose signatures agree enough are confirmed on the full sets.
+components in a neighbourhood, those outside the largest are compared with all members: pair by pair in sparse regions,
+block by block in dense ones. Pairs whose signatures agree enough are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -18,17 +18,19 @@ from pyspark.sql import functions as F
 
 from wayfunnel.llm._components import components
 from wayfunnel.llm._repeats import SHORT, filtered
-from wayfunnel.llm._tables import Bits, Scratch
+from wayfunnel.llm._tables import Bits, Scratch, union
 from wayfunnel.llm._text import Prints, lean, lowered, mixed, row_key, slices, utf8, words
 from wayfunnel.llm.debruijn import word_codes
 
 TREES = 64
-DEPTHS = (8, 16, 32)
-DENSE = 64  # members from which a region is read one depth further
+DEPTH = 8
+DENSE = 16  # members over which a neighbourhood is compared block by block
+BLOCK = 256  # members of a block, about
 HASHES = 128
 MARGIN = 0.16  # nearly five times the standard error of a similarity that signatures estimate
 
 _FACTORS = np.random.default_rng(6).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = (np.arange(TREES)[:, None] * (HASHES // TREES) + np.arange(DEPTH)) % HASHES  # hashes that each tree reads
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -81,30 +83,31 @@ def _sketched(keyed: DataFrame, size: int) -> DataFrame:
 
 
 def _neighbourhoods(classes: DataFrame) -> DataFrame:
-    """For each class and tree: the names of its neighbourhoods at each depth, the least deep one first."""
-    names = [f"k{d}" for d in DEPTHS]
-
+    """For each class and tree: the name of its neighbourhood."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                sketch = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint64)
+                sketch = _read(part.column(1)).astype(np.uint64)
                 name = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), (len(sketch), TREES))
-                at, columns = np.arange(TREES) * (HASHES // TREES), []
-                for depth in range(max(DEPTHS)):
-                    name = mixed(name * np.uint64(0x9E3779B97F4A7C15) + sketch[:, (at + depth) % HASHES] + np.uint64(1))
-                    if depth + 1 in DEPTHS:
-                        columns.append(pa.array(name.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(part.column(0).to_numpy(), TREES))], names=[*names, "id"])
+                for places in _PLACES.T:
+                    name = mixed(name * np.uint64(0x9E3779B97F4A7C15) + sketch[:, places] + np.uint64(1))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(name.ravel().view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), TREES)),
+                    pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(sketch)))], names=["k", "id", "tree"])
+
+    return classes.select("id", "sketch").mapInArrow(lean(run), "k long, id long, tree int")
+
 
-    return classes.select("id", "sketch").mapInArrow(lean(run), ", ".join(f"{n} long" for n in [*names, "id"]))
+def _read(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``) whose signatures agree nearly to ``percent``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, HASHES) for i in (2, 3))
+            a, b = (_read(batch.column(i)) for i in (2, 3))
             yield batch.select([0, 1]).filter(pa.array((a == b).mean(axis=1) >= percent / 100 - MARGIN))
 
     a, b = (sketches.select(F.col("id").alias(n), F.col("sketch").alias(f"s_{n}")) for n in ("a", "b"))
@@ -114,7 +117,6 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``) whose full shingle sets are at least ``percent`` alike."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
@@ -134,6 +136,79 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long")
 
 
+def _cells(dense: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components whose signatures agree nearly to ``percent``, from neighbourhoods of any size.
+
+    The members outside the largest component (``main``) and those of it are dealt to blocks by a hash. Each two blocks
+    are a cell of its own (``k``, ``x``, ``y``), but for two of the largest component, so every open pair is in one cell
+    of a neighbourhood; only the first tree that the two share gives it.
+    """
+    outer, inner = (F.ceil(F.col(n) / BLOCK) for n in ("outside", "inside"))
+    there = F.col("component") == F.col("main")
+    block = F.when(there, outer + F.pmod(F.xxhash64("id", "k"), F.greatest(inner, F.lit(1)))).otherwise(F.pmod(F.xxhash64("id", "k"), outer))
+    dealt = (dense.withColumn("own", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.when(there, outer).otherwise(outer + inner) - 1)))
+             .select("k", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "id", "component", "tree", "sketch"))
+
+    def run(cell: pa.Table) -> pa.Table:
+        k, x, y = (cell.column(i)[0].as_py() for i in range(3))
+        own, number, component = (cell.column(i).to_numpy() for i in (3, 4, 5))
+        tree, sketch = cell.column(6)[0].as_py(), _read(cell.column(7))
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        found = []
+        for lo in range(0, len(left), 16):
+            some = left[lo:lo + 16]
+            likely = np.count_nonzero(sketch[some][:, None] == sketch[right], axis=2) >= (percent / 100 - MARGIN) * HASHES
+            likely &= component[some][:, None] != component[right]
+            if x == y:
+                likely &= number[some][:, None] > number[right]
+            i, j = np.nonzero(likely)
+            i, j = some[i], right[j]
+            for at in range(0, len(i), 1024):
+                a, b = i[at:at + 1024], j[at:at + 1024]
+                first = (sketch[a] == sketch[b])[:, _PLACES].all(axis=2).argmax(axis=1) == tree
+                found.append(np.stack([number[a[first]], number[b[first]]]))
+        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"k": np.full(len(a), k), "x": np.full(len(a), x), "y": np.full(len(a), y), "a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    return dealt.groupBy("k", "x", "y").applyInArrow(run, "k long, x long, y long, a long, b long")
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets have in common."""
+    who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.flatnonzero(count[column] > 1)
+    common = common[np.argsort(column[common], kind="stable")]
+    who, column = who[common], (np.cumsum(count > 1) - 1)[column[common]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        first, last = np.searchsorted(column, (lo, lo + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[who[first:last], column[first:last] - lo] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def _confirmed_cells(scratch: Scratch, pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``_confirmed`` for pairs in cells: a text goes once to each cell that needs it."""
+    def run(key: tuple, pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        sets = []
+        for chunk in texts.column("text").chunks:
+            data, offsets = utf8(chunk)
+            sets += [np.unique(values[bounds[i]:bounds[i + 1]]) for _, values, bounds in shingles(data, offsets, size)
+                     for i in range(len(bounds) - 1)]
+        number, count = texts.column("id").to_numpy(), np.array([len(s) for s in sets])
+        order = np.argsort(number)
+        a, b = (order[np.searchsorted(number, pairs.column(n).to_numpy(), sorter=order)] for n in ("a", "b"))
+        shared = _shared(sets)[a, b]
+        return pairs.select(["a", "b"]).filter(pa.array(100 * shared >= percent * (count[a] + count[b] - shared)))
+
+    cell = ["k", "x", "y"]
+    ends = scratch.table(pairs.select(*cell, F.explode(F.array("a", "b")).alias("id")).distinct())
+    there = ends.join(texts, "id").select(*cell, "id", "text")
+    return pairs.groupBy(*cell).cogroup(there.groupBy(*cell)).applyInArrow(run, "a long, b long")
+
+
 def _grouped(scratch: Scratch, docs: DataFrame, size: int, percent: int, id_column: str, text_column: str) -> DataFrame:
     """For each row its id, keys, set size ``n`` and ``component_id`` (its own id without shingles)."""
     keyed = docs.select(F.col(id_column).alias("_id"), *row_key(docs, id_column, text_column), F.col(text_column).alias("text"))
@@ -142,57 +217,57 @@ def _grouped(scratch: Scratch, docs: DataFrame, size: int, percent: int, id_colu
         rows.filter("n > 0").groupBy("c1", "c2").agg(F.min("_id").alias("first"), F.min("_r1").alias("_r1"),
                                                      F.max("sketch").alias("sketch"))
         .withColumn("id", F.monotonically_increasing_id()))
-    least, *deeper = [f"k{d}" for d in DEPTHS]
     every = _neighbourhoods(classes)
-    shared = (every.select(F.col(least).bitwiseAND(F.lit(SHORT)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    shared = (every.select(F.col("k").bitwiseAND(F.lit(SHORT)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
               .filter("n > 1").select("k"))
     near = scratch.table(filtered(every, Bits(shared)))
 
     sketches = scratch.table(near.select("id").distinct().join(classes.select("id", "sketch"), "id"))
 
     # round 1: every class with the leaders of each of its neighbourhoods
-    sizes = scratch.table(near.groupBy(least).agg(F.count("*").alias("n")).filter("n > 1"))
-    central = near.join(sizes, least).groupBy("id").agg(F.sum("n").alias("n"))
+    sizes = scratch.table(near.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1"))
+    central = near.join(sizes, "k").groupBy("id").agg(F.sum("n").alias("n"))
     rank = F.struct(F.negative("n").alias("n"), F.xxhash64("id").alias("h"))
     central = scratch.table(central.select("id", rank.alias("rank")))
-    leaders = (near.join(central, "id").groupBy(least)
-               .agg(F.min(F.struct("rank", "id")).alias("x"), F.min(F.struct(F.xxhash64("id", least).alias("rank"), "id")).alias("y")))
-    leaders = scratch.table(leaders.select(least, F.array_distinct(F.array("x.id", "y.id")).alias("b")))
-    first = near.select(least, F.col("id").alias("a")).join(leaders, least).select("a", F.explode("b").alias("b")).filter("a <> b")
+    leaders = (near.join(central, "id").groupBy("k")
+               .agg(F.min(F.struct("rank", "id")).alias("x"), F.min(F.struct(F.xxhash64("id", "k").alias("rank"), "id")).alias("y")))
+    leaders = scratch.table(leaders.select("k", F.array_distinct(F.array("x.id", "y.id")).alias("b")))
+    first = near.select("k", F.col("id").alias("a")).join(leaders, "k").select("a", F.explode("b").alias("b")).filter("a <> b")
     first = scratch.table(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Likely pairs that their texts confirm; only the texts of likely pairs are read out."""
-        pairs = scratch.table(_likely(pairs, sketches, percent))
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """One text for each class in ``pairs``; only these are read out."""
         ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         ends = scratch.table(ends.join(classes.select("id", "_r1"), "id"))
         texts = filtered(keyed.select("_r1", "text"), Bits(ends.select("_r1"))).join(ends, "_r1")
-        texts = scratch.table(texts.groupBy("id").agg(F.first("text").alias("text")))
-        return scratch.table(_confirmed(pairs, texts, size, percent))
+        return scratch.table(texts.groupBy("id").agg(F.first("text").alias("text")))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Likely pairs that their texts confirm."""
+        pairs = scratch.table(_likely(pairs, sketches, percent))
+        return scratch.table(_confirmed(pairs, texts_of(pairs), size, percent))
 
     links = confirmed(first)
     component = components(scratch, links)
 
     # round 2: neighbourhoods that still hold several components
-    named = near.join(component, "id", "left").join(central, "id").withColumn("component", F.coalesce("component", "id"))
-    for key, below in zip((least, *deeper), (*deeper, None), strict=True):
-        named = named.withColumn("key", F.col(key)) if key == least else named
-        if below:
-            dense = named.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > DENSE)
-            dense = scratch.table(dense.select("key", F.lit(True).alias("dense")))
-            named = (named.join(dense, "key", "left").withColumn("key", F.when(F.col("dense"), F.col(below)).otherwise(F.col("key")))
-                     .drop("dense"))
-    named = scratch.table(named.select("key", "id", "component", "rank"))
-    several = scratch.table(
-        named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                 F.min(F.struct("rank", "component")).alias("l"))
-        .filter("low <> high").select("key", F.col("l.component").alias("main")))
-    open_ = scratch.table(named.drop("rank").join(several, "key"))
-    outside = open_.filter("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    cross = (outside.join(open_.select("key", F.col("id").alias("y"), F.col("component").alias("cy")), "key").filter("cx <> cy")
+    named = near.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = scratch.table(named.select("k", "tree", "id", "component"))
+    parts = named.groupBy("k", "component").agg(F.count("*").alias("n"))
+    several = parts.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("l"))
+    several = scratch.table(several.filter("parts > 1").select("k", "n", F.col("l.component").alias("main"), F.col("l.n").alias("inside"),
+                                                               (F.col("n") - F.col("l.n")).alias("outside")))
+    open_ = scratch.table(named.join(several, "k"))
+    sparse = open_.filter(F.col("n") <= DENSE)
+    outside = sparse.filter("component <> main").select("k", F.col("id").alias("x"), F.col("component").alias("cx"))
+    cross = (outside.join(sparse.select("k", F.col("id").alias("y"), F.col("component").alias("cy")), "k").filter("cx <> cy")
              .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-    more = confirmed(cross.join(first, ["a", "b"], "left_anti"))
-    component = components(scratch, links.unionByName(more))
+    more = [confirmed(cross.join(first, ["a", "b"], "left_anti"))]
+    dense = open_.filter(F.col("n") > DENSE)
+    if not dense.isEmpty():
+        pairs = scratch.table(_cells(dense.join(sketches, "id"), percent))
+        more.append(scratch.table(_confirmed_cells(scratch, pairs, texts_of(pairs), size, percent)))
+    component = components(scratch, union([links, *more]))
 
     named = classes.select("id", "c1", "c2", "first").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least_id = scratch.table(named.groupBy("component").agg(F.min("first").alias("component_id")))
