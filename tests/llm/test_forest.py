@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from wayfunnel.llm import forest
 from wayfunnel.llm._components import components
@@ -119,3 +120,16 @@ def test_dense_family(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = forest.near_duplicates(docs, 2).filter("not kept").collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == sorted(linked)
+
+
+def test_pairs_at_the_limit_meet(spark):
+    """Of 20,000 pairs of signatures that agree at each hash with a probability of 0.8 nearly all share a neighbourhood."""
+    r, count = np.random.default_rng(5), 20_000
+    kind = forest.signatures(np.zeros(1, np.uint64), np.array([0, 1])).dtype
+    one, other = r.integers(0, 1 << 8 * kind.itemsize, (2, count, forest.HASHES), kind)
+    other = np.where(r.random(one.shape) < 0.8, one, other)
+    rows = [(i, x.tobytes()) for i, x in enumerate(np.stack([one, other], axis=1).reshape(2 * count, -1))]
+    near = forest._neighbourhoods(spark.createDataFrame(rows, "id long, sketch binary"))
+    pair = F.floor(F.col("id") / 2).alias("pair")
+    met = near.groupBy(near.columns[0], pair).count().filter("count > 1").select("pair").distinct().count()
+    assert count - met <= 2
