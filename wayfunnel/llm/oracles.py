@@ -48,3 +48,22 @@ least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
 SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sets JOIN least ON id = doc_id
 """
+
+LEXICAL_SEARCH = r"""
+WITH terms AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+docs AS (SELECT rid, doc_id, terms, len(terms)::BIGINT AS n FROM terms WHERE len(terms) > 0),
+whole AS (SELECT count(*)::BIGINT AS total, sum(n)::BIGINT AS length FROM docs),
+tf AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(terms) AS term FROM docs) GROUP BY rid, term),
+weight AS (
+    SELECT term, floor(1000 * ln((2 * any_value(total) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term),
+asked AS (
+    SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark WHERE text IS NOT NULL),
+scores AS (
+    SELECT item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + ((90 * n * total) // length)))))::BIGINT AS score
+    FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN docs USING (rid), whole GROUP BY item_id, rid, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""

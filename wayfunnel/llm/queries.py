@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfunnel.llm import bpe, debruijn, forest, licenses, lines, oracles, packing, permutation, substrings, tiling, toxicity
+from wayfunnel.llm import bpe, debruijn, forest, lexical, licenses, lines, oracles, packing, permutation, substrings, tiling, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,3 +87,9 @@ def op9_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the benchmark items that it leaks."""
     return tiling.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(oracles.LEXICAL_SEARCH)
+def op13_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents with the highest scores for each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
