@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfunnel.llm import bpe, debruijn, forest, lexical, licenses, lines, oracles, packing, permutation, substrings, tiling, toxicity
+from wayfunnel.llm import bpe, debruijn, forest, impact, lexical, licenses, lines, oracles, packing, permutation, substrings, tiling, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,6 +89,13 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query(oracles.IMPACT_SEARCH)
+def op12_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows with the largest integer inner products for every twentieth vector, exactly."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return impact.search(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
 @query(oracles.LEXICAL_SEARCH)
 def op13_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents with the highest scores for each benchmark item."""
