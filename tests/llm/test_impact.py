@@ -50,7 +50,7 @@ def test_reading_stops_before_the_end():
         least = np.sort(exact)[-20]
         assert set(np.flatnonzero(exact >= least)) <= set(at.tolist()) and (scores == exact[at]).all()
         assert read < .8 * vectors.size
-    assert index.search(vectors[4010], 20)[2] < .3 * vectors.size  # near vectors end it early
+    assert impact.Index(vectors).search(vectors[4010], 20)[2] < .5 * index.search(vectors[5], 20)[2]  # near vectors end it early
     assert len(index.search(vectors[5], 20, 10 ** 6)[0]) == 0
 
 

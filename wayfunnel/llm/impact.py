@@ -23,8 +23,9 @@ from wayfunnel.operators.relational import pick, top_per_group
 
 QUANTA = 64
 MOST = 1 << 25  # magnitudes from here on would take sums out of 64 bits
-BLOCK, QUERIES = 8192, 1024  # vectors and queries that meet in one task
-LEVELS = tuple(0.75 ** i for i in range(1, 24))  # impacts at which reading pauses, as shares of the largest one
+BLOCK, QUERIES = 16384, 1024  # vectors and queries that meet in one task
+LEVELS = (*(0.7 ** i for i in range(2, 20)), 0.0)  # impacts at which reading pauses, as shares of the largest one
+FEW = 6  # reading ends when one in so many vectors is possible: these are scored by themselves
 SEEDS = 4  # times k vectors are scored early, for a score to beat
 
 
@@ -54,23 +55,50 @@ class Index:
         order = np.argsort(-size, axis=0, kind="stable").T  # a list for each dimension
         self.docs = np.ascontiguousarray(order).ravel()
         self.values = np.take_along_axis(self.vectors.T, order, 1).ravel()
-        # places in all lists by dimension and falling magnitude, for one search over all of them
+        self.floats = self.vectors.astype(np.float64)
+        # magnitudes of all lists, falling within each: one search finds where a magnitude ends in every list
         self.step = int(self.most.max(initial=0)) + 2
         self.dims = np.arange(self.width)
         self.keys = np.repeat(self.dims, count) * self.step + (self.step - 1 - np.abs(self.values))
         self.heads = self.dims * count
-        self.floats = self.vectors.astype(np.float64)
+        self.gains = self.values.astype(np.float64)
+        self.to, self.by = np.empty(self.docs.shape, np.int64), np.empty(self.docs.shape)  # kept, as new memory costs more than reading
+        self.table = None
+        if self.step <= 4096:
+            every = self.dims[:, None] * self.step + (self.step - 1 - np.arange(self.step)[None, :])
+            self.table = np.searchsorted(self.keys, every.ravel(), side="right").reshape(self.width, self.step)
+        self.usual = 0  # the pause at which reading ended for the last query
 
     def exact(self, docs: np.ndarray, query: np.ndarray) -> np.ndarray:
         if self.width * int(self.most.max(initial=0)) * int(np.abs(query).max(initial=0)) < 1 << 52:
             return (self.floats[docs] @ query.astype(np.float64)).astype(np.int64)  # all sums are exact in doubles
         return self.vectors[docs] @ query
 
-    def read(self, lo: np.ndarray, hi: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The documents of the postings from ``lo`` to ``hi`` of each list, and what each gains."""
-        sizes = hi - lo
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))
-        return self.docs[at], np.repeat(query, sizes) * self.values[at]
+    def ends(self, needed: np.ndarray) -> np.ndarray:
+        """Where the postings of at least these magnitudes end in each list."""
+        needed = np.minimum(needed, self.step - 1)
+        if self.table is not None:
+            return self.table[self.dims, needed]
+        return np.searchsorted(self.keys, self.dims * self.step + (self.step - 1 - needed), side="right")
+
+    def read(self, lo: np.ndarray, hi: np.ndarray, query: np.ndarray, count: int, unit: int) -> tuple[np.ndarray, np.ndarray]:
+        """What each vector gains from the postings from ``lo`` to ``hi`` of each list, and how many of these are its own."""
+        spans = [(slice(a, b), q) for a, b, q in zip(lo.tolist(), hi.tolist(), query.tolist()) if a < b]
+        end = 0
+        exact = unit * self.width < 1 << 52  # doubles hold every sum; a posting counts as one unit beside its gain
+        for span, q in spans:
+            begin, end = end, end + span.stop - span.start
+            self.to[begin:end] = self.docs[span]
+            np.multiply(self.gains[span] if exact else self.values[span], q, out=self.by[begin:end] if exact else self.by.view(np.int64)[begin:end])
+        docs, gains = self.to[:end], self.by[:end]
+        if exact:
+            gains += unit
+            both = np.bincount(docs, gains, count)
+            seen = np.rint(both / unit)
+            return both - seen * unit, seen.astype(np.int64)
+        sums = np.zeros(count, np.int64)
+        np.add.at(sums, docs, gains.view(np.int64))
+        return sums, np.bincount(docs, minlength=count)
 
     def _kth(self, sums: np.ndarray, query: np.ndarray, k: int) -> int | None:
         """The k-th best exact score among the vectors with the largest sums so far."""
@@ -82,21 +110,23 @@ class Index:
         count, size = len(self.vectors), np.abs(query)
         used = np.flatnonzero(size)
         top = int((size * self.most).max(initial=0))
+        unit = 4 * self.width * max(top, 1)
         sums, seen = np.zeros(count, np.int64), np.zeros(count, np.int64)
         at, read, seeded = self.heads.copy(), 0, 0
         possible = np.arange(count)
-        for level in sorted({max(1, int(top * share)) for share in LEVELS} | {1}, reverse=True):
+        for pause, share in enumerate(LEVELS):
+            if 1 < pause < self.usual - 1:
+                continue  # queries of a block are alike: look again shortly before the last one ended
+            level = max(1, int(top * share))
             # all magnitudes from level / |q| on, in every dimension that the query uses
-            needed = np.minimum(-(-level // np.maximum(size, 1)), self.step - 1)
-            to = np.searchsorted(self.keys, self.dims * self.step + (self.step - 1 - needed), side="right")
-            to = np.where(size > 0, np.maximum(to, at), at)
+            to = np.where(size > 0, np.maximum(self.ends(-(-level // np.maximum(size, 1))), at), at)
             fresh = int((to - at).sum())
             if fresh:
-                docs, gains = self.read(at, to, query)
-                sums += _summed(docs, gains, count, top * self.width)
-                seen += np.bincount(docs, minlength=count)
+                gained, own = self.read(at, to, query, count, unit)
+                sums += gained.astype(np.int64)
+                seen += own
                 at, read = to, read + fresh
-            if read >= max(count, 2 * seeded):
+            if read >= max(count, 4 * seeded):
                 seeded, own = read, self._kth(sums, query, k)
                 least = max((x for x in (least, own) if x is not None), default=None)
             if least is None:
@@ -105,21 +135,14 @@ class Index:
             ahead = np.where(at < self.heads + count, size * np.abs(self.values[np.minimum(at, len(self.values) - 1)]), 0)[used]
             bound = np.concatenate(([0], np.cumsum(np.sort(ahead)[::-1])))
             possible = np.flatnonzero(sums + bound[len(used) - seen] >= least)
-            if len(possible) * self.width <= max(fresh, count):
+            if level == 1 or len(possible) <= max(1, count // FEW):
+                self.usual = pause
                 break  # proved: the others can't reach it
         scores = self.exact(possible, query)
         kept = np.ones(len(possible), bool) if least is None else scores >= least
         return possible[kept], scores[kept], read
 
 
-def _summed(docs: np.ndarray, gains: np.ndarray, count: int, most: int) -> np.ndarray:
-    if most < 1 << 52:
-        return np.bincount(docs, gains, count).astype(np.int64)  # doubles hold every sum
-    out = np.zeros(count, np.int64)
-    np.add.at(out, docs, gains)
-    return out
-
-
 def _rows(column: pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks()
     return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.int32)
