@@ -78,3 +78,63 @@ scores AS (
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
 FROM scores QUALIFY rank <= 20
 """
+
+CONVERSATION_REPAIR = r"""
+WITH RECURSIVE crc AS (
+    SELECT n, 0 AS step, n AS c FROM range(256) t(n)
+    UNION ALL SELECT n, step + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM crc WHERE step < 8),
+crcs AS (SELECT list(c ORDER BY n) AS t FROM crc WHERE step = 8),
+keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(4294967295::BIGINT,
+        list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+        lambda a, b: xor(a // 256, t[(xor(a, b) % 256) + 1])), 4294967295) % 20 AS fault FROM conversations, crcs),
+rows AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+        CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM keyed WHERE fault <> 0),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+        regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body FROM rows),
+told AS (
+    SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+        CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+        WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'whole' END AS kind FROM placed),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (kind = 'blank') AS blank,
+        count(*) FILTER (kind = 'duplicate') AS duplicate, count(*) FILTER (kind = 'truncated') AS truncated,
+        count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM told GROUP BY conv_id),
+-- the cheapest audit to each state (0 nothing yet, 1 after s, 2 after u, 3 after a) after each turn; up to two insertions in a row
+puts AS (SELECT * FROM (VALUES (0, 0, 0, ''), (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 1, 0, ''), (1, 2, 5, 'I'), (1, 3, 10, 'II'), (2, 2, 0, ''), (2, 3, 5, 'I'),
+    (3, 3, 0, ''), (3, 2, 5, 'I')) t(a, b, c, i)),
+ways AS (
+    SELECT conv_id, 0::BIGINT AS pos, 0 AS state, 0 AS cost, '' AS audit FROM counts
+    UNION ALL
+    (SELECT conv_id, pos, state, min(cost), arg_min(audit, cost * 1.0) FROM (
+        SELECT *, rank() OVER (PARTITION BY conv_id, pos, state ORDER BY cost, audit) AS r FROM (
+            SELECT w.conv_id, t.pos, CASE e WHEN 'D' THEN p.b WHEN 'S' THEN 1 WHEN 'U' THEN 2 ELSE 3 END AS state,
+                w.cost + p.c + CASE e WHEN 'D' THEN 2 ELSE (kind = 'truncated')::INTEGER * 5 + (initial <> lower(e))::INTEGER END AS cost,
+                w.audit || p.i || CASE WHEN e = 'D' THEN 'D' WHEN initial = lower(e) THEN 'K' ELSE 'R' END AS audit
+            FROM ways w JOIN told t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND t.pos = w.pos + 1 JOIN puts p ON p.a = w.state
+            CROSS JOIN (VALUES ('D'), ('S'), ('U'), ('A')) f(e)
+            WHERE e = 'D' OR kind IN ('whole', 'truncated') AND (e = 'S' AND p.b = 0 AND initial = 's' OR e = 'U' AND p.b <> 2 OR e = 'A' AND p.b = 2)))
+     WHERE r = 1 GROUP BY conv_id, pos, state)),
+ended AS (
+    SELECT w.conv_id, w.cost + p.c AS cost, w.audit || p.i AS audit FROM ways w JOIN counts k ON w.conv_id IS NOT DISTINCT FROM k.conv_id AND w.pos = k.n
+    JOIN puts p ON p.a = w.state WHERE p.b IN (0, 3)
+    QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + p.c, w.audit || p.i) = 1),
+edits AS (SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(1, len(audit) + 1)) AS place FROM ended WHERE audit <> ''),
+aligned AS (
+    SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY place) AS pos,
+        count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id ORDER BY place) AS out FROM edits),
+fixed AS (
+    SELECT a.conv_id, a.edit, a.place, a.out, t.role, CASE WHEN a.edit = 'I' THEN '' ELSE t.text END AS text,
+        max(CASE WHEN a.out = 1 AND a.edit = 'K' AND t.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY a.conv_id) AS lead
+    FROM aligned a LEFT JOIN told t ON a.conv_id IS NOT DISTINCT FROM t.conv_id AND a.pos = t.pos AND a.edit <> 'I' WHERE a.edit <> 'D'),
+texts AS (
+    SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (out - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text,
+        chr(10) ORDER BY place) AS text FROM fixed GROUP BY conv_id)
+SELECT c.conv_id, coalesce(k.gaps, 0) AS gaps, coalesce(k.blank, 0) AS blank, coalesce(k.duplicate, 0) AS duplicate, coalesce(k.truncated, 0) AS truncated,
+    coalesce(k.illegal, 0) AS illegal, coalesce(e.cost, 0)::BIGINT AS cost, coalesce(e.audit, '') AS audit, sha256(coalesce(x.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts k ON c.conv_id IS NOT DISTINCT FROM k.conv_id
+    LEFT JOIN ended e ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN texts x ON c.conv_id IS NOT DISTINCT FROM x.conv_id
+"""

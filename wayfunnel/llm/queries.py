@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfunnel.llm import bpe, debruijn, forest, impact, lexical, licenses, lines, oracles, packing, permutation, substrings, tiling, toxicity
+from wayfunnel.llm import bpe, debruijn, forest, impact, lexical, licenses, lines, oracles, packing, permutation, substrings, tiling, toxicity, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,6 +89,12 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query(oracles.CONVERSATION_REPAIR)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after planted damage, and its cheapest repair."""
+    return turns.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 @query(oracles.IMPACT_SEARCH)
 def op12_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 rows with the largest integer inner products for every twentieth vector, exactly."""
