@@ -77,15 +77,13 @@ def test_shared_features_match_brute_force(spark, heavy, measure):
 
 
 @pytest.mark.parametrize("block_rows", [7, 1000])
-@pytest.mark.parametrize("sparse", [False, True])
-def test_nearest_matches_brute_force(spark, block_rows, sparse):
+def test_nearest_matches_brute_force(spark, block_rows):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(60, 5))
     m[40:] = m[0]  # a third are copies of one vector
     m /= np.linalg.norm(m, axis=1, keepdims=True)
-    data = [(i, list(range(5)) if sparse else None, [float(x) for x in v]) for i, v in enumerate(m)]
-    points = spark.createDataFrame(data, "id long, idx array<int>, val array<double>")
-    got = rows(nn.nearest(points, 3, min_score=0.1, dim=5, block_rows=block_rows), "src", "rank", "dst")
+    points = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, val array<double>")
+    got = rows(nn.nearest(points, 3, min_score=0.1, block_rows=block_rows), "src", "rank", "dst")
     want = []
     for i in range(60):
         s = np.round(m @ m[i], 9)
@@ -106,7 +104,7 @@ def test_cosine_neighbours_blocked_and_joined_agree(spark, heavy):
     for a, va in vectors.items():
         s = sorted((-round(float(va @ vb / np.linalg.norm(va) / np.linalg.norm(vb)), 9), b) for b, vb in vectors.items() if b != a)
         want += [(a, b, -x) for x, b in s[:3] if x < 0]
-    got = rows(cf.cosine_neighbours(df, "user_id", "item_id", 3, heavy=heavy, block_rows=6), "src", "dst", "score")
+    got = rows(cf.cosine_neighbours(df, "user_id", "item_id", 3, heavy=heavy, block=6), "src", "dst", "score")
     assert got == sorted(want)
 
 

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfunnel.functions.common import zero
-from wayfunnel.operators.nearest import DIGITS, _sparse_dots
+from wayfunnel.operators.nearest import DIGITS
 from wayfunnel.operators.overlap import HEAVY_MEMBERS
 from wayfunnel.operators.relational import outer_union, top_per_group
+from wayfunnel.operators.sparse import BLOCK, sparse_topk
 from wayfunnel.session import written
 
 # Neighbours per prediction, rating range, factor settings, cold-start limit, ensemble weights.
@@ -27,12 +26,12 @@ def rows() -> Column:
 
 
 def cosine_neighbours(ratings: DataFrame, entity: str, feature: str, k: int = NEIGHBOURS, value: str = "rating",
-                      heavy: int = HEAVY_MEMBERS, block_rows: int = 512) -> DataFrame:
+                      heavy: int = HEAVY_MEMBERS, block: int = BLOCK) -> DataFrame:
     """Top-k cosine partners over sparse rating vectors: (src, dst, score, rank).
 
     Without features held by more than ``heavy`` entities the dot products come from a join on
     the feature with map-side sums. Otherwise joining would pair up the members of a hot feature,
-    so vectors are compared in bounded blocks instead (exact as well; no pairs are emitted).
+    so vectors go through inverted indexes of bounded size (exact as well; no pairs are emitted).
     """
     base = ratings.groupBy(F.col(entity).alias("e"), F.col(feature).alias("f")).agg(F.sum(value).alias("v")) \
         .filter("v <> 0")
@@ -40,42 +39,17 @@ def cosine_neighbours(ratings: DataFrame, entity: str, feature: str, k: int = NE
     unit = base.join(lengths, "e").select("e", "f", (F.col("v") / F.col("l")).alias("v"))
     crowded = base.groupBy("f").agg(rows().alias("n")).filter(F.col("n") > heavy).limit(1).count()
     if crowded:
-        scored = _blocked_dots(unit, k, block_rows)
-    else:
-        a = unit.select("f", F.col("e").alias("src"), F.col("v").alias("x"))
-        b = unit.select("f", F.col("e").alias("dst"), F.col("v").alias("y"))
-        scored = a.join(b, "f").filter("src <> dst").groupBy("src", "dst") \
-            .agg(F.round(F.sum(F.col("x") * F.col("y")), DIGITS).alias("score"))
+        vectors = unit.groupBy(F.col("e").cast("long").alias("id")).agg(
+            F.sort_array(F.collect_list(F.struct(F.col("f").cast("long").alias("f"), "v"))).alias("c")).select(
+            "id", F.transform("c", lambda x: x["f"]).alias("idx"), F.transform("c", lambda x: x["v"]).alias("val"))
+        return sparse_topk(vectors, k, 0.0, strict=True, block=block)
+    a = unit.select("f", F.col("e").alias("src"), F.col("v").alias("x"))
+    b = unit.select("f", F.col("e").alias("dst"), F.col("v").alias("y"))
+    scored = a.join(b, "f").filter("src <> dst").groupBy("src", "dst") \
+        .agg(F.round(F.sum(F.col("x") * F.col("y")), DIGITS).alias("score"))
     return top_per_group(scored.filter("score > 0"), ["src"], [F.desc("score"), F.asc("dst")], k)
 
 
-def _blocked_dots(unit: DataFrame, k: int, block_rows: int) -> DataFrame:
-    vectors = written(unit.groupBy(F.col("e").cast("long").alias("id")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("f").cast("long").alias("f"), "v"))).alias("c")).select(
-        "id", F.transform("c", lambda x: x["f"]).alias("idx"), F.transform("c", lambda x: x["v"]).alias("val")), "vectors")
-    parts = max(1, math.ceil(vectors.count() / block_rows))
-    every = F.sequence(F.lit(0), F.lit(parts - 1))
-    asks = vectors.withColumn("a", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(parts)).cast("int")).withColumn("b", F.explode(every))
-    held = vectors.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("a", F.explode(every))
-    held = held.select(F.col("a").alias("m_a"), F.col("b").alias("m_b"), F.col("id").alias("m_id"),
-                       F.col("idx").alias("m_idx"), F.col("val").alias("m_val"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
-        if len(left) and len(right):
-            right = right.sort_values("m_id").reset_index(drop=True)
-            ids = right["m_id"].to_numpy()
-            dots = np.round(_sparse_dots(left["idx"], left["val"], right["m_idx"], right["m_val"]), DIGITS)
-            for src, s in zip(left["id"], dots):
-                s[ids == src] = 0.0
-                top = np.argsort(-s, kind="stable")[:k]
-                out += [(int(src), int(ids[j]), float(s[j])) for j in top if s[j] > 0]
-        return pd.DataFrame(out, columns=["src", "dst", "score"]).astype({"src": "int64", "dst": "int64", "score": "float64"})
-
-    return asks.groupBy("a", "b").cogroup(held.groupBy("m_a", "m_b")).applyInPandas(
-        best, "src long, dst long, score double")
-
-
 def user_based(ratings: DataFrame, neighbours: DataFrame, n: int) -> DataFrame:
     """Best unseen items by the similarity-weighted mean rating of the neighbours who rated them."""
     offered = neighbours.select(F.col("src").alias("user_id"), F.col("dst").alias("other"), "score") \

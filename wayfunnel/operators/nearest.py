@@ -7,8 +7,7 @@ score to beat; then it visits only pivots that can still hold something better
 (triangle inequality on the distance to the pivot). Spark does the grouping and
 shuffling; inside a task there is one numpy product of two bounded blocks.
 
-Points: (id long, idx array<int> or null, val array<double>); with ``idx`` the
-row is sparse in ``dim`` dimensions, without it ``val`` is the dense vector.
+Points: (id long, val array<double>). Sparse rows have ``operators/sparse.py``.
 """
 
 from __future__ import annotations
@@ -31,8 +30,7 @@ BLOCK_ROWS, MAX_PIVOTS = 2048, 256
 
 
 def dense_points(df: DataFrame, key: str, column: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("id"), F.lit(None).cast("array<int>").alias("idx"),
-                     F.col(column).cast("array<double>").alias("val"))
+    return df.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("val"))
 
 
 def unit_points(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -41,13 +39,8 @@ def unit_points(df: DataFrame, key: str, column: str) -> DataFrame:
     return dense_points(kept.withColumn("_unit", vec.normalised(column)), key, "_unit")
 
 
-def _matrix(idx: pd.Series, val: pd.Series, dim: int) -> np.ndarray:
-    if len(val) and idx.iloc[0] is None:
-        return np.stack(val.to_numpy()).astype(np.float64)
-    out = np.zeros((len(val), dim))
-    for row, (i, v) in enumerate(zip(idx, val)):
-        out[row, np.asarray(i, dtype=np.int64)] = v
-    return out
+def _matrix(val: pd.Series) -> np.ndarray:
+    return np.stack(val.to_numpy()).astype(np.float64)
 
 
 def _scores(queries: np.ndarray, members: np.ndarray, metric: str) -> np.ndarray:
@@ -56,40 +49,6 @@ def _scores(queries: np.ndarray, members: np.ndarray, metric: str) -> np.ndarray
     return 1.0 / (1.0 + np.abs(queries[:, None, :] - members[None, :, :]).sum(axis=2))
 
 
-def _is_sparse(idx: pd.Series) -> bool:
-    return bool(len(idx)) and idx.iloc[0] is not None
-
-
-def _sparse_dots(qi: pd.Series, qv: pd.Series, mi: pd.Series, mv: pd.Series) -> np.ndarray:
-    """Dot products of two blocks of sparse rows through the members' cells sorted by dimension."""
-    features = np.concatenate([np.asarray(x) for x in mi])
-    weights = np.concatenate([np.asarray(x) for x in mv])
-    owner = np.repeat(np.arange(len(mi)), [len(x) for x in mi])
-    order = np.argsort(features, kind="stable")
-    features, weights, owner = features[order], weights[order], owner[order]
-    out = np.zeros((len(qi), len(mi)))
-    for row, (idx, val) in enumerate(zip(qi, qv)):
-        lo, hi = np.searchsorted(features, idx, "left"), np.searchsorted(features, idx, "right")
-        n = hi - lo
-        total = int(n.sum())
-        if total:
-            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
-            out[row] = np.bincount(owner[at], weights[at] * np.repeat(val, n), minlength=len(mi))
-    return out
-
-
-def _block_scores(left: pd.DataFrame, right: pd.DataFrame, dim: int, metric: str) -> np.ndarray:
-    if metric == "cosine" and _is_sparse(left["idx"]):
-        return _sparse_dots(left["idx"], left["val"], right["idx"], right["val"])
-    return _scores(_matrix(left["idx"], left["val"], dim), _matrix(right["idx"], right["val"], dim), metric)
-
-
-def _pivot_scores(pdf: pd.DataFrame, pivots: np.ndarray, dim: int, metric: str) -> np.ndarray:
-    if metric == "cosine" and _is_sparse(pdf["idx"]):
-        return np.stack([pivots[:, np.asarray(i, dtype=np.int64)] @ np.asarray(v) for i, v in zip(pdf["idx"], pdf["val"])])
-    return _scores(_matrix(pdf["idx"], pdf["val"], dim), pivots, metric)
-
-
 def _distance(score: np.ndarray, metric: str) -> np.ndarray:
     """Distance with a triangle inequality: angle, or city-block length."""
     if metric == "cosine":
@@ -98,7 +57,7 @@ def _distance(score: np.ndarray, metric: str) -> np.ndarray:
 
 
 def nearest(points: DataFrame, k: int, metric: str = "cosine", min_score: float = -math.inf, strict: bool = False,
-            queries: DataFrame | None = None, exclude_self: bool = True, dim: int = 0,
+            queries: DataFrame | None = None, exclude_self: bool = True,
             block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """(src, dst, score, rank) with the ``k`` best points per query by score, then id.
 
@@ -110,17 +69,17 @@ def nearest(points: DataFrame, k: int, metric: str = "cosine", min_score: float
     chosen = points.orderBy(F.xxhash64("id"), "id").limit(wanted).toPandas()  # at most max_pivots rows
     if chosen.empty:
         return spark.createDataFrame([], "src long, dst long, score double, rank int")
-    pivots = _matrix(chosen["idx"], chosen["val"], dim)
+    pivots = _matrix(chosen["val"])
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            d = _distance(_pivot_scores(pdf, pivots, dim, metric), metric)
+            d = _distance(_scores(_matrix(pdf["val"]), pivots, metric), metric)
             best = d.argmin(axis=1)
             yield pdf.assign(pivot=best.astype(np.int32), dist=d[np.arange(len(pdf)), best])
 
-    schema = "id long, idx array<int>, val array<double>, pivot int, dist double"
+    schema = "id long, val array<double>, pivot int, dist double"
     one_block = wanted == 1 and total <= block_rows
 
     def assigned(df: DataFrame) -> DataFrame:
@@ -152,9 +111,9 @@ def nearest(points: DataFrame, k: int, metric: str = "cosine", min_score: float
                                   "score": pd.Series(dtype="float64")})
             if not len(left) or not len(right):
                 return empty
-            right = right.sort_values("m_id").rename(columns={"m_id": "id", "m_idx": "idx", "m_val": "val"})
+            right = right.sort_values("m_id").rename(columns={"m_id": "id", "m_val": "val"})
             ids, asked_ids = right["id"].to_numpy(), left["id"].to_numpy()
-            s = np.round(_block_scores(left, right, dim, metric), DIGITS)
+            s = np.round(_scores(_matrix(left["val"]), _matrix(right["val"]), metric), DIGITS)
             s[~(s > min_score) if strict else ~(s >= min_score)] = -np.inf
             if exclude_self:
                 s[asked_ids[:, None] == ids[None, :]] = -np.inf
@@ -164,14 +123,14 @@ def nearest(points: DataFrame, k: int, metric: str = "cosine", min_score: float
             return pd.DataFrame({"src": asked_ids[rows], "dst": ids[order[rows, cols]], "score": picked[rows, cols]})
 
         keys = ["pivot", "salt", "chunk"]
-        columns = [*keys, "id", "idx", "val"]
+        columns = [*keys, "id", "val"]
         # both sides stem from one table, so the right side gets names of its own
         right = there.select(*[F.col(c).alias(f"m_{c}") for c in columns]).groupBy(*[f"m_{c}" for c in keys])
         return here.select(*columns).groupBy(*keys).cogroup(right) \
             .applyInPandas(best, "src long, dst long, score double")
 
     first_visit = asked.join(F.broadcast(table), "pivot") \
-        .withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")).select("id", "idx", "val", "pivot", "salt")
+        .withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")).select("id", "val", "pivot", "salt")
     first = search(first_visit)
     if one_block:
         return _cut(first, k)
@@ -185,7 +144,7 @@ def nearest(points: DataFrame, k: int, metric: str = "cosine", min_score: float
         for pdf in batches:
             if not len(pdf):
                 continue
-            d = _distance(_pivot_scores(pdf, pivots[names], dim, metric), metric)
+            d = _distance(_scores(_matrix(pdf["val"]), pivots[names], metric), metric)
             floor = pdf["bound"].astype("float64").fillna(-np.inf).to_numpy()
             if not math.isinf(min_score):
                 floor = np.maximum(floor, min_score)
@@ -195,12 +154,12 @@ def nearest(points: DataFrame, k: int, metric: str = "cosine", min_score: float
             rows, cols = np.nonzero(keep)
             yield pd.DataFrame({"id": pdf["id"].to_numpy()[rows], "own": pdf["pivot"].to_numpy()[rows], "pivot": names[cols]})
 
-    visits = asked.join(bounds, "id", "left").select("id", "idx", "val", "pivot", "bound") \
+    visits = asked.join(bounds, "id", "left").select("id", "val", "pivot", "bound") \
         .mapInPandas(survivors, "id long, own int, pivot int").join(F.broadcast(table), "pivot") \
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     seen = (F.col("own") == F.col("pivot")) & (F.pmod(F.xxhash64("id"), F.col("salts")) == F.col("salt"))
     # vectors join back on the JVM side, so the pruning step returns keys only
-    second = search(visits.filter(~seen).select("id", "pivot", "salt").join(asked.select("id", "idx", "val"), "id"))
+    second = search(visits.filter(~seen).select("id", "pivot", "salt").join(asked.select("id", "val"), "id"))
     return _cut(first.unionByName(second), k)
 
 
@@ -208,20 +167,6 @@ def _cut(found: DataFrame, k: int) -> DataFrame:
     return top_per_group(found, ["src"], [F.desc("score"), F.asc("dst")], k)
 
 
-def inner_product_points(rows: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
-    """Points and queries whose cosine equals the inner product of sparse rows of length at most 1.
-
-    Each side gets a spare coordinate of its own (``dim`` and ``dim + 1``) that tops the length up to 1.
-    """
-    rest = F.sqrt(F.greatest(F.lit(0.0), 1.0 - vec.dot("val", "val")))
-
-    def side(at: int) -> DataFrame:
-        return rows.select(F.col("id").cast("long").alias("id"), F.concat("idx", F.array(F.lit(at))).alias("idx"),
-                           F.concat("val", F.array(rest)).alias("val"))
-
-    return side(dim), side(dim + 1)
-
-
 def cell_probe(points: DataFrame, k: int, cells: int = 16, probes: int = 4, seed: int = 7) -> DataFrame:
     """Approximate search: k-means cells, each query looks into its ``probes`` nearest cells."""
     from pyspark.ml.clustering import KMeans

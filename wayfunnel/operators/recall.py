@@ -13,6 +13,7 @@ from wayfunnel.operators import nearest as nn
 from wayfunnel.operators import textsim as ts
 from wayfunnel.operators.overlap import HEAVY_MEMBERS, jaccard, ranked, same_group_topk, shared_feature_topk
 from wayfunnel.operators.relational import outer_union, pick, top_overall, top_per_group
+from wayfunnel.operators.sparse import sparse_topk
 
 # Price edges, image weight, popular-list limits, merge weights and event weights.
 PRICE_EDGES = (100.0, 500.0, 1000.0, 5000.0)
@@ -106,15 +107,15 @@ def _content_text(items: DataFrame) -> DataFrame:
 def content_neighbours(items: DataFrame, k: int, min_score: float = MIN_SCORE, size: int = ts.VOCABULARY) -> DataFrame:
     """TF-IDF cosine of description and tags."""
     points, _ = ts.tfidf(_content_text(items), "dataset_id", "text", size=size)
-    return nn.nearest(points, k, min_score=min_score, dim=size)
+    return sparse_topk(points, k, min_score)
 
 
 def multimodal_neighbours(items: DataFrame, vectors: DataFrame, k: int, weight: float = IMAGE_WEIGHT,
-                          min_score: float = MIN_SCORE, size: int = ts.VOCABULARY, width: int = 64) -> DataFrame:
+                          min_score: float = MIN_SCORE, size: int = ts.VOCABULARY) -> DataFrame:
     """(1 - w) · text cosine + w · image cosine, kept above ``min_score``.
 
     Both parts are unit (or zero) vectors, so the mix is the inner product of the
-    concatenation scaled by the square roots of the weights.
+    concatenation scaled by the square roots of the weights. Items without any part have no neighbours.
     """
     text, _ = ts.tfidf(_content_text(items), "dataset_id", "text", size=size)
     image = vectors.select(F.col("dataset_id").alias("id"), vec.normalised("embedding").alias("i"))
@@ -126,8 +127,7 @@ def multimodal_neighbours(items: DataFrame, vectors: DataFrame, k: int, weight:
         F.concat(F.coalesce("idx", none_i), F.transform(i, lambda x, j: j + F.lit(size))).alias("idx"),
         F.concat(F.transform(t, lambda x: x * F.lit((1 - weight) ** 0.5)),
                  F.transform(i, lambda x: x * F.lit(weight ** 0.5))).alias("val"))
-    points, asks = nn.inner_product_points(mixed, size + width)
-    return nn.nearest(points, k, min_score=min_score, strict=True, queries=asks, dim=size + width + 2)
+    return sparse_topk(mixed.filter(F.size("idx") > 0), k, min_score, strict=True)
 
 
 def neighbour_table(scored: DataFrame, k: int) -> DataFrame:
@@ -154,7 +154,7 @@ def text_search(items: DataFrame, asked: DataFrame, key: str, text: str, k: int,
     corpus = items.withColumn("_text", F.concat_ws(" ", "description", "tag", "dataset_name"))
     points, vocab = ts.tfidf(corpus, "dataset_id", "_text", 2, size, min_df, max_df, stop_words)
     asks = ts.weighted_rows(ts.term_counts(asked, key, text, 2, stop_words), vocab)
-    return nn.nearest(points, k, min_score=0.0, strict=True, queries=asks, exclude_self=False, dim=size)
+    return sparse_topk(points, k, 0.0, strict=True, queries=asks, exclude_self=False)
 
 
 # -- popular lists ------------------------------------------------------------
@@ -309,7 +309,6 @@ def hybrid_content_neighbours(items: DataFrame, k: int, size: int = 1000) -> Dat
     named = F.coalesce("create_company_name", F.lit("unknown"))
     companies = items.select(named.alias("company")).distinct().withColumn("_h", F.crc32(F.encode("company", "utf-8")))
     companies = with_position(companies, "_h", "company", "at").select("company", "at")
-    count = companies.count()
     price = F.when(s["d"] > 0, (F.col("price") - s["m"]) / s["d"]).otherwise(0.0)
     side = items.select(F.col("dataset_id").alias("id"), price.alias("p"), named.alias("company")).join(companies, "company") \
         .select("id", "p", (F.col("at") + size).cast("int").alias("h"))
@@ -318,7 +317,7 @@ def hybrid_content_neighbours(items: DataFrame, k: int, size: int = 1000) -> Dat
         "id", F.concat(F.coalesce("idx", none_i), F.array(F.lit(size), F.col("h"))).alias("idx"),
         F.concat(F.coalesce("val", none_v), F.array(F.col("p"), F.lit(1.0))).alias("val"))
     unit = joined.select("id", "idx", vec.normalised("val").alias("val"))
-    return nn.nearest(unit, k, dim=size + count + 1)
+    return sparse_topk(unit, k)
 
 
 def similar_items(neighbours: DataFrame, k: int) -> DataFrame:

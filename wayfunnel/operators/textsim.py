@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfunnel.session import written
+
 # A token is two or more word characters.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 VOCABULARY = 5000
@@ -61,7 +63,7 @@ def weighted_rows(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 def tfidf(docs: DataFrame, key: str, text: str, ngrams: int = 1, size: int = VOCABULARY, min_df: int = 1,
           max_df: float = 1.0, stop_words: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Unit vectors of the documents and the vocabulary that made them."""
-    counts = term_counts(docs, key, text, ngrams, stop_words)
+    counts = written(term_counts(docs, key, text, ngrams, stop_words), "term-counts")  # read for the vocabulary and for the rows
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     vocab = vocabulary(counts, n_docs, size, min_df, max_df)
     return weighted_rows(counts, vocab), vocab
