@@ -77,3 +77,28 @@ def test_bounds_spare_frequent_terms():
 
 def test_a_hot_bucket_is_dealt_out():
     assert sp.packed([(0, 3), (1, 3), (2, 25), (3, 1), (4, 9)], 10) == [(0, 0, 1), (1, 0, 1), (2, 1, 3), (3, 4, 1), (4, 4, 1)]
+
+
+@pytest.mark.parametrize("measure", ["count", "jaccard"])
+def test_own_sets_of_hot_features(spark, monkeypatch, measure):
+    """Every user has an own set of hot items, and a third of them share one more: rows joined stay near the input."""
+    from wayfunnel.operators import overlap as ov
+    r = np.random.default_rng(6)
+    sets = {u: {int(x) for x in r.choice(40, 12, replace=False)} | ({99} if u % 3 == 0 else set()) | {1000 + u // 2} for u in range(600)}
+    pairs = spark.createDataFrame([(u, i) for u, s in sets.items() for i in s], "u long, i long")
+    met = []
+
+    def counted(asked, members, cells, *more, run=sp._tile_search):
+        met.append((asked.count(), members.join(cells, "block").count()))
+        return run(asked, members, cells, *more)
+
+    monkeypatch.setattr(sp, "_tile_search", counted)
+    score = ov.overlap_count if measure == "count" else ov.jaccard
+    got = {(x.src, x.dst, x["rank"]) for x in ov.shared_feature_topk(pairs, "u", "i", 5, score, 2, heavy=50).collect()}
+    want = set()
+    for a, x in sets.items():
+        best = sorted((-(len(x & y) if measure == "count" else len(x & y) / len(x | y)), b) for b, y in sets.items() if a != b and len(x & y) > 1)[:5]
+        want |= {(a, b, n) for n, (_, b) in enumerate(best, 1)}
+    assert got == want
+    # the class of every user is met once by each tile of 512 queries: two copies here, and the queries themselves
+    assert sum(a + b for a, b in met) <= 4 * len(sets) < pairs.count()

@@ -6,13 +6,15 @@ a feature held by a third of all entities makes impossible. Features are split:
 
 * light features (at most ``heavy`` members) are self-joined, counts are
   aggregated map-side; the join emits at most ``heavy`` rows per input row;
-* heavy features are never joined member by member. Entities with the same set of
-  heavy features form a class; overlap of heavy features is counted between
-  classes. A pair that shares only heavy features has a score fixed by its two
-  classes, so for one class the best ``k + 1`` members of all other classes
-  suffice: anything ranked below them has at least ``k`` better partners.
-
-Both parts together give the exact result; nothing is capped or sampled.
+* heavy features are never joined member by member. The sets of heavy features go
+  through a set-similarity search: rarest features first, until the features that
+  remain can't reach the running k-th score (with the bound that sizes put on a
+  Jaccard score), in tiles of bounded size, equal sets as one (``sparse.py``). Its
+  best ``k`` by heavy features alone are enough: a pair that shares no light
+  feature and isn't among them has ``k`` partners before it.
+
+Pairs of both parts get their whole overlap, and the best ``k`` of these are the
+exact result; nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfunnel.operators.relational import pick
+from wayfunnel.operators.sparse import sparse_topk
+from wayfunnel.session import written
 
 HEAVY_MEMBERS = 1000
 
@@ -45,12 +49,12 @@ def shared_feature_topk(pairs: DataFrame, entity: str, feature: str, k: int, sco
                         min_common: int = 1, heavy: int = HEAVY_MEMBERS) -> DataFrame:
     """(src, dst, common, score, rank): the ``k`` best partners by score, then id.
 
-    ``score`` must not fall when ``common`` grows at fixed sizes.
+    ``score`` is ``overlap_count`` or ``jaccard``.
     """
     base = pairs.select(F.col(entity).alias("e"), F.col(feature).alias("f")) \
         .filter("e is not null and f is not null").distinct()
     members = base.groupBy("f").agg(_rows().alias("n"))
-    sizes = base.groupBy("e").agg(_rows().alias("size"))
+    entities = base.groupBy("e").agg(_rows().alias("size"))
     has_heavy = bool(members.filter(F.col("n") > heavy).limit(1).count())
 
     light = base
@@ -58,54 +62,41 @@ def shared_feature_topk(pairs: DataFrame, entity: str, feature: str, k: int, sco
         light = base.join(members.filter(F.col("n") <= heavy), "f", "left_semi")
     left = light.select("f", F.col("e").alias("src"))
     right = light.select("f", F.col("e").alias("dst"))
-    found = left.join(right, "f").filter("src <> dst").groupBy("src", "dst").agg(_rows().alias("common"))
+    found = left.join(right, "f").filter("src <> dst").select("src", "dst", F.lit(1).alias("one"))
+    hot = F.lit(None).cast("array<bigint>").alias("hot")
     if has_heavy:
-        found = _with_heavy(base, members, sizes, found, k, score, min_common, heavy)
-
-    sized = found.filter(F.col("common") >= min_common) \
-        .join(sizes.select(F.col("e").alias("src"), F.col("size").alias("size_src")), "src") \
-        .join(sizes.select(F.col("e").alias("dst"), F.col("size").alias("size_dst")), "dst")
-    scored = sized.select("src", "dst", "common", score(F.col("common"), F.col("size_src"), F.col("size_dst")).alias("score"))
+        sets = base.join(members.filter(F.col("n") > heavy), "f", "left_semi") \
+            .groupBy("e").agg(F.sort_array(F.collect_list(F.xxhash64("f"))).alias("hot"))
+        entities = written(entities.join(sets, "e", "left"), "overlap-entities")
+        best = _by_heavy(entities.filter("hot is not null"), k, score is jaccard, min_common)
+        found = found.unionByName(best.select("src", "dst", F.lit(0).alias("one")))
+        hot = F.col("hot")
+    found = found.groupBy("src", "dst").agg(F.sum("one").alias("common"))
+
+    def side(name: str) -> DataFrame:
+        return entities.select(F.col("e").alias(name), F.col("size").alias(f"size_{name}"), hot.alias(f"hot_{name}"))
+
+    shared = F.size(F.array_intersect(F.coalesce("hot_src", F.array().cast("array<bigint>")), F.coalesce("hot_dst", F.array().cast("array<bigint>"))))
+    common = (F.col("common") + shared if has_heavy else F.col("common")).alias("common")
+    sized = found.join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", common, "size_src", "size_dst")
+    scored = sized.filter(F.col("common") >= min_common) \
+        .select("src", "dst", "common", score(F.col("common"), F.col("size_src"), F.col("size_dst")).alias("score"))
     return ranked(scored, k)
 
 
+def _by_heavy(sets: DataFrame, k: int, jaccard_score: bool, min_common: int) -> DataFrame:
+    """The best ``k`` partners by heavy features alone (``e``, ``size``, ``hot``)."""
+    points = sets.select(F.col("e").alias("id"), F.col("hot").alias("idx"), F.transform("hot", lambda x: F.lit(1.0)).alias("val"), "size")
+    if jaccard_score:
+        return sparse_topk(points, k, 0.0, common=float(min_common))
+    return sparse_topk(points.drop("size"), k, float(min_common))
+
+
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     from wayfunnel.operators.relational import top_per_group
     return top_per_group(scored, ["src"], [F.desc("score"), F.asc("dst")], k)
 
 
-def _with_heavy(base: DataFrame, members: DataFrame, sizes: DataFrame, light: DataFrame, k: int, score: Score,
-                min_common: int, heavy: int) -> DataFrame:
-    hot = base.join(members.filter(F.col("n") > heavy), "f", "left_semi")
-    # order-free fingerprint of the set of heavy features: two independent 64-bit hashes and the set size
-    prints = hot.groupBy("e").agg(F.bit_xor(F.xxhash64("f")).alias("h1"),
-                                  F.bit_xor(F.xxhash64(F.lit("salt"), "f")).alias("h2"), _rows().alias("m"))
-    classed = prints.join(sizes, "e").select("e", "size", F.sha2(F.concat_ws(
-        ":", "h1", "h2", "m", "size"), 256).alias("cls"))
-    first = classed.groupBy("cls").agg(F.min("e").alias("e"), F.min("size").alias("size"))
-    class_features = first.join(hot, "e").select("cls", "size", "f")
-    a = class_features.select("f", F.col("cls").alias("cls_a"), F.col("size").alias("size_a"))
-    b = class_features.select("f", F.col("cls").alias("cls_b"), F.col("size").alias("size_b"))
-    between = a.join(b, "f").groupBy("cls_a", "cls_b").agg(
-        _rows().alias("hot_common"), F.min("size_a").alias("size_a"), F.min("size_b").alias("size_b"))
-
-    # pairs that also share a light feature: add the heavy overlap of their classes
-    src = classed.select(F.col("e").alias("src"), F.col("cls").alias("cls_a"))
-    dst = classed.select(F.col("e").alias("dst"), F.col("cls").alias("cls_b"))
-    mixed = light.join(src, "src", "left").join(dst, "dst", "left") \
-        .join(between.select("cls_a", "cls_b", "hot_common"), ["cls_a", "cls_b"], "left") \
-        .select("src", "dst", (F.col("common") + F.coalesce("hot_common", F.lit(0))).alias("common"))
-
-    # pairs that share heavy features only: k + 1 best members per class, spread to its members
-    smallest = pick(classed.select("e", F.col("cls").alias("cls_b")), ["cls_b"], [F.asc("e")], k + 1)
-    offers = between.filter(F.col("hot_common") >= min_common).join(smallest, "cls_b") \
-        .withColumn("_s", score(F.col("hot_common"), F.col("size_a"), F.col("size_b")))
-    best = pick(offers, ["cls_a"], [F.desc("_s"), F.asc("e")], k + 1)
-    only = src.join(best.select("cls_a", F.col("e").alias("dst"), F.col("hot_common").alias("common")), "cls_a") \
-        .filter("src <> dst").select("src", "dst", "common").join(light, ["src", "dst"], "left_anti")
-    return mixed.unionByName(only)
-
-
 def same_group_topk(df: DataFrame, entity: str, group: Column, k: int) -> DataFrame:
     """The ``k`` smallest ids of the same group with score 1: only ``k + 1`` members per
     group are joined, so a group of any size costs ``k + 1`` rows per entity."""

@@ -41,8 +41,8 @@ BOUND_CELLS = 1 << 24  # the most cells of that table (64 MB), which is sent to
 class Inverted:
     """The inverted index of a block; rows are in the order of their ids."""
 
-    def __init__(self, ids: np.ndarray, offsets: np.ndarray, idx: np.ndarray, val: np.ndarray):
-        self.ids, self.offsets, self.val = ids, offsets, val
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray, idx: np.ndarray, val: np.ndarray, sizes: np.ndarray | None = None):
+        self.ids, self.offsets, self.val, self.sizes = ids, offsets, val, sizes
         rows = np.repeat(np.arange(len(ids)), np.diff(offsets))
         order = np.argsort(idx, kind="stable")
         self.docs, self.weights = rows[order], val[order]
@@ -75,8 +75,18 @@ class Inverted:
         self.dense[place] = 0.0
         return out
 
+    def jaccard(self, idx: np.ndarray, val: np.ndarray, least: float, size: float, common: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that share ``common`` terms at least, and their shares of the terms of both, if that is ``least`` or more.
+
+        Such a row shares at least that part of the larger set, so rows of other sizes needn't be counted out one by one.
+        """
+        rows, both = self.search(idx, val, max(common, least * size))
+        scores = np.round(both / (size + self.sizes[rows] - both), DIGITS)
+        kept = (scores >= least - SLACK) & (both >= common)
+        return rows[kept], scores[kept]
+
     def search(self, idx: np.ndarray, val: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that reach ``least`` and their rounded scores."""
+        """Rows that reach ``least`` and their rounded products."""
         place = np.searchsorted(self.terms, idx)
         place[place == len(self.terms)] = 0
         here = self.terms[place] == idx if len(self.terms) else np.zeros(len(idx), bool)
@@ -118,14 +128,16 @@ def _cells(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def keyed(points: DataFrame) -> DataFrame:
     """The rows with 128 bits that name what they hold, written once."""
-    return written(points.select(F.col("id").cast("long").alias("id"), "idx", "val", F.xxhash64("idx", "val").alias("h1"),
-                                 F.xxhash64(F.lit(7), "val", "idx").alias("h2")), "sparse-rows")
+    sized = points if "size" in points.columns else points.withColumn("size", F.lit(0))
+    size = F.col("size").cast("long")
+    return written(sized.select(F.col("id").cast("long").alias("id"), size.alias("size"), "idx", "val",
+                                F.xxhash64("idx", "val", size).alias("h1"), F.xxhash64(F.lit(7), size, "val", "idx").alias("h2")), "sparse-rows")
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
     """One row for all rows that are alike: ``id`` (the smallest), their number, cells, and the heaviest term."""
     grouped = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"),
-                                           F.any_value("idx").alias("idx"), F.any_value("val").alias("val"))
+                                           F.any_value("size").alias("size"), F.any_value("idx").alias("idx"), F.any_value("val").alias("val"))
     heaviest = F.get("idx", (F.array_position("val", F.array_max("val")) - 1).cast("int"))
     return grouped.withColumn("lead", F.pmod(F.coalesce(heaviest, F.lit(-1)), F.lit(BUCKETS)).cast("int"))
 
@@ -147,19 +159,22 @@ def packed(sizes: list[tuple[int, int]], room: int) -> list[tuple[int, int, int]
     return out
 
 
-def _tile_search(asked: DataFrame, members: DataFrame, cells: DataFrame, k: int, min_score: float, strict: bool) -> DataFrame:
+def _tile_search(asked: DataFrame, members: DataFrame, cells: DataFrame, k: int, min_score: float, strict: bool, common: float | None) -> DataFrame:
     """Queries (with ``block``, the block that they visit) against the blocks, in the tiles that ``cells`` names."""
     keys = ["block", "home", "part"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         sources, targets, scores = [], [], []
         if left.num_rows and right.num_rows:
-            index = Inverted(*_cells(right.sort_by("id")))
+            right = right.sort_by("id")
+            index = Inverted(*_cells(right), right["size"].to_numpy())
             ids, offsets, idx, val = _cells(left)
+            sizes = left["size"].to_numpy()
             least = left["least"].fill_null(-math.inf).to_numpy()
             for i, source in enumerate(ids):
                 a, b = offsets[i], offsets[i + 1]
-                rows, found = index.search(idx[a:b], val[a:b], max(least[i], min_score))
+                limit = max(least[i], min_score)
+                rows, found = index.search(idx[a:b], val[a:b], limit) if common is None else index.jaccard(idx[a:b], val[a:b], limit, sizes[i], common)
                 good = found > min_score if strict else found >= min_score
                 rows, found = rows[good], found[good]
                 if len(rows) > k:
@@ -173,9 +188,9 @@ def _tile_search(asked: DataFrame, members: DataFrame, cells: DataFrame, k: int,
         return pa.table([np.concatenate(x) if x else np.zeros(0, t) for x, t in ((sources, np.int64), (targets, np.int64), (scores, float))],
                         names=["src", "dst", "score"])
 
-    there = members.select("block", "id", "idx", "val").join(cells, "block")
-    right = there.select(*[F.col(c).alias(f"m_{c}") for c in keys], "id", "idx", "val")
-    return asked.select(*keys, "id", "idx", "val", "least").groupBy(*keys) \
+    there = members.select("block", "id", "size", "idx", "val").join(cells, "block")
+    right = there.select(*[F.col(c).alias(f"m_{c}") for c in keys], "id", "size", "idx", "val")
+    return asked.select(*keys, "id", "size", "idx", "val", "least").groupBy(*keys) \
         .cogroup(right.groupBy(*[f"m_{c}" for c in keys])).applyInArrow(run, "src long, dst long, score double")
 
 
@@ -190,10 +205,12 @@ def _bounds(members: DataFrame, groups: int, blocks: int, width: int) -> np.ndar
 
 
 def sparse_topk(points: DataFrame, k: int, min_score: float = -math.inf, strict: bool = False,
-                queries: DataFrame | None = None, exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
+                queries: DataFrame | None = None, exclude_self: bool = True, block: int = BLOCK, common: float | None = None) -> DataFrame:
     """(src, dst, score, rank): the ``k`` rows with the largest inner products for each query, by score, then id.
 
-    Scores below ``min_score`` (``strict``: and at it) are left out. Ids are unique within a table.
+    Scores below ``min_score`` (``strict``: and at it) are left out. Ids are unique within a table. With ``common`` the rows
+    are sets (all weights 1) with a ``size`` that may count further members, and the score of rows with at least so many
+    shared terms is these by the members of both.
     """
     spark = points.sparkSession
     wanted = k + 1 if exclude_self else k
@@ -210,7 +227,7 @@ def sparse_topk(points: DataFrame, k: int, min_score: float = -math.inf, strict:
 
     def placed(df: DataFrame, name: str) -> DataFrame:
         return df.join(layout, "lead").withColumn(name, (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")) \
-            .select("id", "n", "idx", "val", "h1", "h2", name)
+            .select("id", "n", "size", "idx", "val", "h1", "h2", name)
 
     members = written(placed(classes, "block"), "sparse-members")
     asking = rows if queries is None else keyed(queries)
@@ -221,15 +238,18 @@ def sparse_topk(points: DataFrame, k: int, min_score: float = -math.inf, strict:
                     "sparse-asked")
     if blocks <= FEW_BLOCKS:
         every = asked.withColumns({"block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "least": F.lit(None).cast("double")})
-        found = _tile_search(every, members, every.select("block", "home", "part").distinct(), wanted, min_score, strict)
+        found = _tile_search(every, members, every.select("block", "home", "part").distinct(), wanted, min_score, strict, common)
     else:
         own = asked.withColumns({"block": F.col("home"), "least": F.lit(None).cast("double")})
-        found = written(_tile_search(own, members, own.select("block", "home", "part").distinct(), wanted, min_score, strict), "sparse-first")
+        found = written(_tile_search(own, members, own.select("block", "home", "part").distinct(), wanted, min_score, strict, common), "sparse-first")
         reached = found.groupBy(F.col("src").alias("id")).agg(F.when(F.count(F.lit(1)) >= wanted, F.min("score")).alias("least"))
         known = asked.join(reached, "id", "left")
-        visits = written(_visits(known, members, blocks, min_score).filter("block <> home"), "sparse-visits")
+        need = F.coalesce("least", F.lit(min_score))
+        if common is not None:
+            need = F.greatest(need * F.col("size"), F.lit(float(common)))
+        visits = written(_visits(known.withColumn("least", need), members, blocks, min_score if common is None else 0.0).filter("block <> home"), "sparse-visits")
         second = _tile_search(known.join(visits.select("id", "block"), "id"), members,
-                              visits.select("block", "home", "part").distinct(), wanted, min_score, strict)
+                              visits.select("block", "home", "part").distinct(), wanted, min_score, strict, common)
         found = found.unionByName(second)
     found = written(found, "sparse-found")
     return _expanded(pick(found, ["src"], [F.desc("score"), F.asc("dst")], wanted), rows, classes, asking, source, k, exclude_self)
@@ -237,7 +257,8 @@ def sparse_topk(points: DataFrame, k: int, min_score: float = -math.inf, strict:
 
 def _visits(asked: DataFrame, members: DataFrame, blocks: int, min_score: float) -> DataFrame:
     """(id, home, part, block) for the blocks whose largest weights allow a query's score to beat."""
-    width = min(FOLDED, int(members.agg(F.max(F.array_max("idx"))).first()[0] or 0) + 1)
+    largest = members.agg(F.max(F.greatest(F.array_max("idx"), -F.array_min("idx")))).first()[0]
+    width = min(FOLDED, int(largest or 0) + 1)
     groups = max(1, min(GROUPS, blocks, BOUND_CELLS // width))
     bounds = members.sparkSession.sparkContext.broadcast(_bounds(members, groups, blocks, width))
 
