@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfunnel.functions import events as ev
-from wayfunnel.functions.common import col, micros, with_defaults
+from wayfunnel.functions.common import col, with_defaults
 from wayfunnel.operators.relational import fits_broadcast, pick
+from wayfunnel.session import written
 
-DAY_MICROS = 86_400_000_000
+PIECE_ROWS = 1_000_000  # of a timeline, sorted in one task
 
 # Defaults for the grouping context of exposures.
 CONTEXT_DEFAULTS = {"variant": "default", "endpoint": "unknown", "page_id": "", "algorithm_version": "unknown"}
@@ -76,34 +77,48 @@ def detail_views(parsed: DataFrame) -> DataFrame:
         .select(F.col("row_item").alias("dataset_id"), "server_time")
 
 
+def timeline_pieces(events: DataFrame, states: DataFrame, key: str, time: str, state_id: str, columns: Sequence[str],
+                    piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Events (``_kind`` 1) and states (0) in order of key and time, cut into numbered pieces of about ``piece_rows`` rows.
+
+    The order has no ties between different rows, so one key at one instant can lie in any number of pieces.
+    """
+    payload = F.struct(F.col(time).alias("_at"), F.col(state_id).alias("_sid"), *[F.col(c) for c in columns])
+    left = events.withColumns({"_kind": F.lit(1), "_tie": F.xxhash64(*events.columns)})
+    right = states.filter(F.col(time).isNotNull() & F.col(key).isNotNull()).select(
+        key, F.col(time), F.lit(0).alias("_kind"), payload.alias("_state"))
+    timeline = left.unionByName(right, allowMissingColumns=True)
+    pieces = max(1, -(-timeline.count() // piece_rows))
+    ranged = timeline.repartitionByRange(pieces, key, time, "_kind", "_state._sid", "_tie")
+    return written(ranged.withColumn("_piece", F.spark_partition_id()), "timeline")
+
+
 def as_of_last(events: DataFrame, states: DataFrame, key: str, time: str, state_id: str,
-               columns: Sequence[str]) -> DataFrame:
+               columns: Sequence[str], piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Attach to each event the latest state of the same key at or before its time.
 
-    Both sides are laid on one timeline and cut into (key, day) pieces, so a key
-    with a third of all rows is spread over its days. The last state of each day
-    is carried to later days on a table with one row per (key, day).
+    A scan in two passes over ordered pieces of bounded size: the first finds the state that each
+    piece leaves behind for its last key, and a table with one row per piece carries these on to the
+    pieces in which that key continues; the second looks for the latest state inside the piece and
+    takes the carried one where there is none.
     """
-    payload = F.struct(F.col(time).alias("_at"), F.col(state_id).alias("_sid"), *[F.col(c) for c in columns])
-    day = F.floor(micros(time) / DAY_MICROS)
-    left = events.withColumn("_day", day)
-    right = states.filter(F.col(time).isNotNull()).select(
-        key, F.col(time), day.alias("_day"), payload.alias("_state"))
-
-    per_day = right.groupBy(key, "_day").agg(F.max("_state").alias("_closing"))
-    days = left.select(key, "_day").distinct().join(per_day, [key, "_day"], "full")
-    before = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    opening = days.select(key, "_day", F.last("_closing", ignorenulls=True).over(before).alias("_opening"))
-
-    timeline = left.withColumn("_kind", F.lit(1)).unionByName(
-        right.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    upto = Window.partitionBy(key, "_day").orderBy(F.col(time), "_kind", F.col("_state._sid")) \
+    pieces = timeline_pieces(events, states, key, time, state_id, columns, piece_rows)
+    ends = pieces.groupBy("_piece").agg(
+        F.min(key).alias("_open"), F.max(key).alias("_close"),
+        F.max(F.when(F.col("_kind") == 0, F.struct(F.col(key).alias("k"), F.col("_state").alias("s")))).alias("_last"))
+    left_behind = ends.select("_piece", F.col("_close").alias("_k"), F.when(F.col("_last.k") == F.col("_close"), F.col("_last.s")).alias("_s"),
+                              F.lit(False).alias("_asks"))
+    asked = ends.select("_piece", F.col("_open").alias("_k"), F.lit(None).cast(left_behind.schema["_s"].dataType).alias("_s"), F.lit(True).alias("_asks"))
+    earlier = Window.partitionBy("_k").orderBy("_piece").rangeBetween(Window.unboundedPreceding, -1)  # a row for each piece
+    carried = left_behind.unionByName(asked).withColumn("_carry", F.last("_s", ignorenulls=True).over(earlier)) \
+        .filter("_asks and _carry is not null").select("_piece", F.col("_k").alias("_carried_key"), "_carry")
+
+    upto = Window.partitionBy("_piece", key).orderBy(F.col(time), "_kind", F.col("_state._sid")) \
         .rowsBetween(Window.unboundedPreceding, 0)
-    seen = timeline.withColumn("_seen", F.last("_state", ignorenulls=True).over(upto)).filter("_kind = 1")
-    joined = seen.join(opening, [key, "_day"], "left")
-    state = F.coalesce("_seen", "_opening")
-    keep = [c for c in events.columns]
-    return joined.select(*keep, *[state[c].alias(f"state_{c}") for c in columns])
+    seen = pieces.withColumn("_seen", F.last("_state", ignorenulls=True).over(upto)).filter("_kind = 1")
+    joined = seen.join(carried, "_piece", "left")
+    state = F.coalesce("_seen", F.when(F.col(key) == F.col("_carried_key"), F.col("_carry")))
+    return joined.select(*events.columns, *[state[c].alias(f"state_{c}") for c in columns])
 
 
 def recommend_conversions(conversions: DataFrame, parsed: DataFrame, dictionary: DataFrame,
