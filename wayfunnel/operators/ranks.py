@@ -3,26 +3,44 @@
 A global ``row_number`` or ``percentile`` sends every row to one task. Here rows
 are first reduced to a histogram (value, count), the histogram is cut into value
 ranges by approximate quantiles, ranks are counted inside each range, and range
-totals (at most RANGES rows) supply the offsets. Results are exact: the
-approximate cuts only decide which task counts which value.
+totals (a row for each range) supply the offsets. There are as many ranges as the
+number of rows asks for. Results are exact: the approximate cuts only decide which
+task counts which value.
+
+Single quantiles are selected without ranking anything else: a sketch brackets each
+wanted rank, one pass counts what lies below and inside each bracket, and brackets
+are narrowed until few rows are inside; only these are sorted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 128
+RANGE_ROWS = 1_000_000   # about so many rows fall into one range
+ACCURACY = 10_000        # of the sketch that brackets a rank: off by one in so many rows at most
+FEW_ROWS = 100_000       # a bracket with no more rows is sorted
+
+
+def range_steps(rows: int) -> int:
+    """Ranges are found in two steps of so many each, so their number is the square of this."""
+    return max(4, math.ceil(math.sqrt(rows / RANGE_ROWS)))
 
 
 def with_range(df: DataFrame, source: DataFrame, column: str, key: str) -> DataFrame:
     """Number of the value range of ``key``; cuts are approximate quantiles of ``source[column]``."""
-    cuts = [i / RANGES for i in range(1, RANGES)]
-    bounds = source.agg(F.percentile_approx(F.col(column).cast("double"), cuts, 2000).alias("b")).scalar()
+    steps = range_steps(source.count())
+    ranges = steps * steps
+    cuts = [i / ranges for i in range(1, ranges)]
+    bounds = source.agg(F.percentile_approx(F.col(column).cast("double"), cuts, 16 * ranges).alias("b")).scalar()
     cut = df.withColumn("_bounds", F.coalesce(bounds, F.array().cast("array<double>")))
-    return cut.withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(key)))).drop("_bounds")
+    below = lambda b: b < F.col(key)
+    coarse = F.size(F.filter(F.filter("_bounds", lambda b, i: i % steps == steps - 1), below))
+    fine = F.size(F.filter(F.slice("_bounds", F.col("_coarse") * steps + 1, F.lit(steps - 1)), below))
+    return cut.withColumn("_coarse", coarse).withColumn("_range", F.col("_coarse") * steps + fine).drop("_bounds", "_coarse")
 
 
 def ranked_values(df: DataFrame, value: str) -> DataFrame:
@@ -33,7 +51,7 @@ def ranked_values(df: DataFrame, value: str) -> DataFrame:
     hist = with_range(hist, values, "v", "v")
     totals = hist.groupBy("_range").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_d"),
                                         F.sum(F.col("v") * F.col("n")).alias("_s"))
-    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     whole = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = totals.select(
         "_range",
@@ -85,22 +103,56 @@ def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.join(ranks, df[value].cast("double") == F.col("_key"), "left").drop("_key")
 
 
+def selected(df: DataFrame, value: str, ranks: Sequence[int], total: int) -> dict[int, float]:
+    """The values at some 0-based ranks in ascending order among the ``total`` non-null ones.
+
+    The driver holds two bounds and two counts for each rank; every round is one pass with partial sums.
+    """
+    v = F.col("v")
+    values = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    brackets: dict[int, tuple] = dict.fromkeys(ranks, (None, None))
+    below, inside = dict.fromkeys(ranks, 0), dict.fromkeys(ranks, total)
+
+    def within(rank: int) -> Column:
+        lo, hi = brackets[rank]
+        return (v >= F.lit(lo)) & (v <= F.lit(hi)) if lo is not None else F.lit(True)
+
+    while True:
+        wide = [r for r in ranks if inside[r] > FEW_ROWS and (brackets[r][0] is None or brackets[r][0] != brackets[r][1])]
+        if not wide:
+            break
+        cuts = {r: [min(1.0, max(0.0, (r - below[r]) / inside[r] + e)) for e in (-2 / ACCURACY, 2 / ACCURACY)] for r in wide}
+        row = values.agg(*[F.percentile_approx(F.when(within(r), v), cuts[r], ACCURACY).alias(f"q{r}") for r in wide]).first()
+        narrowed = {r: tuple(row[f"q{r}"]) for r in wide}
+        if all(narrowed[r] == brackets[r] for r in wide):
+            break  # the sketch can't tell them apart any further
+        brackets |= narrowed
+        row = values.agg(*[x for r in wide for x in (F.count_if(v < F.lit(brackets[r][0])).alias(f"b{r}"), F.count_if(within(r)).alias(f"n{r}"))]).first()
+        for r in wide:
+            below[r], inside[r] = row[f"b{r}"], row[f"n{r}"]
+    out = {r: brackets[r][0] for r in ranks if brackets[r][0] is not None and brackets[r][0] == brackets[r][1]}
+    rest = [r for r in ranks if r not in out]
+    if rest:
+        tagged = values.select("v", F.explode(F.filter(F.array(*[F.when(within(r), F.lit(r)) for r in rest]), lambda x: x.isNotNull())).alias("rank"))
+        upto = Window.partitionBy("rank").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # about FEW_ROWS rows for each rank
+        offsets = F.create_map(*[x for r in rest for x in (F.lit(r), F.lit(below[r]))])
+        counted = tagged.groupBy("rank", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto) + offsets[F.col("rank")])
+        found = counted.filter(F.col("upto") > F.col("rank")).groupBy("rank").agg(F.min("v").alias("v"))
+        out |= {r["rank"]: r["v"] for r in found.collect()}
+    return out
+
+
 def quantiles(df: DataFrame, value: str, probs: Mapping[str, float]) -> DataFrame:
-    """Exact linearly interpolated quantiles as one row, one column per name."""
-    ranks = ranked_values(df, value)
-    parts: list[Column] = []
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("total") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-
-        def at(k: Column) -> Column:
-            return F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col(value)))
-
-        parts += [at(lo).alias(f"_lo_{name}"), at(hi).alias(f"_hi_{name}"), F.max(pos - lo).alias(f"_f_{name}")]
-    row = ranks.agg(*parts)
-    return row.select(*[
-        (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_f_{name}")).alias(name)
-        for name in probs])
+    """Exact linearly interpolated quantiles as one row, one column per name; nulls without any value."""
+    total = df.filter(F.col(value).isNotNull()).count()
+    row: dict[str, float | None] = dict.fromkeys(probs)
+    if total:
+        places = {name: float(p) * (total - 1) for name, p in probs.items()}
+        found = selected(df, value, sorted({int(f(x)) for x in places.values() for f in (math.floor, math.ceil)}), total)
+        for name, x in places.items():
+            lo, hi = found[math.floor(x)], found[math.ceil(x)]
+            row[name] = lo + (hi - lo) * (x - math.floor(x))
+    return df.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"`{n}` double" for n in row))
 
 
 def concentration(df: DataFrame, value: str) -> DataFrame:
