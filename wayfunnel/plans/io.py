@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from wayfunnel.plans.oracle import R, TABLES, TS
 from wayfunnel.plans.registry import query
 from wayfunnel.schemas import INTERACTIONS
 from wayfunnel.session import shared_folder, written
+from wayfunnel.sinks import ingest
 from wayfunnel.sinks import writers as wr
 from wayfunnel.sources import readers as rd
 from wayfunnel.streaming import jobs
@@ -30,14 +31,16 @@ def folder(t: Inputs, label: str) -> str:
 
 # -- sources ----------------------------------------------------------------------
 
-def json_export(t: Inputs) -> str:
-    """Orders as JSON exports: a full file and two increments (directories of part files per name)."""
-    path = folder(t, "json")
+EXPORTS = ("task.json", "task_20240101_000000.json", "task_20240201_000000.json")
+
+
+def json_export(t: Inputs, path: str, parts: Sequence[int] = (0, 1, 2)) -> str:
+    """Orders as JSON exports: a full file and two increments (folders of part files per name)."""
     rows = t.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("create_user"),
                                     F.col("o_totalprice").cast("string").alias("price"),
                                     F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("create_time"))
-    for name, part in (("task.json", 0), ("task_20240101_000000.json", 1), ("task_20240201_000000.json", 2)):
-        rows.filter(every("id", 3, part)).write.json(f"{path}/{name}")
+    for part in parts:
+        rows.filter(every("id", 3, part)).write.json(f"{path}/{EXPORTS[part]}")
     return path
 
 
@@ -46,21 +49,45 @@ EXPORT_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("
 
 
 @query("src1_json_bootstrap", f"""
-  SELECT o_orderkey AS id, o_custkey AS create_user, {R('o_totalprice')} AS price, {TS('o_orderdate')} AS create_time FROM orders""")
+  SELECT o_orderkey AS id, o_custkey AS create_user, {R('o_totalprice')} AS price, {TS('o_orderdate')} AS create_time,
+         CASE o_orderkey % 3 WHEN 1 THEN '2024-01-01 00:00:00' WHEN 2 THEN '2024-02-01 00:00:00' END AS file_time FROM orders""")
 def _(t: Inputs) -> DataFrame:
-    path = json_export(t)
-    full = t.spark.read.schema(EXPORT_SCHEMA).json([f"{path}/{n}" for n in (
-        "task.json", "task_20240101_000000.json", "task_20240201_000000.json")])
-    return rd.coerce(full, rd.JSON_CONVERSIONS["task"]).withColumn("create_time", stamp("create_time"))
+    full = rd.json_table(t.spark, json_export(t, folder(t, "json")), "task", EXPORT_SCHEMA, multi_line=False)
+    return full.withColumns({"create_time": stamp("create_time"), "file_time": stamp("file_time")})
 
 
-@query("src2_later_increments")
+@query("src2_later_increments", f"""
+  SELECT o_orderkey AS id, o_custkey AS create_user, {R('o_totalprice')} AS price, {TS('o_orderdate')} AS create_time,
+         '2024-02-01 00:00:00' AS file_time FROM orders WHERE o_orderkey % 3 = 2""")
 def _(t: Inputs) -> DataFrame:
-    """Single-file increments are covered by tests; here the file name of each part is read back."""
-    path = json_export(t)
-    read = t.spark.read.schema(EXPORT_SCHEMA).json(f"{path}/task_2024*.json")
-    named = read.withColumn("increment", F.regexp_extract("_metadata.file_path", r"task_(\d{8}_\d{6})", 1))
-    return named.groupBy("increment").agg(F.count(F.lit(1)).alias("n"))
+    """Increments named later than the mark: the last of the two."""
+    later = rd.json_table(t.spark, json_export(t, folder(t, "json")), "task", EXPORT_SCHEMA, "2024-01-01T00:00:00", multi_line=False)
+    return later.withColumns({"create_time": stamp("create_time"), "file_time": stamp("file_time")})
+
+
+def marked_loads(t: Inputs) -> tuple[str, str]:
+    """A bootstrap load, and a load of what came later."""
+    path = folder(t, "marked")
+    for parts in ((0, 1), (2,)):
+        json_export(t, f"{path}/in", parts)
+        ingest.load_json(t.spark, f"{path}/in", "task", EXPORT_SCHEMA, f"{path}/table", f"{path}/state", ["id"], multi_line=False)
+    return f"{path}/table", f"{path}/state"
+
+
+@query("src2b_marked_loads", f"""
+  SELECT o_orderkey AS id, {R('o_totalprice')} AS price, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS load_seq FROM orders""")
+def _(t: Inputs) -> DataFrame:
+    """The table after two loads; the second takes every increment named later than the saved mark, which is a time in the data."""
+    return wr.current_version(t.spark, marked_loads(t)[0]).select("id", "price", "load_seq")
+
+
+@query("snk4b_saved_marks", """
+  SELECT 1 AS load, 'business' AS source, 'task' AS table_name, 'create_time' AS "column", 'full' AS mode,
+         strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%S') AS mark, count(*) AS row_count FROM orders WHERE o_orderkey % 3 < 2
+  UNION ALL SELECT 2, 'business', 'task', 'create_time', 'incremental',
+         strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%S'), count(*) FROM orders WHERE o_orderkey % 3 > 0""")
+def _(t: Inputs) -> DataFrame:
+    return ingest.saved_marks(t.spark, marked_loads(t)[1], "task")
 
 
 @query("src4_incremental_columns", """
@@ -195,9 +222,10 @@ def _(t: Inputs) -> DataFrame:
 
 
 @query("snk5_load_metrics", """
-  SELECT 'orders' AS table_name, 'full' AS mode, count(*) AS row_count, CAST(NULL AS VARCHAR) AS mark FROM orders""")
+  SELECT 'orders' AS table_name, 'full' AS mode, count(*) AS row_count, strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%S') AS mark FROM orders""")
 def _(t: Inputs) -> DataFrame:
-    return wr.load_metrics(t.table("orders"), "orders", "full", None)
+    """Counted in the pass that writes."""
+    return wr.write_observed(t.table("orders"), folder(t, "metrics"), "orders", "full", "o_orderdate")
 
 
 @query("snk6_saved_views", """
@@ -293,17 +321,18 @@ def web_events(t: Inputs) -> DataFrame:
                            F.when(F.col("event_type").isin("view", "click"), F.col("event_type")).alias("kind"))
 
 
-@query("str1_ingest_with_upsert", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS ids FROM orders")
+@query("str1_ingest_with_upsert", """
+  SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS status,
+         CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS load_seq FROM orders""")
 def _(t: Inputs) -> DataFrame:
+    """Two runs of the stream; the second one's rows replace those of the first."""
     source, target = folder(t, "stream-in"), folder(t, "stream-table")
     rows = t.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
-    rows.write.json(source)
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("status", T.StringType())])
-    read = t.spark.readStream.schema(schema).json(source)
-    q = read.writeStream.foreachBatch(lambda b, n: wr.upsert(b.withColumn("load_seq", F.lit(n)), target, ["id"]) and None) \
-        .option("checkpointLocation", f"{target}-checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return wr.current_version(t.spark, target).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+    for part in (rows, rows.filter(every("id", 3)).withColumn("status", F.lit("X"))):
+        part.write.mode("append").json(source)
+        jobs.ingest_with_upsert(t.spark, source, schema, target, ["id"], f"{target}-checkpoint", multi_line=False).awaitTermination()
+    return wr.current_version(t.spark, target).select("id", "status", "load_seq")
 
 
 @query("str2_trending_windows", """

@@ -5,12 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from wayfunnel.operators.relational import outer_union, pick, top_per_group
+from wayfunnel.sinks.log import CommitLog
+
+BUCKETS = 64  # of a keyed table, fixed by its first load
 
 
 def append_load(df: DataFrame, path: str, load_time: str) -> None:
@@ -25,35 +28,67 @@ def upserted(existing: DataFrame, new: DataFrame, keys: Sequence[str], sequence:
                 [F.desc_nulls_last(sequence), *[F.desc_nulls_last(c) for c in tie]])
 
 
-def current_version(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest published version of a versioned table; ``_versions`` has one small row per write."""
-    try:
-        log = spark.read.parquet(f"{path}/_versions")
-    except AnalysisException:
-        return None
-    newest = log.orderBy(F.desc("version")).limit(1).first()
-    return spark.read.parquet(newest["location"]) if newest else None
+def _stored(spark: SparkSession, manifest: Mapping[str, str], buckets: Sequence[str] | None = None) -> DataFrame | None:
+    places = [manifest[b] for b in sorted(manifest) if buckets is None or b in buckets]
+    return spark.read.option("mergeSchema", True).parquet(*places) if places else None
 
 
-def publish(df: DataFrame, path: str) -> str:
-    """Write a full new version beside the old one, then record it. Readers never see a half-written
-    table, and a failed job leaves the previous version in place."""
-    spark = df.sparkSession
-    location = f"{path}/v-{uuid.uuid4().hex}"
-    df.write.parquet(location)
-    try:
-        last = spark.read.parquet(f"{path}/_versions").agg(F.max("version").alias("v")).first()["v"] or 0
-    except AnalysisException:
-        last = 0
-    entry = spark.createDataFrame([(last + 1, location)], "version long, location string")
-    entry.coalesce(1).write.mode("append").parquet(f"{path}/_versions")
-    return location
-
-
-def upsert(new: DataFrame, path: str, keys: Sequence[str], sequence: str = "load_seq") -> str:
-    existing = current_version(new.sparkSession, path)
-    merged = new if existing is None else existing.unionByName(new, allowMissingColumns=True)
-    return publish(pick(merged, keys, [F.desc_nulls_last(sequence)]), path)
+def current_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version of a keyed table, or none before its first load."""
+    _, entry = CommitLog(spark, f"{path}/_log").newest()
+    return _stored(spark, entry["files"]) if entry else None
+
+
+def upsert(new: DataFrame, path: str, keys: Sequence[str], sequence: str = "load_seq", tie: Sequence[str] = (),
+           buckets: int = BUCKETS, observed: Observation | None = None, metrics: Sequence[Column] = ()) -> int:
+    """Merge rows into a keyed table; returns the number of the version.
+
+    Keys are dealt out to a fixed number of buckets, and only those that the load touches are written anew. A version is a
+    log entry that names the files of each bucket. It is created only if no other writer has taken its number; otherwise
+    the load is merged again where that writer touched the same buckets, so neither loses rows. A failed job leaves the
+    last version in place, and a repeated load (same ``sequence``) changes nothing. Of new rows with one key the first by
+    ``sequence``, then ``tie`` counts; ``tie`` columns aren't stored. ``metrics`` are observed while the load is staged.
+    """
+    spark, log = new.sparkSession, CommitLog(new.sparkSession, f"{path}/_log")
+    number, entry = log.newest()
+    buckets = entry["buckets"] if entry else buckets
+    counted = new.observe(observed, *metrics) if observed is not None else new
+    single = pick(counted, keys, [F.desc_nulls_last(c) for c in (sequence, *tie)]).drop(*tie)
+    staged = f"{path}/staged-{uuid.uuid4().hex}"
+    single.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).write.parquet(staged)
+    load = spark.read.parquet(staged)
+    touched = [str(r["_bucket"]) for r in load.select("_bucket").distinct().collect()]  # at most ``buckets`` rows
+    merged_from: dict[str, str] | None = None
+    location = ""
+    while True:
+        files = entry["files"] if entry else {}
+        before = {b: files[b] for b in touched if b in files}
+        if before != merged_from:
+            existing = _stored(spark, before)
+            merged = load.drop("_bucket") if existing is None else existing.unionByName(load.drop("_bucket"), allowMissingColumns=True)
+            merged = pick(merged, keys, [F.desc_nulls_last(sequence)])
+            location, merged_from = f"{path}/data-{uuid.uuid4().hex}", before
+            merged.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")) \
+                .repartition(F.col("_bucket")).write.partitionBy("_bucket").parquet(location)
+        after = {**files, **{b: f"{location}/_bucket={b}" for b in touched}}
+        if log.commit(number + 1, {"buckets": buckets, "files": after, "touched": sorted(touched)}):
+            log.delete(staged)
+            return number + 1
+        number, entry = log.newest()
+
+
+def expire(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Forget all but the last ``keep`` versions and delete the buckets that only older ones name; returns how many."""
+    log = CommitLog(spark, f"{path}/_log")
+    numbers = log.numbers()
+    entries = {n: log.read(n) for n in numbers}
+    needed = {place for n in numbers[-keep:] for place in entries[n]["files"].values()}
+    gone = {place for n in numbers[:-keep] for place in entries[n]["files"].values()} - needed
+    for n in numbers[:-keep]:
+        log.forget(n)
+    for place in gone:
+        log.delete(place)
+    return len(gone)
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -78,9 +113,15 @@ def high_water_mark(df: DataFrame, source: str, table: str, column: str) -> Data
                                               F.lit(column).alias("column"), "mark")
 
 
-def load_metrics(df: DataFrame, table: str, mode: str, mark: str | None) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("row_count")).select(
-        F.lit(table).alias("table_name"), F.lit(mode).alias("mode"), "row_count", F.lit(mark).alias("mark"))
+def write_observed(df: DataFrame, path: str, table: str, mode: str, column: str | None = None) -> DataFrame:
+    """Append a load and return its metrics row; rows and the mark are counted while they are written."""
+    seen = Observation(f"load-{uuid.uuid4().hex}")
+    newest = F.max(F.col(column).cast("timestamp_ntz")) if column else F.lit(None).cast("timestamp_ntz")
+    df.observe(seen, F.count(F.lit(1)).alias("row_count"), F.max(newest).alias("mark") if not column else newest.alias("mark")) \
+        .write.mode("append").parquet(path)
+    found = seen.get
+    mark = found["mark"].strftime("%Y-%m-%dT%H:%M:%S") if found["mark"] else None
+    return df.sparkSession.createDataFrame([(table, mode, found["row_count"], mark)], "table_name string, mode string, row_count long, mark string")
 
 
 def save_views(views: Mapping[str, tuple[DataFrame, Sequence[str]]], folder: str) -> None:

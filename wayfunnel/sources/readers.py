@@ -39,27 +39,28 @@ def incremental_column(table: str, schema: T.StructType) -> str | None:
 
 
 def _stamp_of_file() -> Column:
-    found = F.regexp_extract(F.col("_metadata.file_name"), r"_(\d{8}_\d{6})\.json$", 1)
+    """Time in the name of the increment: a file, or a folder of part files."""
+    found = F.regexp_extract(F.col("_metadata.file_path"), r"_(\d{8}_\d{6})\.json(?:/[^/]*)?$", 1)
     return F.try_to_timestamp(F.nullif(found, F.lit("")), F.lit("yyyyMMdd_HHmmss")).cast("timestamp_ntz")
 
 
-def json_increments(spark: SparkSession, folder: str, table: str, schema: T.StructType, mark: str | None) -> DataFrame:
-    """Increment files `table_YYYYMMDD_HHMMSS.json` named later than the mark, with their file time."""
+def json_increments(spark: SparkSession, folder: str, table: str, schema: T.StructType, mark: str | None, multi_line: bool = True) -> DataFrame:
+    """Increments `table_YYYYMMDD_HHMMSS.json` named later than the mark, with their file time."""
     pattern = f"{folder}/{table}_[0-9]*.json"
     try:
-        raw = spark.read.schema(schema).option("multiLine", True).json(pattern)
+        raw = spark.read.schema(schema).option("multiLine", multi_line).json(pattern)
     except AnalysisException:
         return spark.createDataFrame([], schema).withColumn("file_time", F.lit(None).cast("timestamp_ntz"))
     out = raw.withColumn("file_time", _stamp_of_file()).filter("file_time is not null")
     return out.filter(F.col("file_time") > F.lit(mark).cast("timestamp_ntz")) if mark else out
 
 
-def json_table(spark: SparkSession, folder: str, table: str, schema: T.StructType, mark: str | None = None) -> DataFrame:
+def json_table(spark: SparkSession, folder: str, table: str, schema: T.StructType, mark: str | None = None, multi_line: bool = True) -> DataFrame:
     """Bootstrap without a mark: the full file and all increments. With a mark: later increments only."""
-    out = json_increments(spark, folder, table, schema, mark)
+    out = json_increments(spark, folder, table, schema, mark, multi_line)
     if mark is None:
         try:
-            full = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/{table}.json")
+            full = spark.read.schema(schema).option("multiLine", multi_line).json(f"{folder}/{table}.json")
             out = full.withColumn("file_time", F.lit(None).cast("timestamp_ntz")).unionByName(out)
         except AnalysisException:
             pass

@@ -25,12 +25,18 @@ def _zoned(c: str) -> Column:
 
 
 def ingest_with_upsert(spark: SparkSession, folder: str, schema: T.StructType, target: str, keys: Sequence[str],
-                       checkpoint: str) -> StreamingQuery:
-    """New JSON files are merged into a versioned table; the checkpoint replaces a saved mark."""
-    stream = spark.readStream.schema(schema).option("multiLine", True).json(folder)
+                       checkpoint: str, multi_line: bool = True) -> StreamingQuery:
+    """New JSON files are merged into a keyed table; the checkpoint replaces a saved mark.
+
+    Of rows with one key in a batch the one of the latest file counts, and in a file the last one.
+    """
+    stream = spark.readStream.schema(schema).option("multiLine", multi_line).json(folder) \
+        .withColumns({"_file_time": F.col("_metadata.file_modification_time"), "_file": F.col("_metadata.file_path"),
+                      "_block": F.col("_metadata.file_block_start")})
 
     def merge(batch: DataFrame, number: int) -> None:
-        upsert(batch.withColumn("load_seq", F.lit(number)), target, keys)
+        placed = batch.withColumns({"load_seq": F.lit(number), "_row": F.monotonically_increasing_id()})
+        upsert(placed, target, keys, tie=("_file_time", "_file", "_block", "_row"))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
