@@ -145,12 +145,12 @@ def factor_scores(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataF
 
 
 def ensemble(tables: Mapping[str, DataFrame], n: int, weights: Mapping[str, float] = ENSEMBLE) -> DataFrame:
-    """Weighted sum over model outputs (user_id, item_id, score) with the per-model scores as a map."""
+    """Weighted sum over model outputs (user_id, item_id, score) with the weighted score of each model as a map."""
     parts = [t.select("user_id", "item_id", F.lit(name).alias("m"), F.col("score").alias("s"), F.lit(weights[name]).alias("w"))
              for name, t in tables.items()]
     total = outer_union(parts).groupBy("user_id", "item_id").agg(
         F.round(F.sum(F.col("s") * F.col("w")), DIGITS).alias("score"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("m", "s")))).alias("model_scores"))
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("m", F.round(F.col("s") * F.col("w"), DIGITS).alias("s"))))).alias("model_scores"))
     return top_per_group(total, ["user_id"], [F.desc("score"), F.asc("item_id")], n)
 
 

@@ -107,32 +107,59 @@ def _(t: Inputs) -> DataFrame:
     return vector_neighbours(t.vectors, pr.K, block_rows=256).select("src", "dst", "score")
 
 
-TABLES["x_model_lists"] = """
-  SELECT 'user_cf' AS m, user_id, item_id, prediction AS s, 0.4::DOUBLE AS w FROM x_user_cf
-  UNION ALL SELECT 'content', user_id, dataset_id, score, 0.3::DOUBLE FROM x_user_cand
-  UNION ALL SELECT 'popularity', user_id, item_id, prediction, 0.3::DOUBLE FROM x_item_cf"""
+TABLES["x_content_users"] = """
+  WITH z AS (SELECT user_id, count(*) AS size FROM x_inter GROUP BY 1),
+  s AS (SELECT i.user_id, c.dst AS item_id, sum(c.score) AS s FROM x_inter i JOIN x_content c ON c.src = i.dataset_id GROUP BY 1, 2),
+  f AS (SELECT s.user_id, s.item_id, round(s.s / z.size, 9) AS score FROM s JOIN z USING (user_id)
+        WHERE NOT EXISTS (SELECT 1 FROM x_inter o WHERE o.user_id = s.user_id AND o.dataset_id = s.item_id))
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM f QUALIFY rank <= 20"""
+TABLES["x_popular_unseen"] = """
+  WITH p AS (SELECT item_id, round(count(*) * avg(rating), 9) AS score FROM x_ratings GROUP BY 1),
+  c AS (SELECT u.user_id, p.item_id, p.score FROM (SELECT DISTINCT user_id FROM x_ratings) u CROSS JOIN p)
+  SELECT c.user_id, c.item_id, c.score FROM c LEFT JOIN x_ratings r ON r.user_id = c.user_id AND r.item_id = c.item_id
+  WHERE r.user_id IS NULL QUALIFY row_number() OVER (PARTITION BY c.user_id ORDER BY c.score DESC, c.item_id) <= 20"""
+TABLES["x_model_lists"] = f"""
+  SELECT 'user_cf' AS m, user_id, item_id, prediction AS s, 0.4::DOUBLE AS w FROM (
+    SELECT n.src AS user_id, r.item_id, round(sum(n.score * r.rating) / sum(n.score), 9) AS prediction
+    FROM x_cf_users n JOIN x_ratings r ON r.user_id = n.dst GROUP BY 1, 2) m WHERE {_UNSEEN}
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY prediction DESC, item_id) <= 20
+  UNION ALL SELECT 'content', user_id, item_id, score, 0.3::DOUBLE FROM x_content_users
+  UNION ALL SELECT 'popularity', user_id, item_id, score, 0.3::DOUBLE FROM x_popular_unseen"""
 TABLES["x_ensemble"] = """
   SELECT user_id, item_id, round(sum(s * w), 9) AS score, string_agg(m, ',' ORDER BY m) AS models,
+         max(CASE WHEN m = 'content' THEN round(s * w, 9) END) AS content_score,
          row_number() OVER (PARTITION BY user_id ORDER BY round(sum(s * w), 9) DESC, item_id) AS rank
   FROM x_model_lists GROUP BY 1, 2 QUALIFY rank <= 10"""
 
 
 @stored
-def user_candidates(t: Inputs) -> DataFrame:
-    from wayfunnel.operators.recall import user_candidates as build
-    return build(pr.user_sim(t), pf.interactions(t), pr.K)
+def content_lists(t: Inputs) -> DataFrame:
+    from wayfunnel.operators.recall import content_for_users
+    return content_for_users(pr.content(t), pf.interactions(t), 2 * N).withColumnRenamed("dataset_id", "item_id")
+
+
+@stored
+def popular_lists(t: Inputs) -> DataFrame:
+    from wayfunnel.operators.recall import popular_unseen
+    return popular_unseen(pf.ratings(t), 2 * N)
 
 
 def model_lists(t: Inputs) -> dict[str, DataFrame]:
-    return {"user_cf": user_cf(t).withColumnRenamed("prediction", "score"),
-            "content": user_candidates(t).withColumnRenamed("dataset_id", "item_id"),
-            "popularity": item_cf(t).withColumnRenamed("prediction", "score")}
+    """Lists of twice the wanted length from one model of each kind."""
+    return {"user_cf": cf.user_based(pf.ratings(t), cf_users(t), 2 * N).withColumnRenamed("prediction", "score"),
+            "content": content_lists(t), "popularity": popular_lists(t)}
+
+
+@stored
+def ensembled(t: Inputs) -> DataFrame:
+    return cf.ensemble(model_lists(t), N)
 
 
-@query("cf6_weighted_ensemble", f"SELECT user_id, item_id, {R('score')} AS score, models, rank FROM x_ensemble")
+@query("cf6_weighted_ensemble", f"""
+  SELECT user_id, item_id, {R('score')} AS score, models, {R('content_score')} AS content_score, rank FROM x_ensemble""")
 def _(t: Inputs) -> DataFrame:
-    out = cf.ensemble(model_lists(t), N)
-    return out.select("user_id", "item_id", "score", F.array_join(F.map_keys("model_scores"), ",").alias("models"), "rank")
+    return ensembled.direct(t).select("user_id", "item_id", "score", F.array_join(F.map_keys("model_scores"), ",").alias("models"),
+                                      F.col("model_scores")["content"].alias("content_score"), "rank")
 
 
 @query("cf7_meta_model")
@@ -148,15 +175,15 @@ def _(t: Inputs) -> DataFrame:
 
 @query("cf8_switched_lists", f"""
   WITH n AS (SELECT user_id, count(*) AS n FROM x_ratings GROUP BY 1),
-  k AS (SELECT c.c_custkey AS user_id, CASE WHEN coalesce(n.n, 0) < 10 THEN 'content' ELSE 'collaborative' END AS algorithm
+  k AS (SELECT c.c_custkey AS user_id, CASE WHEN coalesce(n.n, 0) < 5 THEN 'content' ELSE 'collaborative' END AS algorithm
         FROM customer c LEFT JOIN n ON n.user_id = c.c_custkey),
-  b AS (SELECT user_id, dataset_id AS item_id, score, 'content' AS algorithm FROM x_user_cand
+  b AS (SELECT user_id, item_id, score, 'content' AS algorithm FROM x_content_users WHERE rank <= 10
         UNION ALL SELECT user_id, item_id, prediction, 'collaborative' FROM x_user_cf)
   SELECT b.user_id, b.algorithm, b.item_id, {R('b.score')} AS score FROM b JOIN k USING (user_id, algorithm)""")
 def _(t: Inputs) -> DataFrame:
-    lists = model_lists(t)
+    """Content lists for users with fewer than five ratings, collaborative ones for the others."""
     users = t.table("customer").select(F.col("c_custkey").alias("user_id"))
-    return cf.switch(pf.ratings(t), users, lists["content"], lists["user_cf"], cold=10)
+    return cf.switch(pf.ratings(t), users, content_lists(t).filter(F.col("rank") <= N), user_cf(t).withColumnRenamed("prediction", "score"))
 
 
 @query("cf9_evaluated_models")
@@ -279,7 +306,7 @@ TABLES["x_truth"] = "SELECT DISTINCT user_id, dataset_id AS item_id FROM x_inter
 def _(t: Inputs) -> DataFrame:
     truth = pf.interactions(t).filter("last_event_time >= timestamp_ntz'2000-01-01 00:00:00'") \
         .select("user_id", F.col("dataset_id").alias("item_id"))
-    return ml.ranking_metrics(cf.ensemble(model_lists(t), N).select("user_id", "item_id", "rank"), truth, N)
+    return ml.ranking_metrics(ensembled(t).select("user_id", "item_id", "rank"), truth, N)
 
 
 @query("ml10_rating_errors", f"""
@@ -301,7 +328,7 @@ def _(t: Inputs) -> DataFrame:
   p AS (SELECT a.user_id, avg(list_dot_product(a.v, b.v)) AS s FROM l a JOIN l b ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY 1)
   SELECT user_id, {R('greatest(0, 1 - s)')} AS diversity FROM p""")
 def _(t: Inputs) -> DataFrame:
-    return ml.list_diversity(cf.ensemble(model_lists(t), N), t.vectors)
+    return ml.list_diversity(ensembled(t), t.vectors)
 
 
 @query("ml11b_score_spread", f"""
