@@ -82,6 +82,16 @@ def predict(pairs: DataFrame, ratings: DataFrame, neighbours: DataFrame) -> Data
         .select("user_id", "item_id", F.coalesce("known", "guess", F.lit(0.0)).alias("prediction"))
 
 
+def predict_by_items(pairs: DataFrame, ratings: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """Item-based prediction of given (user, item) pairs from the user's ratings of similar items; a known rating is returned as it is."""
+    known = ratings.select("user_id", "item_id", F.col("rating").alias("known"))
+    near = neighbours.select(F.col("src").alias("item_id"), F.col("dst").alias("other"), "score")
+    guessed = pairs.join(near, "item_id").join(ratings.select("user_id", F.col("item_id").alias("other"), "rating"), ["user_id", "other"]) \
+        .groupBy("user_id", "item_id").agg((F.sum(F.col("score") * F.col("rating")) / F.sum("score")).alias("guess"))
+    return pairs.join(known, ["user_id", "item_id"], "left").join(guessed, ["user_id", "item_id"], "left") \
+        .select("user_id", "item_id", F.coalesce("known", "guess", F.lit(0.0)).alias("prediction"))
+
+
 def clip(c: Column | str) -> Column:
     return F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.col(c) if isinstance(c, str) else c))
 

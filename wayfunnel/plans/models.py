@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfunnel.adapters import Inputs, every, stored
+from wayfunnel.operators import evaluation as ev
 from wayfunnel.operators import filtering as cf
 from wayfunnel.operators import models as ml
 from wayfunnel.operators.experiments import hash_share
@@ -24,9 +25,9 @@ def _share(salt: str, key: str) -> str:
     return f"(CAST(('0x' || substr(sha256('{salt}:' || {key}), 1, 8)) AS BIGINT) / 4294967295.0::DOUBLE)"
 
 
-def _cosine(entity: str, feature: str) -> str:
+def _cosine(entity: str, feature: str, table: str = "x_ratings") -> str:
     return f"""
-  WITH u AS (SELECT {entity} AS e, {feature} AS f, rating / sqrt(sum(rating * rating) OVER (PARTITION BY {entity})) AS v FROM x_ratings),
+  WITH u AS (SELECT {entity} AS e, {feature} AS f, rating / sqrt(sum(rating * rating) OVER (PARTITION BY {entity})) AS v FROM {table}),
   d AS (SELECT a.e AS src, b.e AS dst, round(sum(a.v * b.v), 9) AS score FROM u a JOIN u b ON a.f = b.f AND a.e <> b.e GROUP BY 1, 2)
   SELECT * FROM d WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) <= 10"""
 
@@ -186,17 +187,74 @@ def _(t: Inputs) -> DataFrame:
     return cf.switch(pf.ratings(t), users, content_lists(t).filter(F.col("rank") <= N), user_cf(t).withColumnRenamed("prediction", "score"))
 
 
+def _in_test() -> Column:
+    return hash_share("rows", F.concat_ws("-", "user_id", "item_id")) >= 0.8
+
+
+def rated(t: Inputs) -> DataFrame:
+    return pf.ratings(t).select("user_id", "item_id", "rating").filter("rating is not null")
+
+
+def unfitted_models(t: Inputs) -> dict[str, ev.Model]:
+    content_model = ev.similar_content(pr.content(t))
+    categories = pf.items(t).filter("create_company_name <> ''").select(F.col("dataset_id").alias("item_id"), F.lower("create_company_name").alias("category"))
+    return {"user_based": ev.user_based, "item_based": ev.item_based, "tfidf_content": content_model, "category": ev.same_category(categories),
+            "popularity": ev.popularity,
+            "hybrid": ev.weighted({"user_cf": ev.user_based, "content": content_model, "popularity": ev.popularity})}
+
+
 @query("cf9_evaluated_models")
 def _(t: Inputs) -> DataFrame:
-    """One row of held-out errors per model."""
-    rated = ml.hash_split(pf.ratings(t).select("user_id", "item_id", "rating"), "item_id", 0.8).filter("rating is not null")
-    train, test = rated.filter("is_train").drop("is_train"), rated.filter("not is_train").drop("is_train")
-    als = cf.factorise(train, rank=8, iterations=4).transform(test.withColumnRenamed("rating", "actual"))
-    mean = train.agg(F.avg("rating").alias("m")).scalar()
-    parts = [ml.rating_errors(als.withColumnRenamed("actual", "rating").withColumn("prediction", F.col("prediction").cast("double")))
-             .withColumn("model", F.lit("factors")),
-             ml.rating_errors(test.withColumn("prediction", mean)).withColumn("model", F.lit("mean"))]
-    return parts[0].unionByName(parts[1])
+    """One row of held-out errors for each of the nine models of the family."""
+    from wayfunnel.operators.recall import hybrid_content_neighbours
+    models = {**unfitted_models(t), "hybrid_content": ev.similar_content(hybrid_content_neighbours(pf.items(t), pr.K)),
+              "factors": ev.factors(16, 5), "svd": ev.singular(8, 3)}
+    return ev.errors(ev.predictions(models, rated(t), {0: _in_test()}), "model")
+
+
+TABLES["x_split"] = f"""
+  SELECT user_id, item_id, rating, {_share('rows', "user_id || '-' || item_id")} AS share FROM x_ratings WHERE rating IS NOT NULL"""
+TABLES["x_train"] = "SELECT * FROM x_split WHERE share < 0.8"
+TABLES["x_train_users"] = _cosine("user_id", "item_id", "x_train")
+TABLES["x_train_items"] = _cosine("item_id", "user_id", "x_train")
+TABLES["x_unfitted"] = """
+  WITH p AS (SELECT user_id, item_id, rating FROM x_split WHERE share >= 0.8),
+  z AS (SELECT user_id, count(*) AS size FROM x_train GROUP BY 1),
+  g AS (SELECT dataset_id AS item_id, lower(create_company_name) AS category FROM x_items WHERE create_company_name <> ''),
+  u AS (SELECT p.user_id, p.item_id, sum(n.score * r.rating) / sum(n.score) AS x FROM p JOIN x_train_users n ON n.src = p.user_id
+        JOIN x_train r ON r.user_id = n.dst AND r.item_id = p.item_id GROUP BY 1, 2),
+  i AS (SELECT p.user_id, p.item_id, sum(n.score * r.rating) / sum(n.score) AS x FROM p JOIN x_train_items n ON n.src = p.item_id
+        JOIN x_train r ON r.item_id = n.dst AND r.user_id = p.user_id GROUP BY 1, 2),
+  c AS (SELECT p.user_id, p.item_id, sum(n.score) AS x FROM p JOIN x_content n ON n.dst = p.item_id
+        JOIN x_train r ON r.item_id = n.src AND r.user_id = p.user_id GROUP BY 1, 2),
+  k AS (SELECT r.user_id, g.category, count(*) AS x FROM x_train r JOIN g USING (item_id) GROUP BY 1, 2),
+  o AS (SELECT item_id, sum(rating) AS x FROM x_train GROUP BY 1),
+  w AS (SELECT p.*, coalesce(u.x, 0) AS user_based, coalesce(i.x, 0) AS item_based, coalesce(c.x / CAST(size AS DOUBLE), 0) AS tfidf_content,
+               coalesce(k.x / CAST(size AS DOUBLE), 0) AS category, coalesce(o.x, 0) AS popularity
+        FROM p LEFT JOIN u USING (user_id, item_id) LEFT JOIN i USING (user_id, item_id) LEFT JOIN c USING (user_id, item_id) LEFT JOIN z USING (user_id)
+        LEFT JOIN g USING (item_id) LEFT JOIN k ON k.user_id = p.user_id AND k.category = g.category LEFT JOIN o USING (item_id))
+  SELECT 'user_based' AS model, rating, user_based AS prediction FROM w UNION ALL SELECT 'item_based', rating, item_based FROM w
+  UNION ALL SELECT 'tfidf_content', rating, tfidf_content FROM w UNION ALL SELECT 'category', rating, category FROM w
+  UNION ALL SELECT 'popularity', rating, popularity FROM w
+  UNION ALL SELECT 'hybrid', rating, 0.4::DOUBLE * user_based + 0.3::DOUBLE * tfidf_content + 0.3::DOUBLE * popularity FROM w"""
+
+
+def _errors(table: str, keys: str) -> str:
+    return f"""
+  SELECT {keys}, count(*) AS n, {R('sqrt(avg((rating - prediction) * (rating - prediction)))')} AS rmse, {R('avg(abs(rating - prediction))')} AS mae,
+         {R('avg(CASE WHEN rating <> 0 THEN abs((rating - prediction) / rating) END) * 100', 4)} AS mape,
+         {R('1 - sum((rating - prediction) * (rating - prediction)) / (var_pop(rating) * count(*))', 4)} AS r2, 1.0::DOUBLE AS coverage
+  FROM {table} GROUP BY ALL"""
+
+
+def _shown(errors: DataFrame) -> DataFrame:
+    return errors.withColumns({"mape": F.round("mape", 4), "r2": F.round("r2", 4)})
+
+
+@query("cf9b_unfitted_models", _errors("x_unfitted", "model"))
+def _(t: Inputs) -> DataFrame:
+    """The models without fitted factors: the same table and aggregation."""
+    return _shown(ev.errors(ev.predictions(unfitted_models(t), rated(t), {0: _in_test()}), "model"))
 
 
 # -- ranking data -----------------------------------------------------------------
@@ -353,18 +411,27 @@ def _(t: Inputs) -> DataFrame:
                        t.table("customer").select(F.col("c_custkey").alias("user_id")))
 
 
+def _fold(k: int) -> Column:
+    return F.least(F.floor(hash_share("fold", F.concat_ws("-", "user_id", "item_id")) * 3), F.lit(2)) == k
+
+
 @query("ml14_cross_validation")
 def _(t: Inputs) -> DataFrame:
-    """Errors of the factor model per fold."""
-    data = ml.folds(pf.ratings(t).select("user_id", "item_id", "rating"), "item_id", 3)
-    data = data.withColumn("fold", F.pmod(F.xxhash64("user_id", "item_id"), F.lit(3)).cast("int"))
-    out = None
-    for fold in range(3):
-        model = cf.factorise(data.filter(F.col("fold") != fold), rank=8, iterations=3)
-        scored = model.transform(data.filter(F.col("fold") == fold)).withColumn("prediction", F.col("prediction").cast("double"))
-        row = ml.rating_errors(scored).withColumn("fold", F.lit(fold))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Errors of the fitted models per fold."""
+    models = {"factors": ev.factors(8, 3), "svd": ev.singular(4, 2)}
+    return ev.errors(ev.predictions(models, rated(t), {k: _fold(k) for k in range(3)}), "model", "fold")
+
+
+_FOLD = f"""least(floor({_share('fold', "user_id || '-' || item_id")} * 3), 2)"""
+TABLES["x_folds"] = f"""
+  WITH r AS (SELECT user_id, item_id, rating, CAST({_FOLD} AS BIGINT) AS fold FROM x_ratings WHERE rating IS NOT NULL),
+  f AS (SELECT * FROM (VALUES (0), (1), (2)) t(k)), o AS (SELECT k, item_id, sum(rating) AS s FROM r, f WHERE fold <> k GROUP BY 1, 2)
+  SELECT fold, rating, coalesce(s, 0) AS prediction FROM r LEFT JOIN o ON k = fold AND o.item_id = r.item_id"""
+
+
+@query("ml14b_cross_validated_popularity", _errors("x_folds", "fold"))
+def _(t: Inputs) -> DataFrame:
+    return _shown(ev.errors(ev.predictions({"popularity": ev.popularity}, rated(t), {k: _fold(k) for k in range(3)}), "fold"))
 
 
 @query("ml15_recall_hit_rate", f"""
