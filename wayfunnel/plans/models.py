@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from wayfunnel.adapters import Inputs, every, stored
 from wayfunnel.operators import evaluation as ev
 from wayfunnel.operators import filtering as cf
 from wayfunnel.operators import models as ml
+from wayfunnel.operators import sgd, stacking
 from wayfunnel.operators.experiments import hash_share
 from wayfunnel.plans import features as pf
 from wayfunnel.plans import funnel as pfun
@@ -17,6 +20,7 @@ from wayfunnel.plans import recall as pr
 from wayfunnel.plans.oracle import AS_OF as SQL_AS_OF
 from wayfunnel.plans.oracle import DAYS, DIV, I, R, TABLES
 from wayfunnel.plans.registry import query
+from wayfunnel.session import written
 
 N = 10
 
@@ -93,7 +97,18 @@ def _(t: Inputs) -> DataFrame:
 
 @query("cf3_factor_model")
 def _(t: Inputs) -> DataFrame:
-    return cf.recommend_factors(cf.factorise(pf.ratings(t), rank=16, iterations=5), N)
+    """Lists from 50 factors after 20 epochs of stratified descent."""
+    return sgd.recommend(sgd.factorise(pf.ratings(t)), pf.ratings(t), N)
+
+
+@query("cf3b_falling_error", """
+  SELECT e AS epoch, (SELECT count(*) FROM x_ratings WHERE rating > 0) AS ratings, TRUE AS falling FROM generate_series(0, 19) g(e)""")
+def _(t: Inputs) -> DataFrame:
+    """Whether the squared error met in an epoch is less than in the one before."""
+    losses = sgd.factorise(pf.ratings(t)).losses
+    fell = [(epoch, epoch == 0 or loss < losses[epoch - 1][1]) for epoch, loss in losses]
+    n = pf.ratings(t).filter("rating > 0").agg(F.count(F.lit(1)).alias("n")).scalar()
+    return t.spark.createDataFrame(fell, "epoch long, falling boolean").withColumn("ratings", n)
 
 
 @query("cf4_truncated_svd")
@@ -163,17 +178,6 @@ def _(t: Inputs) -> DataFrame:
                                       F.col("model_scores")["content"].alias("content_score"), "rank")
 
 
-@query("cf7_meta_model")
-def _(t: Inputs) -> DataFrame:
-    """Boosted trees over base predictions and rating statistics."""
-    ratings = pf.ratings(t).select("user_id", "item_id", "rating")
-    svd = cf.truncated_svd(ratings, rank=8, rounds=2)
-    base = cf.factor_scores(ratings.select("user_id", "item_id"), *svd)
-    data = cf.meta_features(ratings, [("svd", base)], ratings)
-    names = ["svd", "user_mean", "user_std", "user_count", "item_mean", "item_std", "item_count"]
-    return cf.meta_model(data, names).transform(data).select("user_id", "item_id", "rating", "prediction")
-
-
 @query("cf8_switched_lists", f"""
   WITH n AS (SELECT user_id, count(*) AS n FROM x_ratings GROUP BY 1),
   k AS (SELECT c.c_custkey AS user_id, CASE WHEN coalesce(n.n, 0) < 5 THEN 'content' ELSE 'collaborative' END AS algorithm
@@ -203,12 +207,55 @@ def unfitted_models(t: Inputs) -> dict[str, ev.Model]:
             "hybrid": ev.weighted({"user_cf": ev.user_based, "content": content_model, "popularity": ev.popularity})}
 
 
+def base_models(t: Inputs) -> dict[str, ev.Model]:
+    """The members that a meta model sees."""
+    single = {name: model for name, model in unfitted_models(t).items() if name != "hybrid"}
+    return single | {"factors": ev.descended(16, 5), "svd": ev.singular(8, 2)}
+
+
+@query("cf7_meta_model")
+def _(t: Inputs) -> DataFrame:
+    """Held-out rows predicted by boosted trees over out-of-fold predictions of all base models and rating statistics."""
+    models, train, held = base_models(t), written(rated(t).filter(~_in_test()), "meta-train"), rated(t).filter(_in_test())
+    guessed = stacking.predict(stacking.fit(models, train), models, train, held)
+    return held.join(guessed, ["user_id", "item_id"]).select("user_id", "item_id", "rating", "prediction")
+
+
+@query("cf7b_meta_lists")
+def _(t: Inputs) -> DataFrame:
+    """The members' candidates by the meta model's prediction."""
+    models, ratings = base_models(t), rated(t)
+    lists = [x.select("user_id", "item_id") for x in (*model_lists(t).values(), cf.item_based(ratings, cf_items(t), 2 * N))]
+    return stacking.recommend(stacking.fit(models, ratings), models, ratings, reduce(DataFrame.unionByName, lists), N)
+
+
+_STACK = f"""least(floor({_share('stack', "user_id || '-' || item_id")} * 3), 2)"""
+TABLES["x_stack"] = f"SELECT user_id, item_id, rating, CAST({_STACK} AS BIGINT) AS fold FROM x_ratings WHERE rating IS NOT NULL"
+
+
+@query("cf7c_out_of_fold_features", f"""
+  WITH f AS (SELECT * FROM (VALUES (0), (1), (2)) t(k)), r AS (SELECT k AS fold, user_id, item_id, rating FROM x_stack, f WHERE fold <> k),
+  u AS (SELECT fold, user_id, avg(rating) AS m, coalesce(stddev_samp(rating), 0) AS d, count(*) AS n FROM r GROUP BY 1, 2),
+  i AS (SELECT fold, item_id, avg(rating) AS m, coalesce(stddev_samp(rating), 0) AS d, count(*) AS n, sum(rating) AS s FROM r GROUP BY 1, 2),
+  g AS (SELECT dataset_id AS item_id, lower(create_company_name) AS category FROM x_items WHERE create_company_name <> ''),
+  c AS (SELECT fold, user_id, category, count(*) AS x FROM r JOIN g USING (item_id) GROUP BY 1, 2, 3)
+  SELECT x.fold, x.user_id, x.item_id, {R('x.rating')} AS rating, {R('coalesce(i.s, 0)')} AS popularity,
+         {R('coalesce(c.x / CAST(u.n AS DOUBLE), 0)')} AS category, {R('coalesce(u.m, 0)')} AS user_mean, {R('coalesce(u.d, 0)')} AS user_std,
+         coalesce(u.n, 0) AS user_count, {R('coalesce(i.m, 0)')} AS item_mean, {R('coalesce(i.d, 0)')} AS item_std, coalesce(i.n, 0) AS item_count
+  FROM x_stack x LEFT JOIN u ON u.fold = x.fold AND u.user_id = x.user_id LEFT JOIN i ON i.fold = x.fold AND i.item_id = x.item_id
+  LEFT JOIN g ON g.item_id = x.item_id LEFT JOIN c ON c.fold = x.fold AND c.user_id = x.user_id AND c.category = g.category""")
+def _(t: Inputs) -> DataFrame:
+    """What the meta model learns from, for the base models that SQL can express per fold."""
+    models = {name: model for name, model in unfitted_models(t).items() if name in ("popularity", "category")}
+    return stacking.out_of_fold(models, rated(t), 3)
+
+
 @query("cf9_evaluated_models")
 def _(t: Inputs) -> DataFrame:
     """One row of held-out errors for each of the nine models of the family."""
     from wayfunnel.operators.recall import hybrid_content_neighbours
     models = {**unfitted_models(t), "hybrid_content": ev.similar_content(hybrid_content_neighbours(pf.items(t), pr.K)),
-              "factors": ev.factors(16, 5), "svd": ev.singular(8, 3)}
+              "factors": ev.descended(), "svd": ev.singular(8, 3)}
     return ev.errors(ev.predictions(models, rated(t), {0: _in_test()}), "model")
 
 
@@ -336,9 +383,13 @@ def _(t: Inputs) -> DataFrame:
 
 @query("ml7_scored_items")
 def _(t: Inputs) -> DataFrame:
-    data = ml.hash_split(request_data(t), "request_id", 0.8)
-    model, _ = ml.train_ranker(data, NUMERIC, (), [{"maxIter": 5, "maxDepth": 3}])
-    return ml.item_scores(model.transform(data), 50)
+    """Mean score of an item over requests, each scored by a ranker that learned from the other half of the requests."""
+    data = written(ml.folds(request_data(t), "request_id", 2), "ranker-rows")
+    parts = []
+    for k in range(2):
+        model, _ = ml.train_ranker(ml.hash_split(data.filter(F.col("fold") != k), "request_id", 0.8), NUMERIC, (), [{"maxIter": 5, "maxDepth": 3}])
+        parts.append(model.transform(data.filter(F.col("fold") == k)).select("dataset_id", "prediction"))
+    return ml.item_scores(parts[0].unionByName(parts[1]), 50)
 
 
 @query("ml8_aligned_features", f"""
@@ -418,7 +469,7 @@ def _fold(k: int) -> Column:
 @query("ml14_cross_validation")
 def _(t: Inputs) -> DataFrame:
     """Errors of the fitted models per fold."""
-    models = {"factors": ev.factors(8, 3), "svd": ev.singular(4, 2)}
+    models = {"factors": ev.descended(8, 3), "als": ev.factors(8, 3), "svd": ev.singular(4, 2)}
     return ev.errors(ev.predictions(models, rated(t), {k: _fold(k) for k in range(3)}), "model", "fold")
 
 

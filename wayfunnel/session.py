@@ -43,13 +43,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write ``df`` as a table in the shared folder and read it back.
+def written(df: DataFrame, label: str, *layout: str) -> DataFrame:
+    """Cut lineage: write ``df`` as a table in the shared folder (by the columns ``layout``, if any) and read it back.
 
     The files survive lost executors, and the scan has sizes and column pruning that a
     checkpointed RDD would not offer the optimiser.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/wayfunnel/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(layout) or None)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``written`` that a later one has replaced; nothing may read it any more."""
+    spark = df.sparkSession
+    mark = f"/wayfunnel/{spark.sparkContext.applicationId}/"
+    for folder in {f.split(mark)[0] + mark + f.split(mark)[1].split("/")[0] for f in df.inputFiles() if mark in f}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
