@@ -11,6 +11,7 @@ from wayfunnel.adapters import Inputs, every, stored
 from wayfunnel.operators import evaluation as ev
 from wayfunnel.operators import filtering as cf
 from wayfunnel.operators import models as ml
+from wayfunnel.operators import ranking as rk
 from wayfunnel.operators import sgd, stacking
 from wayfunnel.operators.experiments import hash_share
 from wayfunnel.plans import features as pf
@@ -373,6 +374,14 @@ def _(t: Inputs) -> DataFrame:
         {"maxIter": 5, "maxDepth": 3}, {"maxIter": 10, "maxDepth": 3, "stepSize": 0.05}])[1]
 
 
+@query("rnk17c_fitted_ranker")
+def _(t: Inputs) -> DataFrame:
+    """The whole batch job with the fitted ranker in place of the linear one."""
+    data = ml.hash_split(request_data(t), "request_id", 0.8)
+    model, _ = ml.train_ranker(data, NUMERIC, ("channel", "device_type"), [{"maxIter": 5, "maxDepth": 3}])
+    return prk.recommended(t, lambda features: rk.fitted_prediction(features, model, NUMERIC, ("channel", "device_type")))
+
+
 @query("ml6_trained_scorer")
 def _(t: Inputs) -> DataFrame:
     data = ml.hash_split(item_data(t), "dataset_id", 0.75)
