@@ -165,52 +165,3 @@ def nearest(points: DataFrame, k: int, metric: str = "cosine", min_score: float
 
 def _cut(found: DataFrame, k: int) -> DataFrame:
     return top_per_group(found, ["src"], [F.desc("score"), F.asc("dst")], k)
-
-
-def cell_probe(points: DataFrame, k: int, cells: int = 16, probes: int = 4, seed: int = 7) -> DataFrame:
-    """Approximate search: k-means cells, each query looks into its ``probes`` nearest cells."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    data = points.withColumn("v", array_to_vector("val"))
-    model = KMeans(k=cells, seed=seed, featuresCol="v", predictionCol="cell").fit(data)
-    centres = np.stack(model.clusterCenters())  # ``cells`` rows
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            m = np.stack(pdf["val"].to_numpy())
-            d = ((m[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
-            near = np.argsort(d, axis=1, kind="stable")[:, :probes]
-            yield pd.DataFrame({"id": pdf["id"], "val": pdf["val"], "cells": list(near.astype(np.int32))})
-
-    placed = points.mapInPandas(probe, "id long, val array<double>, cells array<int>")
-    # a crowded cell is cut into salted blocks of bounded size
-    homes = placed.select("id", "val", F.col("cells")[0].alias("cell"))
-    blocks = homes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("salts"))
-    stored = homes.join(blocks, "cell").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int"))
-    asks = placed.select("id", "val", F.explode("cells").alias("cell")).join(blocks, "cell") \
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    load = asks.groupBy("cell", "salt").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("chunks"))
-    left = asks.join(load, ["cell", "salt"]).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), "chunks").cast("int"))
-    right = stored.join(load, ["cell", "salt"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"),
-                                 "score": pd.Series(dtype="float64")})
-        b = b.sort_values("m_id").rename(columns={"m_id": "id", "m_val": "val"})
-        s = np.stack(a["val"].to_numpy()) @ np.stack(b["val"].to_numpy()).T
-        ids, asked = b["id"].to_numpy(), a["id"].to_numpy()
-        s[asked[:, None] == ids[None, :]] = -np.inf
-        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        picked = np.take_along_axis(s, order, axis=1)
-        rows, cols = np.nonzero(picked > -np.inf)
-        return pd.DataFrame({"src": asked[rows], "dst": ids[order[rows, cols]], "score": picked[rows, cols]})
-
-    keys = ["cell", "salt", "chunk"]
-    named = right.select(*[F.col(c).alias(f"m_{c}") for c in (*keys, "id", "val")])
-    found = left.select(*keys, "id", "val").groupBy(*keys).cogroup(named.groupBy(*[f"m_{c}" for c in keys])) \
-        .applyInPandas(best, "src long, dst long, score double")
-    return _cut(found, k)

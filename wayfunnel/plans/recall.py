@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfunnel.adapters import EVENT_AS_OF, Inputs, stored
+from wayfunnel.adapters import EVENT_AS_OF, Inputs, every, stored
 from wayfunnel.functions.common import timestamp_lit
+from wayfunnel.operators import cells as cl
 from wayfunnel.operators import nearest as nn
 from wayfunnel.operators import recall as rc
 from wayfunnel.plans import features as pf
@@ -253,8 +254,36 @@ def _(t: Inputs) -> DataFrame:
 
 @query("rec15_cell_probe_search")
 def _(t: Inputs) -> DataFrame:
-    """Approximate: only probed cells are searched."""
-    return nn.cell_probe(nn.unit_points(t.vectors, "dataset_id", "embedding"), K)
+    """Approximate: only cells whose fitted bound reaches the score to beat are searched."""
+    trained = cl.train(nn.unit_points(t.vectors, "dataset_id", "embedding"), K)
+    return cl.cell_probe(trained, K)[0]
+
+
+def probed(t: Inputs) -> DataFrame:
+    """Recall of the probe on every hundredth vector against all vectors, and the share of all rows read for it."""
+    points = nn.unit_points(t.vectors, "dataset_id", "embedding")
+    asks = points.filter(every("id", 100))
+    trained = cl.train(points, K)
+    found, read = cl.cell_probe(trained, K, asks)
+    work = read.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+    size = points.agg(F.count(F.lit(1)).alias("points"))
+    exact = nn.nearest(points, K, queries=asks)
+    out = cl.recall(found, exact).crossJoin(size).crossJoin(work)      # one row each
+    return out.withColumns({"cells": F.lit(len(trained.centres)), "align": F.lit(trained.align),
+                            "read_share": F.col("rows") / (F.col("asked") * F.col("points"))})
+
+
+@query("rec15b_probe_recall", f"""
+  SELECT count(*) AS asked, count(*) * least({K}, (SELECT count(*) FROM embeddings) - 1) AS pairs, true AS recall_reached
+  FROM embeddings WHERE vec_id % 100 = 0""")
+def _(t: Inputs) -> DataFrame:
+    """Recall of 0.9 or more."""
+    return probed(t).select("asked", "pairs", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+@query("rec15c_probe_reading")
+def _(t: Inputs) -> DataFrame:
+    return probed(t).select("points", "cells", "align", "recall", "read_share")
 
 
 TABLES["x_popular_pool"] = """
