@@ -13,6 +13,7 @@ from wayfunnel.functions.common import (bucket_of, days_between, fill_numeric, f
                                         split_tags, zero)
 from wayfunnel.operators.ranks import with_dense_rank
 from wayfunnel.operators.relational import outer_union, pick, share_of_total
+from wayfunnel.session import written
 
 # Bucket edges, activity limits and user features averaged per item.
 PRICE_EDGES = (100.0, 500.0, 1000.0, 5000.0)
@@ -344,31 +345,58 @@ def _scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                            .otherwise(0.0) for c in columns})
 
 
+def numbered(labels: DataFrame) -> DataFrame:
+    """Place of each distinct (family, label) in the order of both, counted from 0.
+
+    Labels lie in ranges of that order; a range is numbered in one task and moved by the sizes of those before it, so
+    neither the driver nor a task holds all labels.
+    """
+    distinct = labels.select("family", "label").distinct()
+    ranges = written(distinct.repartitionByRange("family", "label").withColumn("_range", F.spark_partition_id()), "labels")
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)      # a row for each range
+    sizes = ranges.groupBy("_range").agg(rows().alias("_n")).select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("family", "label")) - 1
+    return ranges.withColumn("_own", own).join(sizes, "_range").select(
+        "family", "label", (F.col("_before") + F.col("_own")).alias("place"))
+
+
+def char_grams(text: Column, least: int = 2, most: int = 4) -> Column:
+    """Character grams inside blank-padded words; a gram is never longer than its word."""
+    words = F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+
+    def of(n: int) -> Column:
+        long_enough = F.filter(words, lambda w: F.length(w) >= n)
+        return F.flatten(F.transform(long_enough, lambda w: F.transform(
+            F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))))
+
+    return F.concat(*[of(n) for n in range(least, most + 1)])
+
+
 def vectorise(df: DataFrame, key: str, numbers: Sequence[str], categories: Sequence[str], tags: str | None,
-              text: str, vocabulary: int = 5000, hash_features: int = 1 << 16) -> DataFrame:
-    """Feature vector per row: scaled numbers, one-hot categories and tags, and character
-    2-4-gram TF-IDF (grams taken inside blank-padded words, hashed to a fixed width)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, OneHotEncoder, StringIndexer, VectorAssembler
-
-    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
-
-    def grams(n: int) -> Column:
-        padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-        return F.flatten(F.transform(padded, lambda w: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))))
-
-    base = _scaled(df, numbers).withColumn("_grams", F.concat(grams(2), grams(3), grams(4)))
-    stages = [StringIndexer(inputCols=list(categories), outputCols=[f"{c}_idx" for c in categories],
-                            handleInvalid="keep"),
-              OneHotEncoder(inputCols=[f"{c}_idx" for c in categories], outputCols=[f"{c}_hot" for c in categories],
-                            dropLast=False)]
-    inputs = [f"{c}_scaled" for c in numbers] + [f"{c}_hot" for c in categories]
+              text: str, terms: int) -> DataFrame:
+    """Sparse feature vectors in long form, (key, place, value) without zeros: scaled numbers, one-hot categories and tags,
+    TF-IDF of character 2-4-grams by rows of length 1 over the ``terms`` most frequent grams.
+
+    Families stand in that order, labels of a family in the order of their text.
+    """
+    scaled = _scaled(df.withColumns({c: zero(c) for c in numbers}), numbers)
+    flags = [F.struct(F.lit(i).alias("family"), F.lit("").alias("label"), F.col(f"{c}_scaled").alias("value")) for i, c in enumerate(numbers)]
+    flags += [F.struct(F.lit(len(numbers) + i).alias("family"), F.col(c).cast("string").alias("label"), F.lit(1.0).alias("value"))
+              for i, c in enumerate(categories)]
+    marked = F.array(*flags)
+    first = len(numbers) + len(categories)
     if tags:
-        base = base.withColumn("_tags", split_tags(tags))
-        stages.append(CountVectorizer(inputCol="_tags", outputCol="_tag_hot", binary=True, vocabSize=vocabulary))
-        inputs.append("_tag_hot")
-    stages += [HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=hash_features),
-               IDF(inputCol="_tf", outputCol="_tfidf"),
-               VectorAssembler(inputCols=[*inputs, "_tfidf"], outputCol="features", handleInvalid="keep")]
-    return Pipeline(stages=stages).fit(base).transform(base).select(key, "features")
+        own = F.array_distinct(F.filter(F.split(F.coalesce(F.col(tags), F.lit("")), ";"), lambda x: x != ""))
+        marked = F.concat(marked, F.transform(own, lambda x: F.struct(F.lit(first).alias("family"), x.alias("label"), F.lit(1.0).alias("value"))))
+    short = scaled.select(key, F.inline(marked)).filter("label is not null")
+    counts = written(df.select(key, F.explode(char_grams(F.coalesce(F.col(text), F.lit("")))).alias("label"))
+                     .groupBy(key, "label").agg(rows().alias("tf")), "grams")
+    total = df.agg(rows()).scalar()
+    vocabulary = counts.groupBy("label").agg(rows().alias("df"), F.sum("tf").alias("n")) \
+        .orderBy(F.desc("n"), F.asc("label")).limit(terms) \
+        .select("label", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighed = counts.join(F.broadcast(vocabulary), "label").select(key, "label", (F.col("tf") * F.col("idf")).alias("w"))
+    length = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    grams = weighed.join(length, key).select(key, F.lit(first + 1).alias("family"), "label", (F.col("w") / F.col("length")).alias("value"))
+    cells = written(short.unionByName(grams), "feature-cells")
+    return cells.join(numbered(cells), ["family", "label"]).filter("value <> 0").select(key, "place", "value")

@@ -10,6 +10,7 @@ from wayfunnel.functions.common import timestamp_lit
 from wayfunnel.functions.text import stamp
 from wayfunnel.operators import features as ft
 from wayfunnel.operators import projections as pj
+from wayfunnel.plans import tables as ptab
 from wayfunnel.plans.oracle import AS_OF as SQL_AS_OF
 from wayfunnel.plans.oracle import DAYS, I, R, TABLES, TAGS, TS
 from wayfunnel.plans.registry import query
@@ -416,24 +417,51 @@ def _(t: Inputs) -> DataFrame:
     return ft.rating_rollups(ratings(t), now())[1]
 
 
-@query("agg27_item_vectors")
-def _(t: Inputs) -> DataFrame:
-    """Mixed item vectors (vocabulary order is up to the fitted stages, so rows only)."""
+def _vectors(key: str, base: str, numbers: list[str], categories: list[str], tags: str | None, text: str, terms: int) -> str:
+    first = len(numbers) + len(categories)
+    scaled = "CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END"
+    parts = [f"SELECT {key}, {i} AS family, '' AS label, {scaled.format(c=c)} AS value FROM b" for i, c in enumerate(numbers)]
+    parts += [f"SELECT {key}, {len(numbers) + i}, {c}, 1.0 FROM b" for i, c in enumerate(categories)]
+    if tags:
+        parts.append(f"SELECT DISTINCT {key}, {first}, unnest(list_filter(string_split(coalesce({tags}, ''), ';'), lambda x: x <> '')), 1.0 FROM b")
+    sized = " UNION ALL ".join(
+        f"SELECT {key}, substr(w, CAST(unnest(generate_series(1, length(w) - {n - 1})) AS BIGINT), {n}) AS label FROM w WHERE length(w) >= {n}"
+        for n in (2, 3, 4))
+    return f"""
+  WITH b AS ({base}),
+  w AS (SELECT {key}, ' ' || w || ' ' AS w FROM (SELECT {key}, unnest(string_split({text}, ' ')) AS w FROM b) WHERE w <> ''),
+  g AS (SELECT {key}, label, count(*) AS tf FROM ({sized}) GROUP BY 1, 2),
+  v AS (SELECT label, ln((1 + (SELECT count(*) FROM b)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf FROM g GROUP BY 1 ORDER BY sum(tf) DESC, label LIMIT {terms}),
+  t AS (SELECT {key}, label, tf * idf AS w FROM g JOIN v USING (label)),
+  c AS ({" UNION ALL ".join(parts)}
+        UNION ALL SELECT {key}, {first + 1}, label, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) FROM t),
+  p AS (SELECT family, label, row_number() OVER (ORDER BY family, label) - 1 AS place FROM (SELECT DISTINCT family, label FROM c))
+  SELECT {key}, place, {R('value')} AS value FROM c JOIN p USING (family, label) WHERE value <> 0"""
+
+
+@query("agg27_item_vectors", _vectors("item_id", f"""
+    SELECT id AS item_id, coalesce(price, 0.0)::DOUBLE AS price, ln(1 + greatest(coalesce(price, 0.0), 0)) AS price_log,
+           coalesce(create_company_name, 'unknown') AS company, tag, {ptab._CLEAN.format(ptab._COMBINED)} AS text FROM x_raw_items""",
+    ["price", "price_log"], ["company"], "tag", "text", 5000))
+def _(t: Inputs) -> DataFrame:
+    """Whole item vectors in long form."""
     raw = t.raw_items.withColumnsRenamed({"id": "item_id", "dataset_name": "title"})
     ready = pj.prepare_item_text(pj.prepare_item_numbers(raw))
-    out = ft.vectorise(ready, "item_id", ["price", "price_log"], ["create_company_name"], "tag", "combined_text_clean")
-    from pyspark.ml.functions import vector_to_array
-    return out.select("item_id", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x).alias("norm2"))
+    return ft.vectorise(ready, "item_id", ["price", "price_log"], ["create_company_name"], "tag", "combined_text_clean", 5000)
 
 
-@query("agg28_user_vectors")
+@query("agg28_user_vectors", _vectors("user_id", f"""
+    SELECT *, {ptab._CLEAN.format("'unknown ' || company || ' ' || province || ' ' || city")} AS text FROM (
+      SELECT id AS user_id, coalesce(TRY_CAST(is_consumption AS DOUBLE), 0.0) AS is_consumption,
+             CASE sex WHEN 1 THEN 'male' WHEN 2 THEN 'female' ELSE 'unknown' END AS sex, coalesce(province, 'unknown') AS province,
+             coalesce(city, 'unknown') AS city, 'unknown' AS country, coalesce(company_name, 'unknown') AS company, 'unknown' AS industry
+      FROM x_raw_users)""",
+    ["is_consumption"], ["sex", "province", "city", "country"], "industry", "text", 3000))
 def _(t: Inputs) -> DataFrame:
-    """Mixed user vectors (rows only, as above)."""
-    from pyspark.ml.functions import vector_to_array
+    """Whole user vectors in long form."""
     ready = pj.prepare_users(t.raw_users.withColumnRenamed("id", "user_id"))
-    out = ft.vectorise(ready, "user_id", ["is_consumption"], ["sex", "province", "city", "country"],
-                       "company_industry", "profile_text_clean")
-    return out.select("user_id", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x).alias("norm2"))
+    return ft.vectorise(ready, "user_id", ["is_consumption"], ["sex", "province", "city", "country"],
+                        "company_industry", "profile_text_clean", 3000)
 
 
 @query("agg29_user_item_cells", f"""
