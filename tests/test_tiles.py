@@ -1,6 +1,9 @@
 """Neighbours are sent to tiles: what is shuffled follows the number of tiles, not that of blocks."""
 
 import numpy as np
+import pytest
+
+from wayfunnel.operators import nearest as nn
 from wayfunnel.operators import sparse as sp
 
 
@@ -20,6 +23,21 @@ def shuffled(spark, df):
     return total() - before, got
 
 
+@pytest.mark.parametrize("metric", ["cosine", "cityblock"])
+def test_small_blocks_send_no_more(spark, metric):
+    r = np.random.default_rng(1)
+    m = r.normal(size=(1500, 16))
+    m[100:160] = m[100]  # copies, more than the neighbours asked for
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, val array<double>").repartition(4).persist()
+    sent, got = shuffled(spark, lambda: nn.nearest(points, 5, metric, block_rows=40))
+    s = np.round(nn._scores(m, m, metric), 9)
+    np.fill_diagonal(s, -np.inf)
+    want = {(i, int(j), rank) for i in range(len(m)) for rank, j in enumerate(np.lexsort((np.arange(len(m)), -s[i]))[:5], 1)}
+    assert {(x.src, x.dst, x["rank"]) for x in got} == want
+    assert sent < 20 * points.count() * (16 * 8 + 60)  # 38 blocks
+
+
 def test_sparse_rows_are_sent_to_few_tiles(spark):
     r = np.random.default_rng(2)
     rows = [(i, sorted(int(x) for x in r.choice(400, 30, replace=False)), r.uniform(.1, 1, 30).tolist()) for i in range(4000)]
