@@ -98,7 +98,7 @@ def _(t: Inputs) -> DataFrame:
 def _(t: Inputs) -> DataFrame:
     """Chosen incremental column per table of the given data."""
     picked = [(n, rd.incremental_column(n, t.table(n).schema)) for n in ("orders", "events", "lineitem", "part")]
-    newest = {n: t.table(n).agg(F.max(c).cast("string").alias("m")) for n, c in picked if c}
+    newest = {n: t.table(n).agg(rd.newest(c).alias("m")) for n, c in picked if c}
     out = None
     for name, column in picked:
         row = (newest[name] if column else t.table(name).agg(F.max(F.lit(None).cast("string")).alias("m"))) \

@@ -38,6 +38,14 @@ def incremental_column(table: str, schema: T.StructType) -> str | None:
     return None
 
 
+def newest(column: str) -> Column:
+    """The largest time as text, with all six digits of the fraction if any row has one: text leaves out their last zeros."""
+    time = F.col(column).cast("timestamp_ntz")
+    text = F.max(time).cast("string")
+    whole = F.rpad(F.when(F.contains(text, F.lit(".")), text).otherwise(F.concat(text, F.lit("."))), 26, "0")
+    return F.when(F.max(F.contains(time.cast("string"), F.lit("."))), whole).otherwise(text)
+
+
 def _stamp_of_file() -> Column:
     """Time in the name of the increment: a file, or a folder of part files."""
     found = F.regexp_extract(F.col("_metadata.file_path"), r"_(\d{8}_\d{6})\.json(?:/[^/]*)?$", 1)
