@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from wayfunnel.operators import nearest as nn
+from wayfunnel.operators import overlap as ov
 from wayfunnel.operators import sparse as sp
 
 
@@ -45,3 +46,22 @@ def test_sparse_rows_are_sent_to_few_tiles(spark):
     sent, got = shuffled(spark, lambda: sp.sparse_topk(points, 3))
     assert len(got) == 3 * 4000
     assert sent < 9 * points.count() * 30 * 12  # it was sent to each 512 rows
+
+
+@pytest.mark.parametrize("score", [ov.overlap_count, ov.jaccard])
+def test_pairs_are_not_shuffled(spark, score):
+    r = np.random.default_rng(3)
+    taken = [(u, int(i)) for u in range(400) for i in r.choice(500, 40, replace=False)]
+    pairs = spark.createDataFrame(taken, "u long, i long").repartition(4).persist()
+    sent, got = shuffled(spark, lambda: ov.shared_feature_topk(pairs, "i", "u", 3, score))
+    m = np.zeros((500, 400), int)
+    for u, i in taken:
+        m[i, u] = 1
+    common, size = m @ m.T, m.sum(axis=1)
+    s = common if score is ov.overlap_count else common / np.maximum(size[:, None] + size[None, :] - common, 1)
+    want = set()
+    for i in range(500):
+        best = sorted((-s[i, j], j) for j in range(500) if j != i and common[i, j])[:3]
+        want |= {(i, j, n) for n, (_, j) in enumerate(best, 1)}
+    assert {(x.src, x.dst, x["rank"]) for x in got} == want
+    assert sent < 400 * 40 * 40 * 20 / 4  # 640,000 pairs of 20 bytes or more
