@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 from test_tiles import shuffled
+from wayfunnel.operators import features as ft
 from wayfunnel.operators import recall as rc
 
 
@@ -26,3 +27,21 @@ def test_offered_items_are_not_shuffled(spark, monkeypatch):
         want |= {(u, i, -s, n) for n, (s, i) in enumerate(best, 1)}
     assert {(x.user_id, x.dataset_id, x.score, x["rank"]) for x in got} == want
     assert sent < 300 * 20 * 100 * 8  # 600,000 rows were offered
+
+
+def test_audience_tells_pairs_apart_without_features(spark):
+    r = np.random.default_rng(5)
+    pairs = [(int(u), int(i)) for u, i in zip(r.integers(0, 2000, 60000), r.integers(0, 50, 60000))] + [(None, 3), (5, None)]
+    inter = spark.createDataFrame(pairs, "user_id long, dataset_id long").repartition(4).persist()
+    people = spark.createDataFrame([(u, *r.uniform(0, 1, 10).tolist()) for u in range(1900)],
+                                   "user_id long, " + ", ".join(f"{c} double" for c in list(ft.AUDIENCE)[1:])).persist()
+    inter.count(), people.count()
+    sent, got = shuffled(spark, lambda: ft.audience_stats(inter, people))
+    distinct = defaultdict(set)
+    for u, i in pairs:
+        distinct[i] |= {u} - {None}
+    assert {x.dataset_id: x.user_unique_buyers for x in got} == {i: len(u) for i, u in distinct.items()}
+    known = {x.user_id: x.recency_score for x in people.collect()}
+    mean = np.mean([known[u] for u, i in pairs if i == 7 and u in known])
+    assert abs(next(x.user_recency_score_mean for x in got if x.dataset_id == 7) - mean) < 1e-9
+    assert sent < 60000 * 40  # ten means of 16 bytes stood beside each pair
