@@ -3,11 +3,22 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from test_tiles import shuffled
 from wayfunnel.operators import features as ft
 from wayfunnel.operators import recall as rc
 
 
+@pytest.fixture
+def wide_joins(spark):
+    """Joins as of tables that are too large to broadcast."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, old)
+
+
 def test_offered_items_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(rc, "LIST_ROWS", 16, raising=False)
     r = np.random.default_rng(4)
@@ -45,3 +56,21 @@ def test_audience_tells_pairs_apart_without_features(spark):
     mean = np.mean([known[u] for u, i in pairs if i == 7 and u in known])
     assert abs(next(x.user_recency_score_mean for x in got if x.dataset_id == 7) - mean) < 1e-9
     assert sent < 60000 * 40  # ten means of 16 bytes stood beside each pair
+
+
+def test_pooled_vectors_are_not_shuffled_by_place(spark, wide_joins):
+    r = np.random.default_rng(6)
+    m = r.normal(size=(2000, 64)).astype(np.float32).astype(float)
+    vectors = [(i, x.tolist()) for i, x in enumerate(m)] + [(2000, [1.0, None]), (2001, [3.0]), (2002, []), (2003, None)]
+    shown = [(d, p, d * 8 + p, int(r.integers(0, 2000))) for d in range(3000) for p in range(5)]
+    shown += [(9001, 0, 1, 2000), (9001, 1, 2, 2001), (9001, 2, 3, 2002), (9002, 0, 4, 2002), (9003, 0, 5, 2003)]
+    images = spark.createDataFrame(shown, "dataset_id long, image_order long, image_key long, vec_id long").repartition(4).persist()
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").persist()
+    images.count(), table.count()
+    sent, got = shuffled(spark, lambda: ft.mean_pool(images, table))
+    rows = {x.dataset_id: x for x in got}
+    assert len(rows) == 3001 and rows[9001].image_embed_mean == [2.0, None]
+    for d in (0, 17, 2999):
+        want = m[[v for e, p, _, v in shown if e == d and p < 4]].mean(axis=0)
+        assert np.allclose(rows[d].image_embed_mean, want) and abs(rows[d].image_embed_norm - np.linalg.norm(want)) < 1e-9
+    assert sent < 3000 * 4 * 64 * 4 * 1.7  # four vectors an item
