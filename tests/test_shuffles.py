@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from test_tiles import shuffled
 from wayfunnel.operators import features as ft
+from wayfunnel.operators import nearest as nn
 from wayfunnel.operators import recall as rc
 
 
@@ -74,3 +75,16 @@ def test_pooled_vectors_are_not_shuffled_by_place(spark, wide_joins):
         want = m[[v for e, p, _, v in shown if e == d and p < 4]].mean(axis=0)
         assert np.allclose(rows[d].image_embed_mean, want) and abs(rows[d].image_embed_norm - np.linalg.norm(want)) < 1e-9
     assert sent < 3000 * 4 * 64 * 4 * 1.7  # four vectors an item
+
+
+def test_members_are_sent_to_the_queries_of_their_tile(spark, monkeypatch):
+    monkeypatch.setattr(nn, "TILE_ROWS", 100)
+    m = np.random.default_rng(8).uniform(0, 100, 3000)
+    points = spark.createDataFrame([(i, [float(x), 0.0]) for i, x in enumerate(m)], "id long, val array<double>").repartition(4).persist()
+    points.count()
+    sent, got = shuffled(spark, lambda: nn.nearest(points, 3, "cityblock", block_rows=40))
+    s = np.round(1 / (1 + np.abs(m[:, None] - m[None, :])), 9)
+    np.fill_diagonal(s, -np.inf)
+    want = {(i, int(j), n) for i in range(3000) for n, j in enumerate(np.lexsort((np.arange(3000), -s[i]))[:3], 1)}
+    assert {(x.src, x.dst, x["rank"]) for x in got} == want
+    assert sent < 3000 * 30 * 18  # each member was sent to 30 lines
