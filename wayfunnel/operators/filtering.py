@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfunnel.functions.common import zero
 from wayfunnel.operators.nearest import DIGITS
-from wayfunnel.operators.overlap import HEAVY_MEMBERS
+from wayfunnel.operators.overlap import HEAVY_MEMBERS, TASK_PAIRS
 from wayfunnel.operators.relational import outer_union, top_per_group
 from wayfunnel.operators.sparse import BLOCK, sparse_topk
 from wayfunnel.session import written
@@ -19,6 +20,7 @@ from wayfunnel.session import written
 NEIGHBOURS, LOW, HIGH, COLD_RATINGS = 10, 0.0, 5.0, 5
 FACTORS, EPOCHS = 50, 20
 ENSEMBLE = {"user_cf": 0.4, "content": 0.3, "popularity": 0.3}
+LISTED = 1000  # cells of a list that travels as one value, about
 
 
 def rows() -> Column:
@@ -29,9 +31,9 @@ def cosine_neighbours(ratings: DataFrame, entity: str, feature: str, k: int = NE
                       heavy: int = HEAVY_MEMBERS, block: int = BLOCK) -> DataFrame:
     """Top-k cosine partners over sparse rating vectors: (src, dst, score, rank).
 
-    Without features held by more than ``heavy`` entities the dot products come from a join on
-    the feature with map-side sums. Otherwise joining would pair up the members of a hot feature,
-    so vectors go through inverted indexes of bounded size (exact as well; no pairs are emitted).
+    Without features held by more than ``heavy`` entities a feature's members travel as one list to each of them,
+    and products are summed where all lists of a source meet, so no pair is shuffled. Otherwise this would pair up
+    the members of a hot feature, so vectors go through inverted indexes of bounded size (exact as well).
     """
     base = ratings.groupBy(F.col(entity).alias("e"), F.col(feature).alias("f")).agg(F.sum(value).alias("v")) \
         .filter("v <> 0")
@@ -43,32 +45,53 @@ def cosine_neighbours(ratings: DataFrame, entity: str, feature: str, k: int = NE
             F.sort_array(F.collect_list(F.struct(F.col("f").cast("long").alias("f"), "v"))).alias("c")).select(
             "id", F.transform("c", lambda x: x["f"]).alias("idx"), F.transform("c", lambda x: x["v"]).alias("val"))
         return sparse_topk(vectors, k, 0.0, strict=True, block=block)
-    a = unit.select("f", F.col("e").alias("src"), F.col("v").alias("x"))
-    b = unit.select("f", F.col("e").alias("dst"), F.col("v").alias("y"))
-    scored = a.join(b, "f").filter("src <> dst").groupBy("src", "dst") \
-        .agg(F.round(F.sum(F.col("x") * F.col("y")), DIGITS).alias("score"))
+    met = base.groupBy("f").agg(rows().alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    others = unit.groupBy("f").agg(F.collect_list(F.struct(F.col("e").alias("dst"), F.col("v").alias("y"))).alias("others"))
+    sent = unit.select("f", F.col("e").alias("src"), F.col("v").alias("x")).join(others.filter(F.size("others") > 1), "f")
+    pairs = sent.select("src", "x", "others").repartition(_tasks(ratings, met), "src").select("src", "x", F.inline("others"))
+    scored = pairs.filter("src <> dst").groupBy("src", "dst").agg(F.round(F.sum(F.col("x") * F.col("y")), DIGITS).alias("score"))
     return top_per_group(scored.filter("score > 0"), ["src"], [F.desc("score"), F.asc("dst")], k)
 
 
 def user_based(ratings: DataFrame, neighbours: DataFrame, n: int) -> DataFrame:
     """Best unseen items by the similarity-weighted mean rating of the neighbours who rated them."""
+    listed = _lists(ratings, "user_id", "item_id", F.struct("item_id", "rating"))
     offered = neighbours.select(F.col("src").alias("user_id"), F.col("dst").alias("other"), "score") \
-        .join(ratings.select(F.col("user_id").alias("other"), "item_id", "rating"), "other")
-    return _weighted(offered, ratings, n)
+        .join(listed.withColumnRenamed("user_id", "other"), "other")
+    return _weighted(offered.select("user_id", F.col("score").alias("x"), "cells"), F.col("x"), F.col("rating"), ratings, n)
 
 
 def item_based(ratings: DataFrame, neighbours: DataFrame, n: int) -> DataFrame:
     """The same with the neighbours of the items a user rated."""
-    offered = ratings.select("user_id", F.col("item_id").alias("dst"), "rating") \
-        .join(neighbours.select(F.col("src").alias("item_id"), "dst", "score"), "dst")
-    return _weighted(offered, ratings, n)
-
-
-def _weighted(offered: DataFrame, ratings: DataFrame, n: int) -> DataFrame:
-    means = offered.groupBy("user_id", "item_id").agg(
-        F.round(F.sum(F.col("score") * F.col("rating")) / F.sum("score"), DIGITS).alias("prediction"))
-    fresh = means.join(ratings.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    return top_per_group(fresh, ["user_id"], [F.desc("prediction"), F.asc("item_id")], n)
+    listed = _lists(neighbours, "dst", "src", F.struct(F.col("src").alias("item_id"), "score"))
+    offered = ratings.select("user_id", F.col("item_id").alias("dst"), "rating").join(listed, "dst")
+    return _weighted(offered.select("user_id", F.col("rating").alias("x"), "cells"), F.col("score"), F.col("x"), ratings, n)
+
+
+def _tasks(df: DataFrame, cells: int) -> int:
+    """Tasks that take apart and sum about ``TASK_PAIRS`` of the cells each."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(cells / TASK_PAIRS))
+
+
+def _lists(df: DataFrame, key: str, other: str, cell: Column) -> DataFrame:
+    """(``key``, cells): the cells of a key in lists of about ``LISTED``; a key with more has several."""
+    parts = F.ceil(rows().over(Window.partitionBy(key)) / F.lit(LISTED))
+    return df.withColumn("part", F.pmod(F.xxhash64(other), parts)).groupBy(key, "part").agg(F.collect_list(cell).alias("cells")).drop("part")
+
+
+def _weighted(offered: DataFrame, score: Column, rating: Column, ratings: DataFrame, n: int) -> DataFrame:
+    """Lists (user_id, x, cells) travel whole to their user and are taken apart there, where the user's own items come as
+    cells without a value; neither sums nor seen pairs are shuffled."""
+    name = next(f.name for f in offered.schema["cells"].dataType.elementType.fields if f.name != "item_id")
+    none = F.lit(None).cast("double")
+    own = ratings.filter("user_id is not null and item_id is not null") \
+        .select("user_id", none.alias("x"), F.array(F.struct("item_id", none.alias(name))).alias("cells"))
+    tasks = _tasks(ratings, ratings.count() * (NEIGHBOURS + 1))
+    cells = offered.withColumn("own", F.lit(0)).unionByName(own.withColumn("own", F.lit(1))).repartition(tasks, "user_id") \
+        .select("user_id", "x", "own", F.inline("cells"))
+    means = cells.groupBy("user_id", "item_id").agg(
+        F.round(F.sum(score * rating) / F.sum(score), DIGITS).alias("prediction"), F.max("own").alias("own"))
+    return top_per_group(means.filter("own = 0").drop("own"), ["user_id"], [F.desc("prediction"), F.asc("item_id")], n)
 
 
 def predict(pairs: DataFrame, ratings: DataFrame, neighbours: DataFrame) -> DataFrame:
