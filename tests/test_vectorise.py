@@ -44,3 +44,20 @@ def test_vectors(spark):
         want[i].update({p: x / length for p, x in w.items()})
     assert {i: {p: round(v, 9) for p, v in x.items()} for i, x in out.items()} == \
         {i: {p: round(v, 9) for p, v in x.items()} for i, x in want.items()}
+
+
+def test_cells_are_not_broadcast(spark, monkeypatch):
+    """A join that sends the cells to all tasks runs in the few tasks of the labels."""
+    df = spark.createDataFrame([(i, float(i), f"c{i % 7}", "p;q", f"ab{i % 9} cde") for i in range(400)],
+                               "id long, n double, c string, tag string, t string").persist()
+    whole = None
+    for sent in (100_000, 0):
+        monkeypatch.setattr(ft, "SENT_LABELS", sent, raising=False)
+        monkeypatch.setattr(ft, "TASK_LETTERS", 500, raising=False)
+        out = ft.vectorise(df, "id", ["n"], ["c"], "tag", "t", 100)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        cells = next(x for x in plan.splitlines() if x.lstrip(" :+-").startswith("Join"))
+        assert "rightHint=(strategy=broadcast)" in cells if sent else "rightHint=(strategy=merge)" in cells
+        rows = sorted((r.id, r.place, round(r.value, 9)) for r in out.collect())
+        assert whole is None or rows == whole
+        whole = rows
