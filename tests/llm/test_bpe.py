@@ -43,3 +43,14 @@ def test_rows(spark):
         assert row.ids_sha256 == hashlib.sha256(ids.encode()).hexdigest()
         assert " ".join(map(str, row.ids)) == ids
     assert bpe.encode(docs.limit(0), PATH).count() == 0
+
+
+def test_frequent_words_stay_when_the_cache_is_full(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 8)
+    looked_up, look_up = [], bpe.WordBPE._look_up
+    monkeypatch.setattr(bpe.WordBPE, "_look_up", lambda self, word: (looked_up.append(word), look_up(self, word))[1])
+    ours = bpe.WordBPE(PATH)
+    for i in range(60):
+        text = f"common x{chr(97 + i % 26)}{chr(97 + i // 26)} rare"
+        assert ours.encoded(text) == expected(text)
+    assert looked_up.count("common") == looked_up.count("rare") == 1

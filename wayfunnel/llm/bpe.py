@@ -21,9 +21,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from wayfunnel.llm._text import lean
+from wayfunnel.llm._text import Kept, lean
 
-KEPT_WORDS = 50_000
+KEPT_WORDS = 150_000  # of a generation, twice
 
 
 def _byte_letters() -> list[str]:
@@ -69,7 +69,7 @@ class WordBPE:
         self.pattern = regex.compile(pattern)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") \
             if self.specials else None
-        self.letters = _byte_letters()
+        self.letters = dict(enumerate(_byte_letters()))
         # A token is handled as a string over symbols: a letter, or a letter that ends a word (moved up by 0x10000).
         vocab = {self._symbols(token): i for token, i in model["vocab"].items()}
         self.ranks: dict[tuple[int, int], int] = {}
@@ -86,7 +86,7 @@ class WordBPE:
                 self.automaton.add_word(token, (i, len(token)))
         self.automaton.make_automaton()
         self.compatible = lru_cache(maxsize=1 << 16)(self._compatible)
-        self.known: dict[str, tuple[str, str, int]] = {}
+        self.known = Kept(self._look_up, KEPT_WORDS)
 
     def _symbols(self, token: str) -> str:
         if token.endswith(self.mark) and len(token) > len(self.mark):
@@ -139,41 +139,32 @@ class WordBPE:
             at -= size[at]
         return out[::-1]
 
-    def _look_up(self, word: str) -> tuple[str, str, int]:
-        letters = [self.letters[b] for b in word.encode()]
-        letters[-1] = chr(ord(letters[-1]) + 0x10000)
-        ids = self.word_ids("".join(letters))
-        return " ".join(map(str, ids)), " ".join(self.names[i] for i in ids), len(ids)
+    def _look_up(self, word: str) -> tuple[str, str]:
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        ids = self.word_ids(letters[:-1] + chr(ord(letters[-1]) + 0x10000))
+        return " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
 
     def _words(self, text: str) -> list[str]:
         if text.isascii() or _latin(text):
             return self.pattern.findall(text)
         return [text[m.start():m.end()] for m in self.pattern.finditer(text.translate(_newer()))]
 
-    def _parts(self, text: str) -> Iterator[tuple[str, str, int]]:
-        """For each word or special token: ids, names and number of ids."""
-        known = self.known
+    def _parts(self, text: str) -> Iterator[tuple[str, str]]:
+        """For each word or special token: ids and names."""
         for k, piece in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
-                yield str(self.specials[piece]), piece, 1
+                yield str(self.specials[piece]), piece
                 continue
             if not piece.isascii():
                 # letters are lowered one by one, so a sigma at a word's end is as any other
                 piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-            for word in self._words(piece.lower()):
-                part = known.get(word)
-                if part is None:
-                    part = self._look_up(word)
-                    if len(word) <= 64:
-                        if len(known) >= KEPT_WORDS:
-                            known.clear()
-                        known[word] = part
-                yield part
+            yield from self.known.parts(self._words(piece.lower()))
 
     def encoded(self, text: str) -> tuple[str, str, int]:
         """Ids and token names, each joined by one space (the library's decoding without a decoder), and their number."""
         parts = list(self._parts(text))
-        return " ".join(p[0] for p in parts), " ".join(p[1] for p in parts), sum(p[2] for p in parts)
+        ids = " ".join([p[0] for p in parts])
+        return ids, " ".join([p[1] for p in parts]), ids.count(" ") + bool(ids)
 
 
 _encoders: dict[str, WordBPE] = {}
