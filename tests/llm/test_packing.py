@@ -56,3 +56,11 @@ def test_round_trip(spark):
         ids = [x for at in sorted(own) for x in own[at]]
         assert ids == LIBRARY.encode_ordinary(t or "") and LIBRARY.decode(ids) == (t or "")
     assert packing.packed(docs.limit(0), PATH).count() == 0
+
+
+def test_a_text_is_encoded_at_once(monkeypatch):
+    own, calls = packing.Encoder(PATH), []
+    encode = own._encode
+    monkeypatch.setattr(own, "_encode", lambda text: (calls.append(text), encode(text))[1])
+    text = " ".join(f"word{i}" for i in range(300))
+    assert own.ids(text).tolist() == LIBRARY.encode_ordinary(text) and calls == [text]

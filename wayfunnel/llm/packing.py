@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,38 +22,21 @@ from wayfunnel.llm._text import lean, row_key
 
 LENGTH = 2048
 GROUP_BYTES = 4 << 20  # text in a group
-KEPT_CHUNKS = 50_000
 #: Fixed value: how the vocabulary's text is cut before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_CHUNKS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-_OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
-
 
 class Encoder:
-    """Ids of whole texts. A word with the white space before it is encoded once per worker and looked up then."""
+    """Ids of whole texts. Words are not kept: the library encodes faster than a table of known words is read."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
         self.end = max(ranks.values()) + 1
         self._encode = tiktoken.Encoding("packed", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._known: dict[str, list[int]] = {}
 
     def ids(self, text: str) -> np.ndarray:
-        if _OTHER_SPACE.search(text):  # other white space may join the ASCII one
-            return np.array(self._encode(text), np.uint32)
-        known, out = self._known, []
-        for chunk in _CHUNKS.findall(text):
-            own = known.get(chunk)
-            if own is None:
-                own = self._encode(chunk)
-                if len(chunk) <= 64:
-                    if len(known) >= KEPT_CHUNKS:
-                        known.clear()
-                    known[chunk] = own
-            out += own
-        return np.array(out, np.uint32)
+        return np.array(self._encode(text), np.uint32)
 
 
 _encoders: dict[str, Encoder] = {}
