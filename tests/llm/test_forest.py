@@ -133,3 +133,18 @@ def test_pairs_at_the_limit_meet(spark):
     pair = F.floor(F.col("id") / 2).alias("pair")
     met = near.groupBy(near.columns[0], pair).count().filter("count > 1").select("pair").distinct().count()
     assert count - met <= 2
+
+
+def test_rows_of_a_dense_region_follow_its_members(spark):
+    """300 classes, all alike and each a component: every two are compared, but no row is made for each two."""
+    rows = [(7, 0, i, i, 301, 0, 1, 299, bytes(forest.HASHES)) for i in range(300)]
+    dense = spark.createDataFrame(rows, "k long, tree int, id long, component long, n long, main long, inside long, outside long, sketch binary")
+    cells = forest._cells(dense, 80).collect()
+    pairs = [tuple(sorted((r.id, x))) for r in cells for x in r.others]
+    assert len(pairs) == len(set(pairs)) == 300 * 299 / 2
+    assert len(cells) <= 300 * 3  # the outside has two blocks and the largest component one
+    texts = spark.createDataFrame([(i, "a b c d e f g") for i in range(300)], "id long, text string")
+    cells = spark.createDataFrame(cells, forest._cells(dense, 80).schema)
+    links = forest._confirmed_cells(cells, texts, 2, 80).collect()
+    got = components(Scratch(spark, "t"), spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(links) <= 300 * 3 and {(r.id, r.component) for r in got} == {(i, 0) for i in range(300)}

@@ -140,7 +140,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 
 
 def _cells(dense: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components whose signatures agree nearly to ``percent``, from neighbourhoods of any size.
+    """Pairs of different components whose signatures agree nearly to ``percent``, from neighbourhoods of any size: a row for
+    each class of a pair in its cell, and the ``others`` that it is to be compared with, so that rows follow the classes.
 
     The members outside the largest component (``main``) and those of it are dealt to blocks by a hash. Each two blocks
     are a cell of its own (``k``, ``x``, ``y``), but for two of the largest component, so every open pair is in one cell
@@ -171,9 +172,13 @@ def _cells(dense: DataFrame, percent: int) -> DataFrame:
                 first = (sketch[a] == sketch[b])[:, _PLACES].all(axis=2).argmax(axis=1) == tree
                 found.append(np.stack([number[a[first]], number[b[first]]]))
         a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"k": np.full(len(a), k), "x": np.full(len(a), x), "y": np.full(len(a), y), "a": np.maximum(a, b), "b": np.minimum(a, b)})
+        ids = np.unique(np.r_[a, b])
+        order = np.argsort(a, kind="stable")
+        bounds = np.searchsorted(a[order], np.r_[ids, np.iinfo(np.int64).max])
+        others = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(b[order], pa.int64()))
+        return pa.table({"k": np.full(len(ids), k), "x": np.full(len(ids), x), "y": np.full(len(ids), y), "id": ids, "others": others})
 
-    return dealt.groupBy("k", "x", "y").applyInArrow(run, "k long, x long, y long, a long, b long")
+    return dealt.groupBy("k", "x", "y").applyInArrow(run, "k long, x long, y long, id long, others array<long>")
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -192,9 +197,27 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _confirmed_cells(scratch: Scratch, pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """``_confirmed`` for pairs in cells: a text goes once to each cell that needs it."""
-    def run(key: tuple, pairs: pa.Table, texts: pa.Table) -> pa.Table:
+def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links (``a``, ``b``) join two components that those before have left apart; the others add nothing."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.setdefault(i, i)) != i:
+            root[i] = i = root[up]
+        return i
+
+    kept = np.zeros(len(a), bool)
+    for at, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        i, j = find(i), find(j)
+        if i != j:
+            root[i], kept[at] = j, True
+    return kept
+
+
+def _confirmed_cells(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``_confirmed`` for the rows of ``_cells``: a text goes once to each cell that needs it. Of the links confirmed in a cell
+    come those that make its components."""
+    def run(key: tuple, members: pa.Table, texts: pa.Table) -> pa.Table:
         sets = []
         for chunk in texts.column("text").chunks:
             data, offsets = utf8(chunk)
@@ -202,14 +225,18 @@ def _confirmed_cells(scratch: Scratch, pairs: DataFrame, texts: DataFrame, size:
                      for i in range(len(bounds) - 1)]
         number, count = texts.column("id").to_numpy(), np.array([len(s) for s in sets])
         order = np.argsort(number)
-        a, b = (order[np.searchsorted(number, pairs.column(n).to_numpy(), sorter=order)] for n in ("a", "b"))
+        others = members.column("others").combine_chunks()
+        ids = np.repeat(members.column("id").to_numpy(), np.diff(others.offsets.to_numpy()))
+        ends = [np.maximum(ids, others.flatten().to_numpy()), np.minimum(ids, others.flatten().to_numpy())]
+        a, b = (order[np.searchsorted(number, n, sorter=order)] for n in ends)
         shared = _shared(sets)[a, b]
-        return pairs.select(["a", "b"]).filter(pa.array(100 * shared >= percent * (count[a] + count[b] - shared)))
+        a, b = (n[100 * shared >= percent * (count[a] + count[b] - shared)] for n in ends)
+        kept = _spanning(a, b)
+        return pa.table({"a": a[kept], "b": b[kept]})
 
     cell = ["k", "x", "y"]
-    ends = scratch.table(pairs.select(*cell, F.explode(F.array("a", "b")).alias("id")).distinct())
-    there = ends.join(texts, "id").select(*cell, "id", "text")
-    return pairs.groupBy(*cell).cogroup(there.groupBy(*cell)).applyInArrow(run, "a long, b long")
+    there = open_.join(texts, "id").select(*[F.col(c).alias(f"text_{c}") for c in cell], F.col("id").alias("id"), "text")
+    return open_.groupBy(*cell).cogroup(there.groupBy(*[f"text_{c}" for c in cell])).applyInArrow(run, "a long, b long")
 
 
 def _grouped(scratch: Scratch, docs: DataFrame, size: int, percent: int, id_column: str, text_column: str) -> DataFrame:
@@ -238,17 +265,17 @@ def _grouped(scratch: Scratch, docs: DataFrame, size: int, percent: int, id_colu
     first = near.select("k", F.col("id").alias("a")).join(leaders, "k").select("a", F.explode("b").alias("b")).filter("a <> b")
     first = scratch.table(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        """One text for each class in ``pairs``; only these are read out."""
-        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        ends = scratch.table(ends.join(classes.select("id", "_r1"), "id"))
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """One text for each class of ``ids``; only these are read out."""
+        ends = scratch.table(ids.distinct().join(classes.select("id", "_r1"), "id"))
         texts = filtered(keyed.select("_r1", "text"), Bits(ends.select("_r1"))).join(ends, "_r1")
         return scratch.table(texts.groupBy("id").agg(F.first("text").alias("text")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Likely pairs that their texts confirm."""
         pairs = scratch.table(_likely(pairs, sketches, percent))
-        return scratch.table(_confirmed(pairs, texts_of(pairs), size, percent))
+        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+        return scratch.table(_confirmed(pairs, texts_of(ends), size, percent))
 
     links = confirmed(first)
     component = components(scratch, links)
@@ -268,8 +295,8 @@ def _grouped(scratch: Scratch, docs: DataFrame, size: int, percent: int, id_colu
     more = [confirmed(cross.join(first, ["a", "b"], "left_anti"))]
     dense = open_.filter(F.col("n") > DENSE)
     if not dense.isEmpty():
-        pairs = scratch.table(_cells(dense.join(sketches, "id"), percent))
-        more.append(scratch.table(_confirmed_cells(scratch, pairs, texts_of(pairs), size, percent)))
+        cells = scratch.table(_cells(dense.join(sketches, "id"), percent))
+        more.append(scratch.table(_confirmed_cells(cells, texts_of(cells.select("id")), size, percent)))
     component = components(scratch, union([links, *more]))
 
     named = classes.select("id", "c1", "c2", "first").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
