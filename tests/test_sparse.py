@@ -59,6 +59,36 @@ def test_empty_tables(spark, texts):
     assert sp.sparse_topk(points, 3, queries=points.limit(0)).count() == 0
 
 
+def test_visits_are_shuffled_whatever_their_file_holds(spark, texts, monkeypatch):
+    """The table of visits is tiny as a file and has a row for each query and block: no join may bring it to the driver."""
+    joined = []
+    search = sp._tile_search
+    monkeypatch.setattr(sp, "_tile_search", lambda asked, *rest: joined.append(asked) or search(asked, *rest))
+    points = spark.createDataFrame(rows_of(texts[:120]), "id long, idx array<int>, val array<double>")
+    assert found(sp.sparse_topk(points, 5, .05, block=16)) == brute(texts[:120], texts[:120], 5, .05)
+    assert len(joined) == 2  # the own blocks, and the others
+    plan = joined[1]._jdf.queryExecution().executedPlan().toString()
+    assert "sparse-visits" in plan and "SortMergeJoin" in plan
+    visits = plan[:plan.index("sparse-visits")].splitlines()
+    assert not any("BroadcastExchange" in line for line in visits[-3:])
+
+
+def test_blocks_are_indexed_in_parts(spark, texts, monkeypatch):
+    """Parts of a few rows leave the same lists, ties included."""
+    monkeypatch.setattr(sp, "SLICE", 40)
+    points = spark.createDataFrame(rows_of(texts), "id long, idx array<int>, val array<double>")
+    assert found(sp.sparse_topk(points, 5, .05)) == brute(texts, texts, 5, .05)
+    assert found(sp.sparse_topk(points, 3)) == brute(texts, texts, 3, -np.inf)
+    sets = spark.createDataFrame([(i, sorted({i % 7, i % 11 + 7, i % 13 + 18})) for i in range(200)], "id long, idx array<int>") \
+        .selectExpr("id", "idx", "transform(idx, x -> 1D) val", "size(idx) size")
+    lists = [set(r.idx) for r in sets.orderBy("id").collect()]
+    want = set()
+    for i, a in enumerate(lists):
+        best = sorted((-round(len(a & b) / len(a | b), 9), j) for j, b in enumerate(lists) if j != i and a & b)[:4]
+        want |= {(i, j, r) for r, (_, j) in enumerate(best, 1)}
+    assert found(sp.sparse_topk(sets, 4, 0.0, common=1.0)) == want
+
+
 def test_bounds_spare_frequent_terms():
     """With a high score to beat only rare terms' lists are opened, and the rows met there are finished."""
     r = np.random.default_rng(5)
