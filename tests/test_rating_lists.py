@@ -56,6 +56,29 @@ def test_offers_are_not_shuffled(spark, monkeypatch, wide_joins, users):
     assert sent < 120_000 * 12  # 120,000 cells were offered; a sum of two is 40 bytes
 
 
+def test_asked_pairs_are_not_multiplied(spark, wide_joins):
+    """Pairs meet the neighbours' lists where they are; a pair for each neighbour would be 24 bytes and more."""
+    r = np.random.default_rng(6)
+    rated = {(u, int(i)): round(float(r.uniform(.1, 5)), 3) for u in range(300) for i in r.choice(400, 40, replace=False)}
+    near = {(u, int(d)): round(float(r.uniform(.1, 1)), 3) for u in range(290) for d in r.choice(300, 10, replace=False) if d != u}
+    asked = [(u, int(i)) for u in range(300) for i in r.choice(400, 80, replace=False)] + [(7, 3), (7, 3), (7, 1000), (1000, 7), (None, 3), (7, None)]
+    ratings = spark.createDataFrame([(*p, x) for p, x in rated.items()], "user_id long, item_id long, rating double").repartition(4).persist()
+    found = spark.createDataFrame([(*p, x) for p, x in near.items()], "src long, dst long, score double").repartition(4).persist()
+    pairs = spark.createDataFrame(asked, "user_id long, item_id long").repartition(4).persist()
+    ratings.count(), found.count(), pairs.count()
+    others = defaultdict(list)
+    for (u, d), score in near.items():
+        others[u].append((d, score))
+    want = []
+    for u, i in asked:
+        cells = [(score, rated[d, i]) for d, score in others[u] if (d, i) in rated]
+        guess = sum(a * b for a, b in cells) / sum(a for a, _ in cells) if cells else 0.0
+        want.append((str(u), str(i), round(rated.get((u, i), guess), 6)))
+    sent, got = shuffled(spark, lambda: cf.predict(pairs, ratings, found))
+    assert sorted((str(x.user_id), str(x.item_id), round(x.prediction, 6)) for x in got) == sorted(want)
+    assert sent < 2_200_000  # 2,914,137 with a row for each pair and neighbour
+
+
 def test_products_are_not_shuffled(spark, wide_joins):
     r = np.random.default_rng(8)
     cells = [(u, int(i), round(float(r.uniform(.1, 5)), 3)) for u in range(1500) for i in r.choice(5000, 40, replace=False)]

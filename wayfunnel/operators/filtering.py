@@ -79,28 +79,35 @@ def _lists(df: DataFrame, key: str, other: str, cell: Column) -> DataFrame:
     return df.withColumn("part", F.pmod(F.xxhash64(other), parts)).groupBy(key, "part").agg(F.collect_list(cell).alias("cells")).drop("part")
 
 
-def _weighted(offered: DataFrame, score: Column, rating: Column, ratings: DataFrame, n: int) -> DataFrame:
-    """Lists (user_id, x, cells) travel whole to their user and are taken apart there, where the user's own items come as
-    cells without a value; neither sums nor seen pairs are shuffled."""
-    name = next(f.name for f in offered.schema["cells"].dataType.elementType.fields if f.name != "item_id")
+def _met(offered: DataFrame, own: DataFrame, value: str, tasks: int) -> DataFrame:
+    """(user_id, x, own, item_id, ``value``): the cells of the offered lists in the task of their user, where the user's ``own``
+    items come as cells without a value."""
     none = F.lit(None).cast("double")
-    own = ratings.filter("user_id is not null and item_id is not null") \
-        .select("user_id", none.alias("x"), F.array(F.struct("item_id", none.alias(name))).alias("cells"))
-    tasks = _tasks(ratings, ratings.count() * (NEIGHBOURS + 1))
-    cells = offered.withColumn("own", F.lit(0)).unionByName(own.withColumn("own", F.lit(1))).repartition(tasks, "user_id") \
+    mine = own.filter("user_id is not null and item_id is not null") \
+        .select("user_id", none.alias("x"), F.array(F.struct("item_id", none.alias(value))).alias("cells"))
+    return offered.withColumn("own", F.lit(0)).unionByName(mine.withColumn("own", F.lit(1))).repartition(tasks, "user_id") \
         .select("user_id", "x", "own", F.inline("cells"))
+
+
+def _weighted(offered: DataFrame, score: Column, rating: Column, ratings: DataFrame, n: int) -> DataFrame:
+    """Lists (user_id, x, cells) travel whole to their user and are taken apart there, where the user's own items are left out;
+    neither sums nor seen pairs are shuffled."""
+    name = next(f.name for f in offered.schema["cells"].dataType.elementType.fields if f.name != "item_id")
+    cells = _met(offered, ratings, name, _tasks(ratings, ratings.count() * (NEIGHBOURS + 1)))
     means = cells.groupBy("user_id", "item_id").agg(
         F.round(F.sum(score * rating) / F.sum(score), DIGITS).alias("prediction"), F.max("own").alias("own"))
     return top_per_group(means.filter("own = 0").drop("own"), ["user_id"], [F.desc("prediction"), F.asc("item_id")], n)
 
 
 def predict(pairs: DataFrame, ratings: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """User-based prediction of given (user, item) pairs; a known rating is returned as it is."""
+    """User-based prediction of given (user, item) pairs; a known rating is returned as it is. A neighbour's ratings travel as lists."""
     known = ratings.select("user_id", "item_id", F.col("rating").alias("known"))
-    other = neighbours.select(F.col("src").alias("user_id"), F.col("dst").alias("other"), "score")
-    guessed = pairs.join(other, "user_id").join(
-        ratings.select(F.col("user_id").alias("other"), "item_id", "rating"), ["other", "item_id"]) \
-        .groupBy("user_id", "item_id").agg((F.sum(F.col("score") * F.col("rating")) / F.sum("score")).alias("guess"))
+    listed = _lists(ratings, "user_id", "item_id", F.struct("item_id", "rating"))
+    offered = neighbours.select(F.col("src").alias("user_id"), F.col("dst").alias("other"), "score") \
+        .join(listed.withColumnRenamed("user_id", "other"), "other").select("user_id", F.col("score").alias("x"), "cells")
+    met = _met(offered, pairs, "rating", _tasks(ratings, ratings.count() * (NEIGHBOURS + 1)))
+    sums = met.groupBy("user_id", "item_id").agg(F.sum(F.col("x") * F.col("rating")).alias("s"), F.sum("x").alias("w"), F.max("own").alias("own"))
+    guessed = sums.filter("own = 1").select("user_id", "item_id", (F.col("s") / F.col("w")).alias("guess"))
     return pairs.join(known, ["user_id", "item_id"], "left").join(guessed, ["user_id", "item_id"], "left") \
         .select("user_id", "item_id", F.coalesce("known", "guess", F.lit(0.0)).alias("prediction"))
 
